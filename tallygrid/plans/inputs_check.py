@@ -1,0 +1,8 @@
+from tallygrid.plans import inputs as I
+from tallygrid.plans.inputs_sql import q
+from tallygrid.plans.registry import query
+
+for n in "items statement_rows labelled_cells struct_elements ocr_boxes cell_boxes text_pairs number_texts noisy_labels questions answers markdown_pages html_tables".split():
+    query(q(n, f"SELECT * FROM {n}"), name=n)(getattr(I, n))
+query(q("pred_boxes", "SELECT * FROM pred_boxes"), name="pb")(lambda s, d: I.detections(s, d)[0])
+query(q("gt_boxes", "SELECT * FROM gt_boxes"), name="gb")(lambda s, d: I.detections(s, d)[1])
