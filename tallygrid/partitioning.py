@@ -47,15 +47,15 @@ def attach(
     ``facts`` needs ``n_rows`` or takes it from the frame given.  Each fact row is
     copied once per chunk of its table, so no join key holds more than one chunk.
     """
-    drop_n = False
-    if n_rows is not None:
-        facts = facts.join(n_rows.select("table_id", "n_rows"), "table_id")
-        drop_n = True
     last = F.greatest(row_chunk(F.col("n_rows") - 1), F.lit(0))
-    facts = facts.withColumn("row_chunk", F.explode(F.sequence(F.lit(0), last)))
-    if drop_n or "n_rows" in rows.columns:
-        facts = facts.drop("n_rows")
-    return rows.join(facts, [*on, "row_chunk"], how)
+    chunks = F.explode(F.sequence(F.lit(0), last)).alias("row_chunk")
+    if n_rows is None:
+        copies = facts.select("*", chunks)
+    else:
+        copies = facts.join(n_rows.select("table_id", "n_rows"), "table_id").select(
+            *facts.columns, chunks
+        )
+    return rows.join(copies, [*on, "row_chunk"], how)
 
 
 def running_sums(

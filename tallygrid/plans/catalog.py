@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tallygrid.plans import inputs_check
+from tallygrid.plans import cells
 from tallygrid.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "inputs_check"]
+__all__ = ["ORACLES", "QUERIES", "cells"]
