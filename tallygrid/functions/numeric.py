@@ -6,7 +6,7 @@ including its oddities; ``compat=False`` repairs them (see README, "Compatibilit
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: unit words in the order they are tried, and their scale -------
@@ -46,7 +46,7 @@ CURRENCY_PATTERNS = {
 YEAR = r"^(19|20)\d{2}$"
 NOTE = r"(?i)^(note|notes)$"
 UNIT_HEADER = r"(?i)(rm|usd|sgd|eur|gbp|'000|million|billion)"
-NUMERIC_CHARS = r"[\d,.\-+()%$£€¥\s]"
+NUMERIC_CHARS = "0123456789,.-+()%$£€¥ \t\n\r\x0b\x0c"
 UNIT_TOKENS = r"(?i)\b(rm|usd|sgd|eur|gbp|myr)\b|'000|\b(billion|million|thousand|bn|mn)\b"
 SUFFIX = r"\d[\d,\.]*\s*(bn|b|mn|m|k)"
 SUFFIX_STRICT = r"\d[\d,\.]*\s*(bn|b|mn|m|k)\b"
@@ -65,7 +65,7 @@ _FLOAT = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 
 def strip(text: Column) -> Column:
     """Trim all white space at both ends (``trim`` alone removes blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def to_double(text: Column) -> Column:
@@ -78,7 +78,7 @@ def cell_type(text: Column, compat: bool = True) -> Column:
     s = strip(text)
     has_digit = s.rlike(r"\d")
     counted = s if compat else F.regexp_replace(s, UNIT_TOKENS, "")
-    leftover = F.length(F.regexp_replace(counted, NUMERIC_CHARS, ""))
+    leftover = F.length(F.translate(counted, NUMERIC_CHARS, ""))
     bare = F.regexp_replace(s, "'?000", "")
     return (
         F.when(text.isNull() | (s == ""), "empty")
@@ -131,21 +131,21 @@ def unit_header(text: Column, compat: bool = True) -> Column:
 
 def first_number(text: Column) -> Column:
     """First decimal number once thousand separators are gone."""
-    cleaned = F.regexp_replace(text, "[,']", "")
+    cleaned = F.translate(text, ",'", "")
     return F.regexp_extract(cleaned, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
 def unsigned(text: Column) -> Column:
     """Text without enclosing brackets, leading sign and trailing minus."""
     s = strip(text)
-    s = F.when(s.contains("(") & s.contains(")"), F.regexp_replace(s, r"[()]", "")).otherwise(s)
+    s = F.when(s.contains("(") & s.contains(")"), F.translate(s, "()", "")).otherwise(s)
     return F.regexp_replace(F.regexp_replace(s, r"^[-+]", ""), "-$", "")
 
 
 def is_negative(text: Column) -> Column:
     s = strip(text)
     bracketed = s.contains("(") & s.contains(")")
-    inner = F.when(bracketed, F.regexp_replace(s, r"[()]", "")).otherwise(s)
+    inner = F.when(bracketed, F.translate(s, "()", "")).otherwise(s)
     return bracketed | inner.startswith("-") | F.regexp_replace(inner, r"^[-+]", "").endswith("-")
 
 
@@ -162,42 +162,48 @@ def money_text(value: Column, currency_code: Column) -> Column:
 # --- evaluation parsers ----------------------------------------------------------
 
 
-def eval_number(text: Column) -> Column:
-    """STRUCT<value, error> with suffix, percent and nil handling."""
-    s = strip(text)
+def evaluation_numbers(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``value`` and ``error`` with suffix, percent and nil handling.
+
+    Written as steps over columns: each step reads the one before several times, so a
+    single nested expression would grow out of hand.
+    """
+    t, s, b, stem = F.col(text), F.col("_s"), F.col("_b"), F.col("_stem")
     bracketed = s.startswith("(") & s.endswith(")")
-    negative = bracketed | s.startswith("-") | s.endswith("-")
     body = (
-        F.when(bracketed, strip(F.regexp_replace(s, r"^\(|\)$", "")))
-        .when(s.startswith("-"), strip(F.substring(s, 2, 1 << 30)))
-        .when(s.endswith("-"), strip(F.regexp_replace(s, "-$", "")))
+        F.when(bracketed, F.expr("substring(_s, 2, length(_s) - 2)"))
+        .when(s.startswith("-"), F.expr("substring(_s, 2)"))
+        .when(s.endswith("-"), F.expr("substring(_s, 1, length(_s) - 1)"))
         .otherwise(s)
     )
-    body = strip(F.regexp_replace(body, EVAL_SYMBOLS, ""))
-    percent = body.endswith("%")
-    body = F.when(percent, strip(F.regexp_replace(body, "%$", ""))).otherwise(body)
-    scale = F.when(F.lit(False), F.lit(1.0))
-    stem = F.when(F.lit(False), body)
+    scale, cut = F.when(F.lit(False), F.lit(1.0)), F.when(F.lit(False), F.lit(0))
     for suffix, factor in EVAL_SUFFIXES:
-        scale = scale.when(body.endswith(suffix), factor)
-        stem = stem.when(
-            body.endswith(suffix), strip(F.regexp_replace(body, f"{suffix}$", ""))
+        scale = scale.when(b.endswith(suffix), factor)
+        cut = cut.when(b.endswith(suffix), len(suffix))
+    number = F.when(F.col("_percent"), F.col("_n") / 100.0).otherwise(F.col("_n"))
+    return (
+        df.withColumn("_s", strip(t))
+        .withColumn("_neg", bracketed | s.startswith("-") | s.endswith("-"))
+        .withColumn("_b", strip(F.regexp_replace(strip(body), EVAL_SYMBOLS, "")))
+        .withColumn("_percent", b.endswith("%"))
+        .withColumn("_b", F.when(F.col("_percent"), strip(F.regexp_replace(b, "%$", ""))).otherwise(b))
+        .withColumn("_scale", scale.otherwise(1.0))
+        .withColumn("_cut", cut.otherwise(0))
+        .withColumn("_stem", F.translate(F.expr("substring(_b, 1, length(_b) - _cut)"), ", ", ""))
+        .withColumn("_n", to_double(stem) * F.col("_scale"))
+        .withColumn(
+            "value",
+            F.when(stem.isin(*EVAL_NIL), 0.0).when(F.col("_neg"), -number).otherwise(number),
         )
-    scale = scale.otherwise(1.0)
-    stem = F.regexp_replace(stem.otherwise(body), "[, ]", "")
-    number = to_double(stem) * scale
-    number = F.when(percent, number / 100.0).otherwise(number)
-    value = F.when(stem.isin(*EVAL_NIL), 0.0).otherwise(
-        F.when(negative, -number).otherwise(number)
-    )
-    error = (
-        F.when(text.isNull() | (text == ""), "empty_input")
-        .when(s == "", "empty_after_strip")
-        .when(value.isNull(), "parse_error")
-        .otherwise("")
-    )
-    return F.struct(
-        F.when(error == "", value).alias("value"), error.alias("error")
+        .withColumn(
+            "error",
+            F.when(t.isNull() | (t == ""), "empty_input")
+            .when(s == "", "empty_after_strip")
+            .when(F.col("value").isNull(), "parse_error")
+            .otherwise(""),
+        )
+        .withColumn("value", F.when(F.col("error") == "", F.col("value")))
+        .drop("_s", "_neg", "_b", "_percent", "_scale", "_cut", "_stem", "_n")
     )
 
 
@@ -217,7 +223,7 @@ def lenient_number(text: Column) -> Column:
     """First number in a raw cell; dashes are null, brackets negative."""
     s = strip(text)
     bracketed = s.contains("(") & s.contains(")")
-    body = F.when(bracketed, F.regexp_replace(s, r"[()]", "")).otherwise(s)
+    body = F.when(bracketed, F.translate(s, "()", "")).otherwise(s)
     number = F.regexp_extract(
         F.regexp_replace(body, "[$€£¥₹,]", ""), r"[-+]?\d+\.?\d*", 0
     ).try_cast("double")

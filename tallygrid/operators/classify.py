@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.numeric import strip
-from tallygrid.partitioning import CHUNK_BITS, attach, running_sums, with_chunk
+from tallygrid.partitioning import (
+    attach,
+    cut_lineage,
+    running_sums,
+    spans_chunks,
+    with_chunk,
+)
 
 CELL_LABELS = ["section_title", "column_header", "row_header", "data", "currency_unit"]
 
@@ -197,6 +203,7 @@ def classify_rows(values: DataFrame, implicit_subtotals: bool = True) -> DataFra
     )
     if not implicit_subtotals:
         return rows
+    rows = cut_lineage(rows)
     hits = implicit_subtotal_rows(values, rows)
     return rows.join(
         hits.withColumn("_hit", F.lit(True)), ["table_id", "row_chunk", "row_idx"], "left"
@@ -220,12 +227,15 @@ def implicit_subtotal_rows(values: DataFrame, rows: DataFrame) -> DataFrame:
     """
     blank = F.coalesce(strip(F.col("label")), F.lit("")) == ""
     candidate = (F.col("row_class") == "data") & blank
+    chunked = spans_chunks(rows)
+    # Only tables, then only sections, that hold a candidate need running sums.
+    tables = rows.where(candidate).select("table_id").distinct()
     marked = running_sums(
-        rows.withColumn("_cand", candidate),
+        rows.join(tables, "table_id", "left_semi").withColumn("_cand", candidate),
         {"section": F.when(F.col("row_class").isin(*BOUNDARIES), 1).otherwise(0)},
+        chunked=chunked,
     ).select("table_id", "row_chunk", "row_idx", "section", "_cand", "row_class")
     with_cands = marked.where("_cand").select("table_id", "section").distinct()
-    # Only sections that hold a candidate go on: the rest need no sums at all.
     data = marked.where(F.col("row_class") == "data").join(
         with_cands, ["table_id", "section"], "left_semi"
     )
@@ -236,6 +246,7 @@ def implicit_subtotal_rows(values: DataFrame, rows: DataFrame) -> DataFrame:
         long,
         {"s": F.coalesce(v, F.lit(0.0)), "n": F.when(v.isNotNull(), 1).otherwise(0)},
         keys=("table_id", "section", "col_idx"),
+        chunked=chunked,
     )
     cell = F.struct("col_idx", "value", "s", "n")
     cands = (
@@ -246,17 +257,11 @@ def implicit_subtotal_rows(values: DataFrame, rows: DataFrame) -> DataFrame:
     folded = cands.groupBy("table_id", "section", "row_chunk").agg(
         F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("cands")
     )
-    last_chunk = rows.agg(F.max("row_chunk")) if _many_chunks(rows) else None
-    if last_chunk is None:
+    if not chunked:
         return _fold_section(folded.withColumn("base", _empty_base())).select(
             "table_id", "row_chunk", F.explode("hits").alias("row_idx")
         )
-    return _fold_chunks(folded, last_chunk.first()[0])
-
-
-def _many_chunks(rows: DataFrame) -> bool:
-    """Does any table reach beyond its first chunk?  A pushed-down existence check."""
-    return not rows.where(F.col("row_idx") >= (1 << CHUNK_BITS)).isEmpty()
+    return _fold_chunks(folded, rows.agg(F.max("row_chunk")).first()[0])
 
 
 def _empty_base() -> Column:
@@ -318,8 +323,6 @@ def _fold_section(folded: DataFrame) -> DataFrame:
 
 
 def _fold_chunks(folded: DataFrame, last: int) -> DataFrame:
-    from tallygrid.partitioning import cut_lineage
-
     folded = cut_lineage(folded)
     state, found = None, None
     for chunk in range(last + 1):

@@ -19,7 +19,14 @@ from tallygrid.operators.classify import (
     has_any,
     table_rows,
 )
-from tallygrid.partitioning import running_sums, with_chunk
+from tallygrid.partitioning import (
+    attach,
+    cut_lineage,
+    extent,
+    running_sums,
+    spans_chunks,
+    with_chunk,
+)
 
 # --- fixed values: keywords of statement rows ------------------------------------------
 ASSETS = ["total assets", "assets"]
@@ -121,6 +128,7 @@ def _sections(rows: DataFrame) -> DataFrame:
         rows,
         {"section": is_class(*BOUNDARIES), "block": is_class("total"), "subs": is_class("subtotal")},
         inclusive=False,
+        chunked=spans_chunks(rows),
     )
 
 
@@ -169,7 +177,7 @@ def column_sum_checks(
     Both passes are aggregates over counted sections with map-side partial sums, so a
     section holding a large share of all rows is added up where its rows are read.
     """
-    rows = classify_rows(values) if rows is None else rows
+    rows = cut_lineage(classify_rows(values)) if rows is None else rows
     long = _amounts(values, _sections(rows))
     v, cls = F.col("value"), F.col("row_class")
     keep = _included(blank_rows)
@@ -259,7 +267,8 @@ def column_sum_checks(
 
 def row_selection(values: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Why each row of a subtotal's section was included or not (the debug trail)."""
-    rows = _sections(classify_rows(values) if rows is None else rows)
+    rows = cut_lineage(classify_rows(values)) if rows is None else rows
+    rows = _sections(rows)
     closing = rows.where(F.col("row_class") == "subtotal").select(
         "table_id", "section", F.col("row_idx").alias("total_row_index")
     )
@@ -293,7 +302,8 @@ def keyword_sum_checks(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Every row between two keyword totals must add up to the later one."""
     rows = table_rows(values).withColumn("is_total", has_any(F.col("label"), TOTAL_WORDS))
     rows = running_sums(
-        rows, {"block": F.col("is_total").cast("int")}, inclusive=False
+        rows, {"block": F.col("is_total").cast("int")}, inclusive=False,
+        chunked=spans_chunks(values),
     )
     v, tot = F.col("value"), F.col("is_total")
     sums = _amounts(values, rows).groupBy("table_id", "block", "col_idx").agg(
@@ -463,8 +473,6 @@ def pass_summary(checks: DataFrame, *keys: str) -> DataFrame:
 
 def year_comparison(values: DataFrame, metadata: DataFrame) -> DataFrame:
     """INCREASED / DECREASED / UNCHANGED between the two latest years of each row."""
-    from tallygrid.partitioning import attach, extent
-
     years = metadata.where(F.col("year").isNotNull()).select("table_id", "col_idx", "year")
     amounts = attach(
         with_chunk(values).where(F.col("value").isNotNull()), years, extent(values),

@@ -13,6 +13,7 @@ from tallygrid.plans import inputs as I
 from tallygrid.plans import sql as S
 from tallygrid.plans.inputs_sql import q
 from tallygrid.plans.registry import query
+from tallygrid.partitioning import cut_lineage
 
 
 def _t():
@@ -99,12 +100,12 @@ def normalized_numbers_repaired(spark, sf):
 
 @query(q("cells", "SELECT * FROM meta", S.steps("meta")))
 def column_metadata(spark, sf):
-    return Z.column_metadata(I.cells(spark, sf))
+    return Z.column_metadata(I.stored_cells(spark, sf))
 
 
 @query(q("cells", "SELECT * FROM norm", S.steps("norm")))
 def normalized_cells(spark, sf):
-    return Z.normalize_cells(I.cells(spark, sf))
+    return Z.normalize_cells(I.stored_cells(spark, sf))
 
 
 def _eval_sql():
@@ -133,9 +134,9 @@ def _eval_sql():
 
 @query(_eval_sql())
 def evaluation_numbers(spark, sf):
-    return I.number_texts(spark, sf).select(
-        "id", N.eval_number(_t()).alias("e"), N.gt_number(_t()).alias("gt_value")
-    ).select("id", "e.*", "gt_value")
+    return N.evaluation_numbers(I.number_texts(spark, sf)).select(
+        "id", "value", "error", N.gt_number(_t()).alias("gt_value")
+    )
 
 
 def _strict_sql(percent, drop):
@@ -241,11 +242,13 @@ def corrected_labels(spark, sf):
 @query(
     q(
         "noisy_labels",
-        f"""SELECT id, CASE WHEN text = '' OR low IN (SELECT unnest({S.TERMS})) OR best IS NULL OR best.score <= 0.7 THEN corrected ELSE best.title END AS label FROM (
-      SELECT *, list_aggregate(list_transform({S.TERMS}, lambda x: {{'neg': -({S.jaccard('w', 'list_distinct(string_split(x, chr(32)))')}), 'term': x}}), 'min') AS b,
-        CASE WHEN b IS NOT NULL THEN {{'score': -b.neg, 'title': (SELECT m.title FROM (SELECT unnest(range(1, {len(T.FINANCIAL_TERMS) + 1})) AS i, unnest({S.TERMS}) AS term,
-           unnest([{", ".join(S.lit(x.title()) for x in sorted(T.FINANCIAL_TERMS))}]) AS title) m WHERE m.term = b.term)}} END AS best
-      FROM (SELECT *, lower({S.strip('corrected')}) AS low, list_distinct({S.words('lower(corrected)')}) AS w FROM (SELECT id, text, {S.correct_ocr('text')} AS corrected FROM noisy_labels)))""",
+        """SELECT c.id, CASE WHEN known OR coalesce(score, 0) <= 0.7 THEN corrected ELSE title END AS label FROM corr c LEFT JOIN
+      (SELECT id, max(score) AS score, arg_min(title, (-score, term)) AS title FROM scored GROUP BY id) USING (id)""",
+        {
+            "corr": f"SELECT id, corrected, text = '' OR lower({S.strip('corrected')}) IN (SELECT unnest({S.TERMS})) AS known, list_distinct({S.words('lower(corrected)')}) AS w FROM (SELECT id, text, {S.correct_ocr('text')} AS corrected FROM noisy_labels)",
+            "terms": f"SELECT unnest({S.TERMS}) AS term, unnest([{', '.join(S.lit(x.title()) for x in sorted(T.FINANCIAL_TERMS))}]) AS title",
+            "scored": f"SELECT id, term, title, {S.jaccard('w', 'list_distinct(string_split(term, chr(32)))')} AS score FROM corr, terms",
+        },
     )
 )
 def financial_labels(spark, sf):
@@ -336,7 +339,9 @@ def structure_labels(spark, sf):
 
 
 def _values(spark, sf):
-    return Z.normalize_cells(I.cells(spark, sf)).select("table_id", "row_idx", "col_idx", "text", "value")
+    """The normalised cells as a stored table: the rules read them several times."""
+    values = Z.normalize_cells(I.stored_cells(spark, sf))
+    return cut_lineage(values.select("table_id", "row_idx", "col_idx", "text", "value"))
 
 
 @query(q("cells", "SELECT table_id, row_idx, label, has_value, n_rows, base_class AS row_class FROM base_rows", S.steps("base_rows")))
@@ -524,7 +529,7 @@ def rule_checks(spark, sf):
     )
 )
 def year_changes(spark, sf):
-    cells = I.cells(spark, sf)
+    cells = I.stored_cells(spark, sf)
     meta = Z.column_metadata(cells)
     return V.year_comparison(Z.normalize_cells(cells, meta), meta)
 

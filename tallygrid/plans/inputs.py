@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.partitioning import cut_lineage, row_chunk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -138,6 +140,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells written out once, as a corpus holds them, for jobs that read them twice."""
+    return cut_lineage(cells(spark, sf_dir))
+
+
 def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cells with a ground-truth label; every tenth table has a few wrong ones."""
     r, c, t = F.col("row_idx"), F.col("col_idx"), F.col("text")
@@ -377,8 +384,6 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gather(rows: DataFrame, line: Column, name: str, sep: str) -> DataFrame:
-    from tallygrid.partitioning import row_chunk
-
     return (
         rows.groupBy("table_id", row_chunk().alias("part"))
         .agg(F.collect_list(F.struct("row_idx", line.alias("line"))).alias("rows"))

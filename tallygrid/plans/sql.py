@@ -41,7 +41,7 @@ def contains_any(x: str, words: Sequence[str]) -> str:
 def cell_type(t: str, compat: bool = True) -> str:
     s = strip(t)
     counted = s if compat else sub(s, N.UNIT_TOKENS)
-    left = f"length({sub(counted, N.NUMERIC_CHARS)})"
+    left = f"length({sub(counted, r"[0-9,.\-+()%$£€¥\s]")})"
     digit = matches(s, r"\d")
     return case(
         [
