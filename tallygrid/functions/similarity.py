@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _pairwise(score: Callable[[str, str], float]):
+    """Arrow-batched UDF over two string columns.
+
+    Built inside a function so that it ships to executors by value and needs no
+    installed package there.
+    """
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of two strings."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    def ratio(x: str, y: str) -> float:
+        return SequenceMatcher(None, x, y).ratio()
+
+    return _pairwise(ratio)(a, b)
 
 
-@F.pandas_udf("double")
-def opcode_cer(gt: pd.Series, pred: pd.Series) -> pd.Series:
+def opcode_cer(gt: Column, pred: Column) -> Column:
     """Edits from matching-block opcodes per ground-truth character."""
 
-    def one(g: str, p: str) -> float:
+    def edits(g: str, p: str) -> float:
         if not g:
             return 1.0 if p else 0.0
         codes = SequenceMatcher(None, g.lower(), p.lower()).get_opcodes()
-        edits = sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in codes if tag != "equal")
-        return edits / len(g)
+        return sum(max(i2 - i1, j2 - j1) for t, i1, i2, j1, j2 in codes if t != "equal") / len(g)
 
-    return pd.Series([one(g, p) for g, p in zip(gt, pred)], dtype="float64")
+    return _pairwise(edits)(gt, pred)
 
 
 def score_distinct_pairs(df: DataFrame, a: str, b: str, name: str, score) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tallygrid.plans import cells, grids
+from tallygrid.plans import cells, grids, scoring
 from tallygrid.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cells", "grids"]
+__all__ = ["ORACLES", "QUERIES", "cells", "grids", "scoring"]
