@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.numeric import strip
@@ -271,18 +271,24 @@ def ned(gt: Column, pred: Column) -> Column:
     return F.coalesce(F.try_divide(F.levenshtein(gt, pred), longest), F.lit(0.0))
 
 
-def as_symbols(items: Column, vocabulary: Column) -> Column:
-    """Write an array as a string with one code point per distinct item.
+def as_symbols(items: Column, shared: Column, other: int) -> Column:
+    """Write an array as a string with one code point per item.
 
-    Code points start at U+10000, clear of the surrogates, which leaves room for over
-    a million distinct items; built-in ``levenshtein`` then works on item lists.
+    Only items the other side also has need a code point of their own (from U+10000,
+    clear of the surrogates, room for a million); all others become ``other``.
     """
     return F.array_join(
         F.transform(
             items,
             lambda w: F.decode(
                 F.unhex(
-                    F.lpad(F.hex(F.array_position(vocabulary, w) + F.lit(0x10000)), 8, "0")
+                    F.lpad(
+                        F.hex(
+                            F.array_position(shared, w)
+                            + F.when(F.array_contains(shared, w), 0x10000).otherwise(other)
+                        ),
+                        8, "0",
+                    )
                 ),
                 "UTF-32",
             ),
@@ -291,17 +297,29 @@ def as_symbols(items: Column, vocabulary: Column) -> Column:
     )
 
 
-def list_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of strings."""
-    vocabulary = F.array_union(a, b)
-    return F.levenshtein(as_symbols(a, vocabulary), as_symbols(b, vocabulary))
+def with_list_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Add the Levenshtein distance of two array columns, by built-in ``levenshtein``.
+
+    Each step is a column of its own: an expression repeated inside a lambda would be
+    evaluated again for every element.
+    """
+    shared = F.col("_shared")
+    return (
+        df.withColumn("_shared", F.array_intersect(a, b))
+        .withColumn("_sa", as_symbols(F.col(a), shared, 0xE000))
+        .withColumn("_sb", as_symbols(F.col(b), shared, 0xE001))
+        .withColumn(name, F.levenshtein("_sa", "_sb"))
+        .drop("_shared", "_sa", "_sb")
+    )
 
 
-def wer(gt: Column, pred: Column) -> Column:
-    """Word edits per ground-truth word; empty truth scores 0 or 1."""
-    g, p = words(gt), words(pred)
-    return F.when(F.size(g) == 0, F.when(F.size(p) == 0, 0.0).otherwise(1.0)).otherwise(
-        list_distance(g, p) / F.size(g)
+def with_wer(df: DataFrame, gt: Column, pred: Column, name: str = "wer") -> DataFrame:
+    """Add word edits per ground-truth word; empty truth scores 0 or 1."""
+    staged = df.withColumn("_gw", words(gt)).withColumn("_pw", words(pred))
+    g, p = F.size("_gw"), F.size("_pw")
+    rate = F.when(g == 0, F.when(p == 0, 0.0).otherwise(1.0)).otherwise(F.col("_dist") / g)
+    return with_list_distance(staged, "_gw", "_pw", "_dist").withColumn(name, rate).drop(
+        "_gw", "_pw", "_dist"
     )
 
 

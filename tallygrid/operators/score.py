@@ -204,11 +204,12 @@ def text_errors(pairs: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFra
     g, p = T.plain(F.col(gt)), T.plain(F.col(pred))
     matched = F.col(pred).isNotNull()
     one = F.lit(1.0)
-    return pairs.select(
-        "*", matched.alias("matched"),
+    scored = T.with_wer(pairs, g, p, "_wer")
+    return scored.select(
+        *pairs.columns, matched.alias("matched"),
         F.coalesce(matched & (g == p), F.lit(False)).alias("exact"),
         F.when(matched, T.cer(g, p)).otherwise(one).alias("cer"),
-        F.when(matched, T.wer(g, p)).otherwise(one).alias("wer"),
+        F.when(matched, F.col("_wer")).otherwise(one).alias("wer"),
         F.when(matched, T.ned(g, p)).otherwise(one).alias("ned"),
     )
 

@@ -33,7 +33,13 @@ def r6(df, *cols):
 _PL = lambda x: f"lower(trim({S.sub(x, chr(92) + 's+', ' ')}))"
 _CER = lambda g, p: f"(CASE WHEN length({g}) = 0 THEN CASE WHEN length({p}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({g}, {p}) / length({g}) END)"
 _NED = lambda g, p: f"coalesce(levenshtein({g}, {p}) / nullif(greatest(length({g}), length({p})), 0), 0)"
-_WER = lambda g, p: f"(CASE WHEN len({S.words(g)}) = 0 THEN CASE WHEN len({S.words(p)}) = 0 THEN 0.0 ELSE 1.0 END ELSE {S.levenshtein_words(S.words(g), S.words(p))} / len({S.words(g)}) END)"
+
+
+def _with_words(src, g="gt", p="pred"):
+    """src with column wer, in steps so that the shared words are listed once per row."""
+    sym = lambda x, o: f"array_to_string(list_transform({x}, lambda w: chr(CASE WHEN list_contains(sh, w) THEN (list_position(sh, w) + 2)::INTEGER ELSE {o} END)), '')"
+    return f"""(SELECT *, CASE WHEN len(gw) = 0 THEN CASE WHEN len(pw) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({sym('gw', 1)}, {sym('pw', 2)}) / len(gw) END AS wer
+      FROM (SELECT *, list_intersect(list_distinct(gw), list_distinct(pw)) AS sh FROM (SELECT *, {S.words(g)} AS gw, {S.words(p)} AS pw FROM {src})))"""
 
 
 @query(q("text_pairs", f"SELECT doc_id, line, round({_CER(_PL('gt'), _PL('pred'))}, 6) AS cer, round({_NED(_PL('gt'), _PL('pred'))}, 6) AS ned FROM text_pairs"))
@@ -44,11 +50,10 @@ def character_errors(spark, sf):
     )
 
 
-@query(q("text_pairs", f"SELECT doc_id, line, round({_WER('gt', 'pred')}, 6) AS wer FROM text_pairs"))
+@query(q("text_pairs", f"SELECT doc_id, line, round(wer, 6) AS wer FROM {_with_words('text_pairs')}"))
 def word_errors(spark, sf):
-    return I.text_pairs(spark, sf).select(
-        "doc_id", "line", F.round(T.wer(F.col("gt"), F.col("pred")), 6).alias("wer")
-    )
+    scored = T.with_wer(I.text_pairs(spark, sf), F.col("gt"), F.col("pred"))
+    return scored.select("doc_id", "line", F.round("wer", 6).alias("wer"))
 
 
 _G, _P = (f"list_distinct({S.words(f'lower({x})')})" for x in ("gt", "pred"))
@@ -96,7 +101,7 @@ def sequence_similarity(spark, sf):
     return scored.select("doc_id", "line", F.round("similarity", 6).alias("similarity"), F.round("cer", 6).alias("cer"))
 
 
-_ERR = f"""SELECT *, true AS matched, {_PL('gt')} = {_PL('pred')} AS exact, {_CER(_PL('gt'), _PL('pred'))} AS cer, {_WER(_PL('gt'), _PL('pred'))} AS wer, {_NED(_PL('gt'), _PL('pred'))} AS ned FROM text_pairs"""
+_ERR = f"""SELECT *, true AS matched, {_PL('gt')} = {_PL('pred')} AS exact, {_CER(_PL('gt'), _PL('pred'))} AS cer, {_NED(_PL('gt'), _PL('pred'))} AS ned FROM {_with_words('text_pairs', "lower(gt)", "lower(pred)")}"""
 _TOT = """count(*) AS total_cells, count(*) FILTER (matched) AS matched_cells, count(*) FILTER (exact) AS exact_matches, round(count(*) FILTER (matched) / count(*), 6) AS detection_rate, round(count(*) FILTER (exact) / count(*), 6) AS exact_rate,
   round(avg(cer), 6) AS avg_cer, round(avg(wer), 6) AS avg_wer, round(avg(ned), 6) AS avg_ned, round(stddev_pop(cer), 6) AS std_cer, round(1 - avg(cer), 6) AS accuracy"""
 _RATES = ("detection_rate", "exact_rate", "avg_cer", "avg_wer", "avg_ned", "std_cer", "accuracy")
@@ -121,7 +126,7 @@ def _merged(spark, sf):
 @query(
     q(
         "ocr_boxes cell_boxes",
-        f"SELECT {_TOT} FROM (SELECT *, pred <> '' AS matched, {_PL('gt')} = {_PL('pred')} AS exact, {_CER(_PL('gt'), _PL('pred'))} AS cer, {_WER(_PL('gt'), _PL('pred'))} AS wer, {_NED(_PL('gt'), _PL('pred'))} AS ned FROM merged)",
+        f"SELECT {_TOT} FROM (SELECT *, pred <> '' AS matched, {_PL('gt')} = {_PL('pred')} AS exact, {_CER(_PL('gt'), _PL('pred'))} AS cer, {_NED(_PL('gt'), _PL('pred'))} AS ned FROM {_with_words('merged', 'lower(gt)', 'lower(pred)')})",
         {"merged": _MERGED},
     )
 )
@@ -314,7 +319,7 @@ def _round_even(sql):
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             j += 1
-        out += f"round({sql[m.end():j - 1]}, 4)"
+        out += f"round_even({sql[m.end():j - 1]}, 4)"
         i = j
     return out + sql[i:]
 
@@ -410,10 +415,9 @@ def tree_similarity_with_text(spark, sf):
 def tag_event_similarity(spark, sf):
     cells = I.stored_cells(spark, sf)
     pairs = _html(_pred_cells(cells), "pred_html").join(_html(cells, "gt_html"), "table_id")
-    p, g = F.col("pred_html"), F.col("gt_html")
-    return pairs.select(
-        "table_id", D.event_similarity(p, g, True).alias("structure"), D.event_similarity(p, g).alias("with_text")
-    )
+    scored = D.event_similarity(pairs, "pred_html", "gt_html", "structure", structure_only=True)
+    scored = D.event_similarity(scored, "pred_html", "gt_html", "with_text")
+    return scored.select("table_id", "structure", "with_text")
 
 
 # --- curves and meters ---------------------------------------------------------------------------

@@ -316,12 +316,6 @@ def chars(x: str) -> str:
     return f"list_distinct(list_filter(string_split({x}, ''), lambda c: c <> ''))"
 
 
-def levenshtein_words(a: str, b: str) -> str:
-    voc = f"list_distinct(list_concat({a}, {b}))"
-    enc = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(list_position({voc}, w))), '')"
-    return f"levenshtein({enc(a)}, {enc(b)})"
-
-
 def iou(a: str, b: str) -> str:
     w = f"(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1))"
     h = f"(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
