@@ -496,3 +496,9 @@ def experiment_summary(results: dict[str, DataFrame | str]) -> DataFrame:
             )
             out = out.unionByName(one)
     return out
+
+
+def dataset_sizes(samples: DataFrame, domain: str, dataset: str) -> DataFrame:
+    """Sample counts per (domain, dataset), per domain and overall (null keys)."""
+    keyed = samples.select(F.col(domain).alias("domain"), F.col(dataset).alias("dataset"))
+    return keyed.rollup("domain", "dataset").agg(F.count(F.lit(1)).alias("n"))
