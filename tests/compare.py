@@ -20,8 +20,6 @@ def plain(v):
         return "nan" if math.isnan(v) else f"{v:.6g}" if abs(v) > 1e-9 else "0"
     if isinstance(v, bool) or v is None:
         return str(v)
-    if isinstance(v, int):
-        return f"{float(v):.6g}" if False else str(v)
     if isinstance(v, (list, tuple)):
         return str([plain(x) for x in v])
     return str(v)
@@ -58,8 +56,8 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     if got_cols != want_cols:
         return False, f"{note} columns {got_cols} vs {want_cols}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        only_got = sorted(set(got) - set(want))[:3]
+        only_want = sorted(set(want) - set(got))[:3]
         return False, f"{note} want rows={len(want)}\n   spark {only_got}\n   duck  {only_want}"
     return True, note
 
