@@ -114,6 +114,15 @@ def unit(text: Column, compat: bool = True) -> Column:
     return out.when(suffix != "", suffix)
 
 
+def bare_number(text: Column) -> Column:
+    """Nothing but digits, separators, signs and brackets: no currency, no unit word.
+
+    Most amounts look like this, and the test is one pass over the text where the
+    currency and unit patterns would be two dozen.
+    """
+    return F.translate(text, "0123456789,.-+() ", "") == ""
+
+
 def unit_scale(unit_name: Column) -> Column:
     out = F.when(unit_name.isNull(), F.lit(1).cast("bigint"))
     for scale in sorted(set(UNIT_SCALES.values())):

@@ -77,14 +77,21 @@ def normalize_texts(
     dc = F.col(default_currency) if default_currency else null
     ds = F.col(default_scale) if default_scale else F.lit(1).cast("bigint")
     numeric = F.col("cell_type") == "numeric"
+    thousands = F.col("_s").contains("000") & F.col("_s").rlike(r"\b000\b")
+    bare_unit = F.when(thousands, "000") if compat else null
     staged = (
         df.withColumn("cell_type", F.col(kind) if kind else N.cell_type(t, compat))
         .withColumn("_s", F.when(numeric, N.unsigned(t)))
-        .withColumn("unit", F.when(numeric, N.unit(F.col("_s"), compat)))
+        .withColumn("_bare", N.bare_number(F.col("_s")))
+        .withColumn(
+            "unit",
+            F.when(F.col("_bare"), bare_unit).when(numeric, N.unit(F.col("_s"), compat)),
+        )
         .withColumn("_own", F.when(numeric, N.unit_scale(F.col("unit"))))
         .withColumn("scale", F.when(F.col("_own") > 1, F.col("_own")).otherwise(ds))
         .withColumn(
-            "currency", F.coalesce(F.when(numeric, N.currency(F.col("_s"), compat)), dc)
+            "currency",
+            F.coalesce(F.when(numeric & ~F.col("_bare"), N.currency(F.col("_s"), compat)), dc),
         )
         .withColumn("is_negative", F.when(numeric, N.is_negative(t)).otherwise(False))
         .withColumn("_n", F.when(numeric, N.first_number(F.col("_s")) * F.col("scale")))
@@ -94,7 +101,7 @@ def normalize_texts(
             F.when(F.col("value").isNotNull(), N.money_text(F.col("value"), F.col("currency"))),
         )
     )
-    return staged.drop("_s", "_own", "_n")
+    return staged.drop("_s", "_bare", "_own", "_n")
 
 
 def normalize_cells(

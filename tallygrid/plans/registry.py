@@ -12,12 +12,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> None:
+    """Text rules compile to long methods, which the JVM leaves uncompiled above 8,000
+    bytes of code; below that limit Spark splits them and they run compiled."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a query under its function name, with the SQL giving the same rows."""
 
     def add(fn: Query) -> Query:
         key = name or fn.__name__
-        QUERIES[key] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn
