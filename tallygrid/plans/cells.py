@@ -530,8 +530,9 @@ def rule_checks(spark, sf):
 )
 def year_changes(spark, sf):
     cells = I.stored_cells(spark, sf)
-    meta = Z.column_metadata(cells)
-    return V.year_comparison(Z.normalize_cells(cells, meta), meta)
+    meta = cut_lineage(Z.column_metadata(cells))
+    values = Z.normalize_cells(cells, meta).select("table_id", "row_idx", "col_idx", "value")
+    return V.year_comparison(cut_lineage(values), meta)
 
 
 @query(
