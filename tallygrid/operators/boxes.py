@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions import geometry as G
-from tallygrid.partitioning import attach, row_chunk
+from tallygrid.partitioning import attach, row_chunk, running_sums
 
 # --- fixed values: structure label ids -------------------------------------------------
 STRUCTURE_KINDS = {
@@ -46,17 +46,16 @@ def all_crops(images: DataFrame, detections: DataFrame, pad: int = 10) -> DataFr
 
 
 def index_structure(elements: DataFrame) -> DataFrame:
-    """Number rows by y1 and columns by x1 within each table.
+    """Number rows by y1 and columns by x1 within each table (ties by input index).
 
-    The rank runs over the element boxes of one table and kind (its line count).
+    Counted stretch by stretch of the page, so a table of any length is spread out.
     """
     key = F.when(F.col("kind") == "columns", F.col("x1")).otherwise(F.col("y1"))
-    w = Window.partitionBy("table_id", "kind").orderBy("_k", "idx")
-    return (
-        elements.withColumn("_k", key)
-        .withColumn("position", (F.row_number().over(w) - 1).cast("int"))
-        .drop("_k")
+    placed = elements.withColumn("_o", F.struct(key.alias("k"), F.col("idx"))).withColumn(
+        "_c", F.floor(key / 4096.0)
     )
+    counted = running_sums(placed, {"_n": F.lit(1)}, ("table_id", "kind"), "_o", "_c")
+    return counted.withColumn("position", (F.col("_n") - 1).cast("int")).drop("_o", "_c", "_n")
 
 
 def lines(elements: DataFrame, kind: str, prefix: str) -> DataFrame:
