@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import oracles, quality
+from tallygrid.llm import jaccard, oracles, quality
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -13,3 +13,9 @@ __all__ = ["ORACLES", "QUERIES"]
 @query(oracles.QUALITY)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.JACCARD)
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return classes.select("doc_id", "n_shingles", "component_id")
