@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import jaccard, oracles, quality
+from tallygrid.llm import decontaminate, jaccard, oracles, quality
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -19,3 +19,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
     return classes.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("tiles").withColumn("contaminated", found.coverage >= decontaminate.MIN_COVERAGE)
