@@ -95,3 +95,47 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) AS c USING (doc_id)"""
+
+
+#: The mix by sorting all rows of a source by hash, where the query needs no sort.
+MIXTURE = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, ''),
+           coalesce(md5(text), ''))), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+         3 * source_size AS most
+  FROM s
+), r AS (
+  SELECT *, row_number() OVER o AS place, sum(source_size) OVER () AS total,
+         coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_ones,
+         sum(weight) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
+  FROM w WINDOW o AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)
+), l AS (
+  SELECT *, (total - full_ones)::DOUBLE / rest_weight::DOUBLE AS level FROM r
+), t AS (
+  SELECT source, source_size, least(most::DOUBLE, weight *
+    (SELECT level FROM l WHERE level * weight <= most ORDER BY place LIMIT 1)) AS target
+  FROM l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole
+  FROM t
+), sums AS (
+  SELECT source, h, sum(size) AS amount FROM d GROUP BY source, h
+), upto AS (
+  SELECT source, h, amount, sum(amount) OVER (PARTITION BY source ORDER BY h) AS upto FROM sums
+), chosen AS (
+  SELECT u.source, h, CASE WHEN upto <= target - whole * source_size THEN 1
+    WHEN upto - amount <= target - whole * source_size
+      AND 2 * (target - whole * source_size - (upto - amount)) > amount THEN 1 ELSE 0 END AS extra
+  FROM upto AS u JOIN b ON u.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, size * (whole + extra) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+JOIN chosen AS c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h"""

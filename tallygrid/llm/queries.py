@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, jaccard, oracles, quality
+from tallygrid.llm import decontaminate, jaccard, mixture, oracles, quality, sharding
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,3 +26,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("tiles").withColumn("contaminated", found.coverage >= decontaminate.MIN_COVERAGE)
+
+
+@query(oracles.MIXTURE)
+def op6_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixture.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
+    text = F.coalesce("text", F.lit(""))
+    return shards.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(sharding.LAW).alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
