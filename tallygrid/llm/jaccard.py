@@ -5,12 +5,13 @@ first ``n - ceil(t n) + 1`` shingles of each.  Candidates come from the first or
 must pass the same test under the others before sets are compared.  Every order puts
 frequent shingles last (a sketch of fixed size counts all shingles) and differs in the
 hash that orders equally frequent ones, so shared passages rarely make candidates.
+Lengths and a bitmap of parities, which bounds the difference of two sets from below,
+turn away most candidates before any set is fetched.
 
 Only components are wanted, so groups never expand into all pairs: equal sets are one
-node; a list of nodes that share a shingle is first compared with one hub; what the
-hub links needs no further look, and only pairs across components are left.  A list
-that is still long is divided by the prefix of the next order.  The last order's lists
-are compared in full, whatever their length, so no link is lost.
+node; the nodes of a list that share a shingle are first compared with three hubs; what
+the hubs link needs no further look, and only pairs across components are left.  All of
+those are compared, whatever the length of the list, so no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.llm import arrays, graph
@@ -30,8 +31,9 @@ CELL_BITS = 22
 BLOCK_BITS = 18
 #: One seed per order.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-#: Lists up to this length are compared pair by pair at once.
-SHORT_LIST = 64
+HUBS = 3
+#: Text handled at a time.
+PIECE = 1 << 20
 
 
 def shingle_sets(texts: arrays.Texts, width: int) -> Iterator[np.ndarray]:
@@ -75,6 +77,36 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int)
     return np.partition(places, p - 1)[:p] if p < len(places) else places
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles that fall on a bit is odd, for 2n to 4n bits.  Two
+    sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ; the longer is folded to the length of the other."""
+
+    def fit(z: Column, other: Column) -> Column:
+        half = F.size(other)
+        folded = F.zip_with(
+            F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q)
+        )
+        return F.when(F.size(z) > half, folded).otherwise(z)
+
+    bits = F.zip_with(fit(x, y), fit(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, v: total + v)
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of longs as one Arrow column."""
+    edges = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=edges[1:])
+    flat = np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in parts)])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
+
+
 def jaccard_classes(
     docs: DataFrame, width: int = 4, percent: int = 85, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -90,8 +122,8 @@ def jaccard_classes(
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     members, classes = _members(source, width, scratch)
-    labels = _label(source, classes, width, percent, scratch)
-    named = members.join(labels, "node", "left").withColumn(
+    labels = _label(source, members, classes, width, percent, scratch)
+    named = members.select("doc_id", "node", "n_shingles").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -105,42 +137,39 @@ def jaccard_classes(
 def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """One pass over all texts: the node of each document, and the frequency class of
     each cell of the sketch (its size is fixed, so it may go to every task)."""
-    names = ["doc_id", "node", "n_shingles", "block", "cells"]
+    names = ["doc_id", "copy", "node", "n_shingles", "bits", "block", "cells"]
+    schema = (
+        "doc_id long, copy long, node long, n_shingles long, bits array<long>, block int, cells binary"
+    )
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
-        for batch in arrays.slices(batches):
-            nodes, sizes = [], []
+        cells = np.zeros(1 << CELL_BITS, np.uint64)
+        for batch in arrays.slices(batches, most=PIECE):
             sets = list(shingle_sets(arrays.texts_of(batch.column("text")), width))
-            for s in sets:
-                nodes.append(node_of(s) if len(s) else None)
-                sizes.append(len(s))
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            bits = [parities(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             every = np.concatenate(sets) >> _U(64 - CELL_BITS)
-            cells += np.bincount(every.astype(np.int64), minlength=len(cells)).astype(np.uint32)
+            np.add.at(cells, every.astype(np.int64), _U(1))
             n = len(nodes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                    batch.column("doc_id"), batch.column("copy"), pa.array(nodes, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), lists(bits),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ],
                 names,
             )
         blocks = cells.reshape(-1, 1 << BLOCK_BITS)
         full = [i for i in range(len(blocks)) if blocks[i].any()]
-        n = len(full)
-        packed = [pa.compress(blocks[i].astype(np.uint64).tobytes(), "zstd", asbytes=True) for i in full]
+        packed = [pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in full]
+        none = [pa.nulls(len(full), t) for t in (*[pa.int64()] * 4, longs)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                pa.array(full, pa.int32()), pa.array(packed, pa.binary()),
-            ],
-            names,
-        )
-
-    raw = scratch.keep(
-        source.mapInArrow(run, "doc_id long, node long, n_shingles long, block int, cells binary"),
-        "members",
-    )
+            [*none, pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names
+        )
+
+    copy = F.xxhash64("text").alias("copy")
+    raw = scratch.keep(source.select("doc_id", copy, "text").mapInArrow(run, schema), "members")
 
     def total(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -169,7 +198,7 @@ def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame
         )
     usual = max(1.0, float(np.median(cells)))
     classes = np.floor(np.log2(1 + cells / usual) * 2).clip(0, 255).astype(np.uint8)
-    return raw.where("block is null").select("doc_id", "node", "n_shingles"), classes
+    return raw.where("block is null").drop("block", "cells"), classes
 
 
 def _prefixes(source: DataFrame, classes, width: int, percent: int) -> DataFrame:
@@ -177,7 +206,7 @@ def _prefixes(source: DataFrame, classes, width: int, percent: int) -> DataFrame
     shared = source.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches):
+        for batch in arrays.slices(batches, most=PIECE):
             tokens, nodes, sizes = [np.zeros(0, np.uint64)], [], []
             for s in shingle_sets(arrays.texts_of(batch.column("text")), width):
                 if len(s):
@@ -206,24 +235,18 @@ def node_column(width: int):
     return lambda text: name(F.coalesce(text, F.lit("")))
 
 
-def _sets(source: DataFrame, nodes: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """``node, shingles, p1, p2`` of the ``nodes`` given: the set, and its prefixes under
-    the second and third order."""
+def _sets(source: DataFrame, wanted: DataFrame, classes, width: int, percent: int) -> DataFrame:
+    """``node, shingles, p1, p2`` of the ``wanted`` nodes: the set, and its prefixes under
+    the second and third order.  ``wanted`` names for each node the text to read."""
     shared = source.sparkSession.sparkContext.broadcast(classes)
 
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        edges = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(x) for x in parts], out=edges[1:])
-        flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in arrays.slices(batches):
+        for batch in arrays.slices(batches, most=PIECE):
             nodes, rows = [], []
             sets = shingle_sets(arrays.texts_of(batch.column("text")), width)
             for node, s in zip(batch.column("node").to_pylist(), sets, strict=True):
-                if node != last:  # the join brings copies one after another
+                if node != last and node_of(s) == node:  # the join brings copies in a row
                     nodes.append(node)
                     rows.append((s, *(prefix(s, shared.value, o, percent) for o in (1, 2))))
                 last = node
@@ -232,99 +255,110 @@ def _sets(source: DataFrame, nodes: DataFrame, classes, width: int, percent: int
                 ["node", "shingles", "p1", "p2"],
             )
 
-    texts = source.select(node_column(width)(F.col("text")).alias("node"), "text")
-    wanted = texts.join(nodes, "node", "left_semi")
+    texts = source.select(F.xxhash64("text").alias("copy"), "text")
+    found = texts.join(wanted, "copy").select("node", "text")
     kind = "node long, shingles array<long>, p1 array<long>, p2 array<long>"
-    return wanted.mapInArrow(run, kind).dropDuplicates(["node"])
+    return found.mapInArrow(run, kind).dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those ``a, b`` of the pairs that link: lengths and the other orders' filters first,
-    then the sets themselves."""
-    right = sets.select(
-        F.col("node").alias("b"), F.col("shingles").alias("_shingles"),
-        F.col("p1").alias("_p1"), F.col("p2").alias("_p2"),
-    )
-    both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(right, "b")
-    n, m = F.size("shingles"), F.size("_shingles")
-    shared = F.size(F.array_intersect("shingles", "_shingles"))
-    return (
-        both.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
-        .where(F.arrays_overlap("p1", "_p1") & F.arrays_overlap("p2", "_p2"))
-        .where(100 * shared >= percent * (n + m - shared))
-        .select("a", "b")
-    )
+def _beside(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs with the facts of a, and those of b under names with an underscore."""
+    right = facts.select(*(F.col(c).alias("b" if c == "node" else f"_{c}") for c in facts.columns))
+    return pairs.join(facts.withColumnRenamed("node", "a"), "a").join(right, "b")
 
 
-def _label(source: DataFrame, classes, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``node, component`` of every node that has a link."""
+def _label(source, members: DataFrame, classes, width: int, percent: int, scratch) -> DataFrame:
+    """``node, component`` of every node that shares a prefix shingle with another."""
     tokens = _prefixes(source, classes, width, percent)
-    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
-    shared = shared.where("hub <> other").select("token", "hub")
-    posts = scratch.keep(tokens.join(shared, "token").distinct(), "posts-0")
-    sets = scratch.keep(
-        _sets(source, posts.select("node").distinct(), classes, width, percent), "sets"
-    )
-    labels = sets.select("node", F.col("node").alias("component"))
-    step = 0
-
-    def merge(pairs: DataFrame, what: str) -> None:
-        """Compare the pairs and join the components of those that link."""
-        nonlocal labels, step
-        step += 1
-        found = scratch.keep(_verified(pairs, sets, percent), f"links-{step}")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = shared.where("lo <> hi").select("token")
+    posts = scratch.keep(tokens.join(shared, "token").distinct(), "posts")
+    facts = members.select("node", "copy", F.col("n_shingles").alias("n"), "bits")
+    facts = facts.join(posts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    facts = scratch.keep(facts, "facts")
+    labels = facts.select("node", F.col("node").alias("component"))
+
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        """The pairs that link.  Bitmaps first, then the other orders, then the sets."""
+        near = _beside(pairs, facts)
+        differ = apart(F.col("bits"), F.col("_bits"))
+        may = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
+        near = scratch.keep(near.where(may).select("a", "b", "copy", "_copy"), f"near-{step}")
+        ends = near.select(F.col("a").alias("node"), "copy").union(near.select("b", "_copy"))
+        sets = _sets(source, ends.distinct(), classes, width, percent)
+        sets = scratch.keep(sets, f"sets-{step}")
+        both = _beside(near.select("a", "b"), sets)
+        n, m = F.size("shingles"), F.size("_shingles")
+        shared = F.size(F.array_intersect("shingles", "_shingles"))
+        agree = F.arrays_overlap("p1", "_p1") & F.arrays_overlap("p2", "_p2")
+        enough = 100 * shared >= percent * (n + m - shared)
+        return scratch.keep(both.where(agree).where(enough).select("a", "b"), f"links-{step}")
+
+    def merge(found: DataFrame, step: str) -> DataFrame:
         a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         links = found.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        joined = graph.components(links, scratch, f"graph-{step}").select(
-            F.col("node").alias("component"), F.col("component").alias("to")
-        )
-        labels = scratch.keep(
-            labels.join(joined, "component", "left").select(
-                "node", F.coalesce("to", "component").alias("component")
-            ),
-            f"labels-{step}",
+        joined = graph.components(links, scratch, f"graph-{step}")
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = labels.join(joined, "component", "left")
+        return scratch.keep(
+            moved.select("node", F.coalesce("to", "component").alias("component")), f"labels-{step}"
         )
 
-    def across(posts: DataFrame) -> DataFrame:
-        """The lists that hold more than one component, with it and the list's length."""
-        known = posts.select("token", "node").join(labels, "node")
-        ends = known.groupBy("token").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
-        )
-        return known.join(ends.where("lo <> hi").select("token", "length"), "token")
-
-    def all_pairs(lists: DataFrame) -> DataFrame:
-        left = lists.select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = lists.select("token", F.col("node").alias("b"), F.col("component").alias("cb"))
-        met = left.join(right, "token").where("a < b and ca <> cb")
-        return met.select("a", "b").distinct()
-
-    for order in range(len(ORDERS)):
-        stars = posts.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        merge(stars.distinct(), "stars")
-        left = scratch.keep(across(posts), f"across-{order}")
-        last = order + 1 == len(ORDERS)
-        short = left if last else left.where(F.col("length") <= SHORT_LIST)
-        merge(all_pairs(short), "pairs")
-        if last:
-            break
-        long = left.where(F.col("length") > SHORT_LIST)
-        if not long.limit(1).count():
-            break
-        finer = _divided(long, sets, order)
-        hubs = finer.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
-        hubs = hubs.where("hub <> other").select("token", "hub")
-        posts = scratch.keep(finer.join(hubs, "token").distinct(), f"posts-{order + 1}")
-    return labels
-
-
-def _divided(lists: DataFrame, sets: DataFrame, order: int) -> DataFrame:
-    """Long lists divided by the prefixes of the next order: ``token, node``."""
-    named = sets.select("node", F.col(f"p{order + 1}").alias("more"))
-    both = lists.select("token", "node").join(named, "node")
-    both = both.select("token", "node", F.explode("more").alias("next"))
-    return both.select(F.xxhash64("token", "next").alias("token"), "node")
+    sized = posts.join(facts.select("node", "n"), "node")
+    labels = merge(linked(_stars(sized, percent), "stars"), "stars")
+    rest = _widest(_across(sized.join(labels, "node")), scratch)
+    return merge(linked(_all_pairs(rest, percent), "pairs"), "pairs")
+
+
+def _fits(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """Every node with the hubs of its lists: those that come first by one hash each."""
+    hash_of = [F.xxhash64("node", F.lit(k)) for k in range(HUBS)]
+    hubs = posts.groupBy("token").agg(
+        *(F.min_by("node", h).alias(f"hub{k}") for k, h in enumerate(hash_of)),
+        *(F.min_by("n", h).alias(f"m{k}") for k, h in enumerate(hash_of)),
+    )
+    each = [F.struct(F.col(f"hub{k}").alias("hub"), F.col(f"m{k}").alias("m")) for k in range(HUBS)]
+    met = posts.join(hubs, "token").select("node", "n", F.explode(F.array(*each)).alias("h"))
+    met = met.where((F.col("h.hub") != F.col("node")) & _fits(F.col("n"), F.col("h.m"), percent))
+    return met.select(
+        F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")
+    ).distinct()
+
+
+def _across(posts: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with their length."""
+    ends = posts.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
+    )
+    return posts.join(ends.where("lo <> hi").select("token", "length"), "token")
+
+
+def _widest(posts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Without the lists whose nodes all stand in one longer list: tokens of one passage
+    give lists of much the same nodes, and any of them finds the same pairs."""
+    posts = scratch.keep(posts, "across")
+    rank = F.struct("length", "token")
+    longest = posts.groupBy("node").agg(F.max(rank).alias("longest"))
+    reach = posts.join(longest, "node").groupBy("token").agg(
+        F.min("longest.token").alias("lo"), F.max("longest.token").alias("hi")
+    )
+    covered = reach.where("lo = hi and lo <> token").select("token")
+    return posts.join(covered, "token", "left_anti")
+
+
+def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list that belong to different components."""
+    side = posts.select("token", "node", "component", "n")
+    left = side.select(*(F.col(c).alias(f"l_{c}") for c in side.columns))
+    right = side.select(*(F.col(c).alias(f"r_{c}") for c in side.columns))
+    met = F.expr("l_token = r_token and l_node < r_node and l_component <> r_component")
+    pairs = left.join(right, met & _fits(F.col("l_n"), F.col("r_n"), percent))
+    return pairs.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
 def one_per_class(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

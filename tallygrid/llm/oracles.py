@@ -139,3 +139,21 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * (whole + extra) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN chosen AS c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h"""
+
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS r FROM pages
+), d AS (
+  SELECT page_id, r, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex,
+         row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, r) AS k,
+         max(page_id) OVER (PARTITION BY html) AS last
+  FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, 5 * g::INT + 1, 5))::INT >> b) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN last END AS refers_to
+FROM d"""
