@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, jaccard, katz, language, mixture, oracles, quality, sharding, warc_zip
+from tallygrid.llm import decontaminate, jaccard, katz, language, mixture, oracles, quality, sharding, token_files, warc_zip
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,3 +59,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_zip.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(table(spark, sf_dir, "documents"))
