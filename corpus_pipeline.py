@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import quality
+from tallygrid.llm import decontaminate, jaccard, mixture, quality, sharding
 from tallygrid.llm.store import Scratch
 
 
@@ -13,9 +13,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8."""
+    return jaccard.one_per_class(docs, width=5, percent=80)
 
-#: Hashes in place of whole n-grams, rounds of links and seeded permutations have no SQL.
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source as often as its target asks: copies of a document are rows."""
+    return mixture.mixed(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in shuffled order, with their shard and slot."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_to_target_weights", mixing_to_target_weights),
+    ("sharding", sharding_stage),
+]
+
+#: Greedy tiling and a seeded permutation have no SQL: tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

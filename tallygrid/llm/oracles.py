@@ -157,3 +157,38 @@ SELECT page_id, payload_bytes,
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN k > 1 THEN last END AS refers_to
 FROM d"""
+
+
+#: All pairs of lines of nearly one length; ``levenshtein`` counts bytes, so letters
+#: beyond ASCII are first mapped one to one to single bytes that no text holds.
+LINES = rf"""
+WITH RECURSIVE letters AS (
+  SELECT string_agg(c, '' ORDER BY c) AS s FROM (
+    SELECT DISTINCT unnest(string_split(coalesce(text, ''), '')) AS c FROM documents) WHERE unicode(c) > 127
+), free AS (
+  SELECT string_agg(chr(i::INT), '' ORDER BY i) AS s FROM range(1, 128) AS t(i)
+  WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, chr(i::INT))) AND i NOT IN (9, 10, 11, 12, 13)
+), o AS (
+  SELECT doc_id, number, l FROM (
+    SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS number FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+  WHERE regexp_matches(l, '{WORD}')
+), d AS (
+  SELECT l, length(l) AS n, translate(l, (SELECT s FROM letters), (SELECT s FROM free)) AS t
+  FROM (SELECT DISTINCT l FROM o)
+), links AS (
+  SELECT a.l AS a, b.l AS b FROM d AS a JOIN d AS b
+  ON b.n BETWEEN a.n AND a.n + 2 AND a.l <> b.l AND b.n >= 10
+  WHERE levenshtein(a.t, b.t) <= least(2, b.n // 10)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(l, r) AS (
+  SELECT a, a FROM both_ways UNION SELECT reach.l, b FROM reach JOIN both_ways ON a = r
+), classes AS (SELECT l, min(r) AS c FROM reach GROUP BY l
+), ranked AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY coalesce(c, o.l) ORDER BY doc_id, number) AS k
+  FROM o LEFT JOIN classes USING (l)
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents AS d LEFT JOIN (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed FROM ranked GROUP BY doc_id
+) USING (doc_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, jaccard, katz, language, mixture, oracles, quality, sharding, token_files, warc_zip
+from tallygrid.llm import decontaminate, jaccard, katz, language, line_dedup, mixture, oracles, quality, sharding, token_files, warc_zip
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.LINES)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.per_document(table(spark, sf_dir, "documents"))
