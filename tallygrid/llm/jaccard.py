@@ -32,6 +32,8 @@ BLOCK_BITS = 18
 #: One seed per order.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HUBS = 3
+#: Numbers of 64 bits in the short bitmap that travels with every candidate list.
+SHORT = 8
 #: Text handled at a time.
 PIECE = 1 << 20
 
@@ -77,10 +79,10 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int)
     return np.partition(places, p - 1)[:p] if p < len(places) else places
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles that fall on a bit is odd, for 2n to 4n bits.  Two
-    sets differ in at least as many shingles as their bitmaps in bits."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+def parities(shingles: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Whether the number of shingles that fall on a bit is odd, for 2n to 4n bits if not
+    told.  Two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = bits or max(64, 1 << (2 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -137,9 +139,10 @@ def jaccard_classes(
 def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """One pass over all texts: the node of each document, and the frequency class of
     each cell of the sketch (its size is fixed, so it may go to every task)."""
-    names = ["doc_id", "copy", "node", "n_shingles", "bits", "block", "cells"]
+    names = ["doc_id", "copy", "node", "n_shingles", "bits", "short", "block", "cells"]
     schema = (
-        "doc_id long, copy long, node long, n_shingles long, bits array<long>, block int, cells binary"
+        "doc_id long, copy long, node long, n_shingles long, bits array<long>, short array<long>, "
+        "block int, cells binary"
     )
     longs = pa.list_(pa.int64())
 
@@ -149,13 +152,14 @@ def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame
             sets = list(shingle_sets(arrays.texts_of(batch.column("text")), width))
             nodes = [node_of(s) if len(s) else None for s in sets]
             bits = [parities(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+            short = [parities(s, 64 * SHORT) for s in sets]
             every = np.concatenate(sets) >> _U(64 - CELL_BITS)
             np.add.at(cells, every.astype(np.int64), _U(1))
             n = len(nodes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("copy"), pa.array(nodes, pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()), lists(bits),
+                    pa.array([len(s) for s in sets], pa.int64()), lists(bits), lists(short),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ],
                 names,
@@ -163,7 +167,7 @@ def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame
         blocks = cells.reshape(-1, 1 << BLOCK_BITS)
         full = [i for i in range(len(blocks)) if blocks[i].any()]
         packed = [pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in full]
-        none = [pa.nulls(len(full), t) for t in (*[pa.int64()] * 4, longs)]
+        none = [pa.nulls(len(full), t) for t in (*[pa.int64()] * 4, longs, longs)]
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names
         )
@@ -273,14 +277,14 @@ def _label(source, members: DataFrame, classes, width: int, percent: int, scratc
     shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = shared.where("lo <> hi").select("token")
     posts = scratch.keep(tokens.join(shared, "token").distinct(), "posts")
-    facts = members.select("node", "copy", F.col("n_shingles").alias("n"), "bits")
+    facts = members.select("node", "copy", F.col("n_shingles").alias("n"), "bits", "short")
     facts = facts.join(posts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     facts = scratch.keep(facts, "facts")
     labels = facts.select("node", F.col("node").alias("component"))
 
     def linked(pairs: DataFrame, step: str) -> DataFrame:
         """The pairs that link.  Bitmaps first, then the other orders, then the sets."""
-        near = _beside(pairs, facts)
+        near = _beside(pairs, facts.select("node", "copy", "n", "bits"))
         differ = apart(F.col("bits"), F.col("_bits"))
         may = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
         near = scratch.keep(near.where(may).select("a", "b", "copy", "_copy"), f"near-{step}")
@@ -307,8 +311,8 @@ def _label(source, members: DataFrame, classes, width: int, percent: int, scratc
 
     sized = posts.join(facts.select("node", "n"), "node")
     labels = merge(linked(_stars(sized, percent), "stars"), "stars")
-    rest = _widest(_across(sized.join(labels, "node")), scratch)
-    return merge(linked(_all_pairs(rest, percent), "pairs"), "pairs")
+    rest = scratch.keep(_across(sized.join(labels, "node")), "across")
+    return merge(linked(_all_pairs(rest, facts, percent), "pairs"), "pairs")
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -338,26 +342,29 @@ def _across(posts: DataFrame) -> DataFrame:
     return posts.join(ends.where("lo <> hi").select("token", "length"), "token")
 
 
-def _widest(posts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Without the lists whose nodes all stand in one longer list: tokens of one passage
-    give lists of much the same nodes, and any of them finds the same pairs."""
-    posts = scratch.keep(posts, "across")
-    rank = F.struct("length", "token")
-    longest = posts.groupBy("node").agg(F.max(rank).alias("longest"))
-    reach = posts.join(longest, "node").groupBy("token").agg(
-        F.min("longest.token").alias("lo"), F.max("longest.token").alias("hi")
-    )
-    covered = reach.where("lo = hi and lo <> token").select("token")
-    return posts.join(covered, "token", "left_anti")
-
+def _all_pairs(posts: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list that belong to different components and may link.
 
-def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list that belong to different components."""
-    side = posts.select("token", "node", "component", "n")
+    The tokens of one passage, or of one group of copies, give lists of much the same
+    nodes.  Every node has a home, the longest of its lists; nodes with one home meet
+    there alone.  Lengths and short bitmaps are compared as the lists meet, so pairs
+    that cannot link are never made.
+    """
+    home = posts.groupBy("node").agg(F.max(F.struct("length", "token")).alias("home"))
+    short = [F.col("short")[i].alias(f"s{i}") for i in range(SHORT)]
+    more = home.join(facts.select("node", *short), "node")
+    side = posts.select("token", "node", "component", "n").join(
+        more.select("node", F.col("home.token").alias("home"), *(f"s{i}" for i in range(SHORT))), "node"
+    )
     left = side.select(*(F.col(c).alias(f"l_{c}") for c in side.columns))
     right = side.select(*(F.col(c).alias(f"r_{c}") for c in side.columns))
-    met = F.expr("l_token = r_token and l_node < r_node and l_component <> r_component")
-    pairs = left.join(right, met & _fits(F.col("l_n"), F.col("r_n"), percent))
+    met = F.expr(
+        "l_token = r_token and l_node < r_node and l_component <> r_component "
+        "and (l_home <> r_home or l_home = l_token)"
+    )
+    differ = sum(F.bit_count(F.col(f"l_s{i}").bitwiseXOR(F.col(f"r_s{i}"))) for i in range(SHORT))
+    may = differ * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)
+    pairs = left.join(right, met & _fits(F.col("l_n"), F.col("r_n"), percent) & may)
     return pairs.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 

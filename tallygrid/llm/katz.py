@@ -42,7 +42,8 @@ PACKED = "kind int, part int, " + ", ".join(f"{c} binary" for c in BLOBS)
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes under zstd: small numbers in wide types cost little."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    width = values.nbytes // max(len(values), 1)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), width).T.tobytes()
     return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 

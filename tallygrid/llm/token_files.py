@@ -136,7 +136,7 @@ def scan(
     )
     total = (F.col("size") / KIND.itemsize).cast("long")
     final = (F.col("block") == ((F.col("size") - 1) / width).cast("long")) & (
-        F.coalesce(F.element_at("ends", -1) + 1, F.col("begun")) < total
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("begun")) < total
     )
     starts = F.concat(F.array("begun"), F.transform("ends", lambda e: e + 1))
     closed = F.transform("ends", lambda e: F.struct(e.alias("stop"), F.lit(True).alias("closed")))

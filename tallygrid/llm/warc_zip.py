@@ -157,7 +157,7 @@ def warc_record(kind: str, page_id, url: str, refers_to, payload: bytes, digest:
     block = head.encode() + (payload if kind == "response" else b"")
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{named}>",
-        f"WARC-Target-URI: {''.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if kind == "revisit":
@@ -243,13 +243,14 @@ def write_packages(
                     package, index = PackageWriter(stream, zip64), []
                     package.begin(DATA)
                 digest = base64.b32encode(row["sha"]).decode()
+                url = "".join(row["url"].split())
                 record = warc_record(
-                    row["kind"], row["page_id"], row["url"], row["refers_to"], row["payload"], digest
+                    row["kind"], row["page_id"], url, row["refers_to"], row["payload"], digest
                 )
                 squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
                 data = squeeze.compress(record) + squeeze.flush()
                 entry = {"offset": package.size, "length": len(data), "digest": f"sha1:{digest}", "filename": DATA}
-                index.append(f"{row['url'].replace(' ', '%20')} 19700101000000 {json.dumps(entry)}\n")
+                index.append(f"{url or '-'} 19700101000000 {json.dumps(entry)}\n")
                 package.write(data)
                 if package.size >= package_bytes:
                     close()
@@ -343,7 +344,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PACKAG
     refers_to, payload_bytes, payload_digest, payload``.
 
     A null html is an empty payload, a null url an empty one; a null page_id comes back
-    null, also as what a revisit refers to.  Repeated rows are records of their own.  An
+    null, also as what a revisit refers to; white space in a url is left out.  Repeated rows are records of their own.  An
     empty table gives no package and an empty result.  Only page_id, url and html are
     read.  The pages should be a stored table, whose rows keep their places.
     """
