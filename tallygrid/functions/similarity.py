@@ -19,7 +19,7 @@ def _pairwise(score: Callable[[str, str], float]):
     """
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([score(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="float64")
 
     return F.pandas_udf(run, T.DoubleType())
 
@@ -49,12 +49,14 @@ def score_distinct_pairs(df: DataFrame, a: str, b: str, name: str, score) -> Dat
     """Add ``score(a, b)`` computed once per distinct pair.
 
     Equal strings never reach Python; the rest are de-duplicated first, so a pair
-    repeated across a third of the corpus is scored once.  The scored pairs are
+    repeated across a third of the corpus is scored once.  A null is scored as an empty
+    string, so no row is lost.  The scored pairs are
     joined back on the pair hashed together with a salt that spreads hot pairs.
     """
     salts = 16
-    same = df.where(F.col(a) == F.col(b)).withColumn(name, score(None, None))
-    differ = df.where(F.col(a) != F.col(b))
+    equal = F.col(a).eqNullSafe(F.col(b))
+    same = df.where(equal).withColumn(name, score(None, None))
+    differ = df.where(~equal)
     pairs = (
         differ.select(a, b)
         .distinct()
@@ -64,7 +66,10 @@ def score_distinct_pairs(df: DataFrame, a: str, b: str, name: str, score) -> Dat
     salted = differ.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in differ.columns]), F.lit(salts)).cast("int")
     )
-    return same.unionByName(salted.join(pairs, [a, b, "_salt"]).drop("_salt"))
+    keys = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("_salt").alias("_s"), name)
+    met = F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b"))
+    found = salted.join(keys, met & (F.col("_salt") == F.col("_s")))
+    return same.unionByName(found.drop("_salt", "_a", "_b", "_s"))
 
 
 def with_ratio(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:

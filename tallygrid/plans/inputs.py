@@ -244,13 +244,12 @@ def detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, line, gt, pred: every sentence of every document, whole."""
-    text = F.regexp_replace("text", "[^ -~\n]", "")
     pred = F.replace(
         F.replace(F.col("gt"), F.lit("e"), F.lit("c")), F.lit(" t"), F.lit(" ")
     )
     return (
         table(spark, sf_dir, "documents")
-        .select("doc_id", "source", F.posexplode(F.split(text, "[.!?\n]+")).alias("line", "gt"))
+        .select("doc_id", "source", F.posexplode(F.split("text", "[.!?\n]+")).alias("line", "gt"))
         .withColumn("pred", pred)
     )
 
@@ -305,7 +304,7 @@ def noisy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         k.alias("id"),
         F.when(k % 2 == 0, pick).otherwise(
-            F.concat(F.col("p_name"), F.lit(" "), F.substring("p_type", 2, 100))
+            F.concat(F.col("p_name"), F.lit(" "), F.expr("substring(p_type, 2)"))
         ).alias("text"),
     )
 

@@ -82,7 +82,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "text_pairs": ((), """
   SELECT doc_id, source, line, gt, replace(replace(gt, 'e', 'c'), ' t', ' ') AS pred
   FROM (SELECT doc_id, source, unnest(range(0, len(parts)))::INTEGER AS line, unnest(parts) AS gt
-        FROM (SELECT doc_id, source, regexp_split_to_array(regexp_replace(text, '[^ -~\\n]', '', 'g'), '[.!?\\n]+') AS parts FROM documents))"""),
+        FROM (SELECT doc_id, source, regexp_split_to_array(text, '[.!?\\n]+') AS parts FROM documents))"""),
     "number_texts": ((), """
   SELECT o_orderkey AS id, o_totalprice AS gt, CASE o_orderkey % 24
     WHEN 0 THEN two WHEN 1 THEN '(' || whole || ')' WHEN 2 THEN '$' || whole WHEN 3 THEN '12.5%' WHEN 4 THEN '1.2m'
@@ -95,7 +95,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN
     (['otal assets', 'Otal Liabilities', 'the ash flows', 'Net ncome (rofit)', 'Turnover', 'PBT', 'Total  Assets!', 'cash and equivalents cash',
       'Other operating income net', 'right-of-use assets', 'Oroup curent S''000', 'ET old Ther', '', 'Deferred tax assets', 'loans and financing advances'])[p_partkey % 15 + 1]
-    ELSE p_name || ' ' || substring(p_type, 2, 100) END AS text FROM part"""),
+    ELSE p_name || ' ' || substring(p_type, 2) END AS text FROM part"""),
     "question_base": (("statement_rows",), """
   SELECT r.table_id, r.row_idx, CASE (r.table_id + r.row_idx) % 6 WHEN 0 THEN upper(r.label) WHEN 1 THEN r.label || ' (restated)'
       WHEN 2 THEN replace(r.label, 'a', 'aa') WHEN 3 THEN CASE WHEN r.table_id % 2 = 0 THEN 'no such row zzz' ELSE r.label END ELSE r.label END AS row_key,

@@ -31,8 +31,14 @@ def r6(df, *cols):
 # --- text ------------------------------------------------------------------------------------
 
 _PL = lambda x: f"lower(trim({S.sub(x, chr(92) + 's+', ' ')}))"
-_CER = lambda g, p: f"(CASE WHEN length({g}) = 0 THEN CASE WHEN length({p}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({g}, {p}) / length({g}) END)"
-_NED = lambda g, p: f"coalesce(levenshtein({g}, {p}) / nullif(greatest(length({g}), length({p})), 0), 0)"
+# DuckDB's levenshtein counts bytes: letters beyond ASCII become, one to one, single bytes
+# that no text holds, which leaves the distance in characters.
+_LETTERS = "(SELECT string_agg(c, '' ORDER BY c) FROM (SELECT DISTINCT unnest(string_split(text || lower(text), '')) AS c FROM documents) WHERE unicode(c) > 127)"
+_FREE = "(SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) FROM range(1, 128) AS t(i) WHERE i NOT BETWEEN 9 AND 13 AND i NOT BETWEEN 28 AND 32 AND NOT EXISTS (SELECT 1 FROM documents WHERE contains(text || lower(text), chr(i::INTEGER))))"
+_BYTES = lambda x: f"translate({x}, {_LETTERS}, {_FREE})"
+_LEV = lambda g, p: f"levenshtein({_BYTES(g)}, {_BYTES(p)})"
+_CER = lambda g, p: f"(CASE WHEN length({g}) = 0 THEN CASE WHEN length({p}) = 0 THEN 0.0 ELSE 1.0 END ELSE {_LEV(g, p)} / length({g}) END)"
+_NED = lambda g, p: f"coalesce({_LEV(g, p)} / nullif(greatest(length({g}), length({p})), 0), 0)"
 
 
 def _with_words(src, g="gt", p="pred"):
