@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.numeric import strip
-from tallygrid.partitioning import (
-    attach,
-    cut_lineage,
-    running_sums,
-    spans_chunks,
-    with_chunk,
-)
+from tallygrid.partitioning import attach, running_sums, with_chunk
+from tallygrid.storage import stored
 
 CELL_LABELS = ["section_title", "column_header", "row_header", "data", "currency_unit"]
 
@@ -203,7 +199,7 @@ def classify_rows(values: DataFrame, implicit_subtotals: bool = True) -> DataFra
     )
     if not implicit_subtotals:
         return rows
-    rows = cut_lineage(rows)
+    rows = stored(rows)
     hits = implicit_subtotal_rows(values, rows)
     return rows.join(
         hits.withColumn("_hit", F.lit(True)), ["table_id", "row_chunk", "row_idx"], "left"
@@ -221,19 +217,16 @@ def implicit_subtotal_rows(values: DataFrame, rows: DataFrame) -> DataFrame:
 
     A row found this way ends its section, so later rows of the section depend on
     earlier ones.  Each candidate carries running sums from the section start, which
-    reduces the dependence to a fold over the candidates alone.  The fold runs per
-    section and chunk of 65,536 rows; sections reaching into further chunks hand
-    their state on, chunk by chunk.
+    reduces the dependence to a fold over the candidates alone.  These stream in row
+    order, so a section of any length needs memory for one row and its open sums.
     """
     blank = F.coalesce(strip(F.col("label")), F.lit("")) == ""
     candidate = (F.col("row_class") == "data") & blank
-    chunked = spans_chunks(rows)
     # Only tables, then only sections, that hold a candidate need running sums.
     tables = rows.where(candidate).select("table_id").distinct()
     marked = running_sums(
         rows.join(tables, "table_id", "left_semi").withColumn("_cand", candidate),
         {"section": F.when(F.col("row_class").isin(*BOUNDARIES), 1).otherwise(0)},
-        chunked=chunked,
     ).select("table_id", "row_chunk", "row_idx", "section", "_cand", "row_class")
     with_cands = marked.where("_cand").select("table_id", "section").distinct()
     data = marked.where(F.col("row_class") == "data").join(
@@ -246,103 +239,41 @@ def implicit_subtotal_rows(values: DataFrame, rows: DataFrame) -> DataFrame:
         long,
         {"s": F.coalesce(v, F.lit(0.0)), "n": F.when(v.isNotNull(), 1).otherwise(0)},
         keys=("table_id", "section", "col_idx"),
-        chunked=chunked,
     )
-    cell = F.struct("col_idx", "value", "s", "n")
+    cell = F.struct(F.col("col_idx").cast("int").alias("col_idx"), "value", "s", F.col("n").cast("long").alias("n"))
     cands = (
         summed.where("_cand")
         .groupBy("table_id", "section", "row_chunk", "row_idx")
-        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    )
-    folded = cands.groupBy("table_id", "section", "row_chunk").agg(
-        F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("cands")
-    )
-    if not chunked:
-        return _fold_section(folded.withColumn("base", _empty_base())).select(
-            "table_id", "row_chunk", F.explode("hits").alias("row_idx")
-        )
-    return _fold_chunks(folded, rows.agg(F.max("row_chunk")).first()[0])
-
-
-def _empty_base() -> Column:
-    return F.array().cast("array<struct<col_idx:int,s:double,n:bigint>>")
-
-
-def _fold_section(folded: DataFrame) -> DataFrame:
-    """Walk the candidates of each (section, chunk); adds hits and the closing base."""
-
-    def base_of(base: Column, col: Column) -> Column:
-        return F.element_at(
-            F.concat(
-                F.filter(base, lambda b: b["col_idx"] == col),
-                F.array(
-                    F.struct(
-                        col.alias("col_idx"), F.lit(0.0).alias("s"),
-                        F.lit(0).cast("bigint").alias("n"),
-                    )
-                ),
-            ),
-            1,
-        )
-
-    def matches(base: Column, c: Column) -> Column:
-        before = base_of(base, c["col_idx"])
-        known = F.when(c["value"].isNotNull(), 1).otherwise(0)
-        total = c["s"] - F.coalesce(c["value"], F.lit(0.0)) - before["s"]
-        count = c["n"] - known - before["n"]
-        return F.coalesce(
-            (count >= 2)
-            & (F.abs(c["value"]) > 0)
-            & (F.abs(total - c["value"]) <= 0.01 * F.abs(c["value"])),
-            F.lit(False),
-        )
-
-    def step(acc: Column, cand: Column) -> Column:
-        hit = F.exists(cand["cells"], lambda c: matches(acc["base"], c))
-        here = F.transform(
-            cand["cells"],
-            lambda c: F.struct(
-                c["col_idx"].cast("int").alias("col_idx"), c["s"].alias("s"),
-                c["n"].cast("bigint").alias("n"),
-            ),
-        )
-        return F.struct(
-            F.when(hit, here).otherwise(acc["base"]).alias("base"),
-            F.when(hit, F.concat(acc["hits"], F.array(cand["row_idx"])))
-            .otherwise(acc["hits"])
-            .alias("hits"),
-        )
-
-    start = F.struct(
-        F.col("base").alias("base"), F.array().cast("array<int>").alias("hits")
+        .agg(F.collect_list(cell).alias("cells"))
     )
-    return folded.withColumn("_f", F.aggregate("cands", start, step)).select(
-        "table_id", "section", "row_chunk", F.col("_f.base").alias("base"),
-        F.col("_f.hits").alias("hits"),
+    ordered = cands.repartition("table_id", "section").sortWithinPartitions(
+        "table_id", "section", "row_idx"
     )
-
-
-def _fold_chunks(folded: DataFrame, last: int) -> DataFrame:
-    folded = cut_lineage(folded)
-    state, found = None, None
-    for chunk in range(last + 1):
-        part = folded.where(F.col("row_chunk") == chunk)
-        if state is None:
-            part = part.withColumn("base", _empty_base())
-        else:
-            part = part.join(state, ["table_id", "section"], "left").withColumn(
-                "base", F.coalesce("base", _empty_base())
-            )
-        done = cut_lineage(_fold_section(part))
-        fresh = done.select("table_id", "section", "base")
-        if state is None:
-            state = fresh
-        else:
-            kept = state.join(fresh, ["table_id", "section"], "left_anti")
-            state = cut_lineage(kept.unionByName(fresh))
-        hits = done.select("table_id", "row_chunk", F.explode("hits").alias("row_idx"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    kinds = {c: ordered.schema[c].dataType.simpleString() for c in ("table_id", "row_chunk", "row_idx")}
+    return ordered.mapInPandas(_closing_rows, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def _closing_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates, section by section in row order, that equal what is above them since
+    the section began or the last such row: two values or more in one column at least."""
+    section, base = None, {}
+    for batch in batches:
+        keep = []
+        for table, number, cells in zip(batch["table_id"], batch["section"], batch["cells"], strict=True):
+            if (table, number) != section:
+                section, base = (table, number), {}
+            keep.append(any(_adds_up(c, *base.get(c["col_idx"], (0.0, 0))) for c in cells))
+            if keep[-1]:
+                base = {c["col_idx"]: (c["s"], c["n"]) for c in cells}
+        yield batch.loc[keep, ["table_id", "row_chunk", "row_idx"]]
+
+
+def _adds_up(cell: dict, before: float, counted: int) -> bool:
+    value = cell["value"]
+    if value is None or value == 0:
+        return False
+    total = cell["s"] - value - before
+    return cell["n"] - 1 - counted >= 2 and abs(total - value) <= 0.01 * abs(value)
 
 
 def keyword_rows(rows: DataFrame, keywords: Sequence[str] = tuple(TOTAL_WORDS)) -> DataFrame:

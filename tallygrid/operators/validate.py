@@ -21,12 +21,11 @@ from tallygrid.operators.classify import (
 )
 from tallygrid.partitioning import (
     attach,
-    cut_lineage,
     extent,
     running_sums,
-    spans_chunks,
     with_chunk,
 )
+from tallygrid.storage import stored
 
 # --- fixed values: keywords of statement rows ------------------------------------------
 ASSETS = ["total assets", "assets"]
@@ -128,7 +127,6 @@ def _sections(rows: DataFrame) -> DataFrame:
         rows,
         {"section": is_class(*BOUNDARIES), "block": is_class("total"), "subs": is_class("subtotal")},
         inclusive=False,
-        chunked=spans_chunks(rows),
     )
 
 
@@ -177,7 +175,7 @@ def column_sum_checks(
     Both passes are aggregates over counted sections with map-side partial sums, so a
     section holding a large share of all rows is added up where its rows are read.
     """
-    rows = cut_lineage(classify_rows(values)) if rows is None else rows
+    rows = stored(classify_rows(values)) if rows is None else rows
     long = _amounts(values, _sections(rows))
     v, cls = F.col("value"), F.col("row_class")
     keep = _included(blank_rows)
@@ -267,7 +265,7 @@ def column_sum_checks(
 
 def row_selection(values: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Why each row of a subtotal's section was included or not (the debug trail)."""
-    rows = cut_lineage(classify_rows(values)) if rows is None else rows
+    rows = stored(classify_rows(values)) if rows is None else rows
     rows = _sections(rows)
     closing = rows.where(F.col("row_class") == "subtotal").select(
         "table_id", "section", F.col("row_idx").alias("total_row_index")
@@ -303,7 +301,6 @@ def keyword_sum_checks(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     rows = table_rows(values).withColumn("is_total", has_any(F.col("label"), TOTAL_WORDS))
     rows = running_sums(
         rows, {"block": F.col("is_total").cast("int")}, inclusive=False,
-        chunked=spans_chunks(values),
     )
     v, tot = F.col("value"), F.col("is_total")
     sums = _amounts(values, rows).groupBy("table_id", "block", "col_idx").agg(

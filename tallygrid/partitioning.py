@@ -10,10 +10,9 @@ pay nothing for it.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BITS = 16
@@ -28,11 +27,6 @@ def with_chunk(df: DataFrame) -> DataFrame:
     return df if "row_chunk" in df.columns else df.withColumn("row_chunk", row_chunk())
 
 
-def spans_chunks(df: DataFrame) -> bool:
-    """Does any table reach beyond its first chunk?  (One scan of one column.)"""
-    return not with_chunk(df).where(F.col("row_chunk") > 0).isEmpty()
-
-
 def extent(cells: DataFrame) -> DataFrame:
     """One row per table: n_rows, n_cols (from the largest index seen)."""
     return cells.groupBy("table_id").agg(
@@ -70,22 +64,17 @@ def running_sums(
     order: str = "row_idx",
     chunk: str = "row_chunk",
     inclusive: bool = True,
-    chunked: bool = True,
 ) -> DataFrame:
     """Running totals over ``order`` per key, computed chunk by chunk.
 
     ``rows`` holds one row per (keys, order) and a non-negative integer ``chunk``
-    that is monotone in ``order``.  With ``chunked=False`` the caller vouches that no
-    key reaches beyond chunk 0, and the second pass is left out.
+    that is monotone in ``order``.  A key with one chunk finds nothing to carry.
     """
     end = 0 if inclusive else -1
     inside = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(
         Window.unboundedPreceding, end
     )
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    if not chunked:
-        local = [F.coalesce(F.sum(e).over(inside), F.lit(0)).alias(n) for n, e in sums.items()]
-        return rows.select("*", *local)
     carried = (
         rows.groupBy(*keys, chunk)
         .agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
@@ -152,18 +141,3 @@ def first_k(
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
-
-    Only when that setting is absent, as in local tests, a temporary folder is used.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()

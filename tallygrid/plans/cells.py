@@ -13,7 +13,7 @@ from tallygrid.plans import inputs as I
 from tallygrid.plans import sql as S
 from tallygrid.plans.inputs_sql import q
 from tallygrid.plans.registry import query
-from tallygrid.partitioning import cut_lineage
+from tallygrid.storage import stored
 
 
 def _t():
@@ -341,7 +341,7 @@ def structure_labels(spark, sf):
 def _values(spark, sf):
     """The normalised cells as a stored table: the rules read them several times."""
     values = Z.normalize_cells(I.stored_cells(spark, sf))
-    return cut_lineage(values.select("table_id", "row_idx", "col_idx", "text", "value"))
+    return stored(values.select("table_id", "row_idx", "col_idx", "text", "value"))
 
 
 @query(q("cells", "SELECT table_id, row_idx, label, has_value, n_rows, base_class AS row_class FROM base_rows", S.steps("base_rows")))
@@ -530,9 +530,9 @@ def rule_checks(spark, sf):
 )
 def year_changes(spark, sf):
     cells = I.stored_cells(spark, sf)
-    meta = cut_lineage(Z.column_metadata(cells))
+    meta = stored(Z.column_metadata(cells))
     values = Z.normalize_cells(cells, meta).select("table_id", "row_idx", "col_idx", "value")
-    return V.year_comparison(cut_lineage(values), meta)
+    return V.year_comparison(stored(values), meta)
 
 
 @query(

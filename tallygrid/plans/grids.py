@@ -8,7 +8,7 @@ from tallygrid.functions import geometry as G
 from tallygrid.operators import align as A
 from tallygrid.operators import boxes as B
 from tallygrid.operators import matching as M
-from tallygrid.partitioning import cut_lineage
+from tallygrid.storage import stored
 from tallygrid.plans import inputs as I
 from tallygrid.plans import sql as S
 from tallygrid.plans.inputs_sql import q
@@ -16,7 +16,7 @@ from tallygrid.plans.registry import query
 
 
 def _stored(*frames):
-    return [cut_lineage(f) for f in frames]
+    return [stored(f) for f in frames]
 
 
 # --- geometry ------------------------------------------------------------------------------
@@ -333,7 +333,7 @@ def _grid_with_columns(spark, sf):
 def _column_centres(spark, sf):
     numbers = I.ocr_boxes(spark, sf).where(F.col("text").rlike(r"\d"))
     return A.column_centres(
-        cut_lineage(numbers.select("table_id", ((F.col("x1") + F.col("x2")) / 2).alias("pos")))
+        stored(numbers.select("table_id", ((F.col("x1") + F.col("x2")) / 2).alias("pos")))
     ).withColumn("pos", F.round("pos", 6))
 
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.partitioning import cut_lineage, row_chunk
+from tallygrid.partitioning import row_chunk
+from tallygrid.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +143,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cells written out once, as a corpus holds them, for jobs that read them twice."""
-    return cut_lineage(cells(spark, sf_dir))
+    return stored(cells(spark, sf_dir))
 
 
 def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

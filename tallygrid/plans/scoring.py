@@ -16,7 +16,7 @@ from tallygrid.operators import sampling as P
 from tallygrid.operators import score as R
 from tallygrid.operators import teds as D
 from tallygrid.operators import validate as V
-from tallygrid.partitioning import cut_lineage
+from tallygrid.storage import stored
 from tallygrid.plans import inputs as I
 from tallygrid.plans import sql as S
 from tallygrid.plans.cells import _key_sql, _near
@@ -125,7 +125,7 @@ _MERGED = f"""SELECT c.table_id, c.cell_id, c.text AS gt, coalesce(s.pred, '') A
 
 
 def _merged(spark, sf):
-    boxes, cells = cut_lineage(I.ocr_boxes(spark, sf)), cut_lineage(I.cell_boxes(spark, sf))
+    boxes, cells = stored(I.ocr_boxes(spark, sf)), stored(I.cell_boxes(spark, sf))
     return A.merge_into_cells(boxes, cells)
 
 
@@ -474,7 +474,7 @@ _LOOK = {
 
 
 def _answered(spark, sf, preset="semantic"):
-    qs, cells = cut_lineage(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
     out = K.lookup_answers(qs, cells, preset)
     return out.withColumn("correct", N.same_answer(F.col("pred"), F.col("answer")))
 
@@ -486,7 +486,7 @@ def lookup_answers(spark, sf):
 
 @query(q("questions cells", "SELECT table_id, row_key, idx, tier FROM rows_", _LOOK))
 def row_key_matches(spark, sf):
-    qs, cells = cut_lineage(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
     return K.match_keys(qs, cells.where("col_idx = 0"), "row_key", "text", "row_idx")
 
 
@@ -498,7 +498,7 @@ _LOOK2["rows2"] = f"""SELECT * EXCLUDE tier FROM ex UNION ALL SELECT table_id, r
 
 @query(q("questions cells", "SELECT table_id, row_key, idx FROM rows2", _LOOK2))
 def row_key_matches_with_words(spark, sf):
-    qs, cells = cut_lineage(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
     return K.match_keys(
         qs, cells.where("col_idx = 0"), "row_key", "text", "row_idx", char_overlap=0.8,
         word_share=0.7, corrected=False, blank_hits=False,
@@ -507,13 +507,13 @@ def row_key_matches_with_words(spark, sf):
 
 @query()
 def row_key_similarity(spark, sf):
-    qs, cells = cut_lineage(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
     return r6(K.best_similar(qs, cells.where("col_idx = 0"), "row_key", "text", "row_idx", floor=0.7), "score")
 
 
 @query()
 def column_key_similarity_on_joined_headers(spark, sf):
-    qs, cells = cut_lineage(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
     return r6(K.best_similar(qs, K.header_texts(cells), "col_key", "header", "col_idx", floor=0.3), "score")
 
 
@@ -578,7 +578,7 @@ def model_ranking(spark, sf):
     )
 )
 def generated_questions(spark, sf):
-    values = cut_lineage(Z.normalize_cells(I.stored_cells(spark, sf)).select("table_id", "row_idx", "col_idx", "text", "value"))
+    values = stored(Z.normalize_cells(I.stored_cells(spark, sf)).select("table_id", "row_idx", "col_idx", "text", "value"))
     return K.qa_pairs(values)
 
 
@@ -593,8 +593,8 @@ def generated_questions(spark, sf):
     )
 )
 def header_pair_answers(spark, sf):
-    values = cut_lineage(Z.normalize_cells(I.stored_cells(spark, sf)).select("table_id", "row_idx", "col_idx", "text", "value"))
-    return K.header_pairs(cut_lineage(I.questions(spark, sf)), values).select("table_id", "question_id", "pred")
+    values = stored(Z.normalize_cells(I.stored_cells(spark, sf)).select("table_id", "row_idx", "col_idx", "text", "value"))
+    return K.header_pairs(stored(I.questions(spark, sf)), values).select("table_id", "question_id", "pred")
 
 
 @query(
@@ -607,9 +607,9 @@ def header_pair_answers(spark, sf):
     )
 )
 def text_presence(spark, sf):
-    gt = cut_lineage(I.cell_boxes(spark, sf).select("table_id", "cell_id", "text"))
+    gt = stored(I.cell_boxes(spark, sf).select("table_id", "cell_id", "text"))
     b, t = F.col("box_id"), F.col("text")
-    found = cut_lineage(
+    found = stored(
         I.ocr_boxes(spark, sf).select(
             "table_id",
             F.when(b % 3 == 0, F.replace(t, F.lit("a"), F.lit("e")))
@@ -637,7 +637,7 @@ def text_presence(spark, sf):
     )
 )
 def first_truth_per_text(spark, sf):
-    cells = cut_lineage(I.labelled_cells(spark, sf))
+    cells = stored(I.labelled_cells(spark, sf))
     gt = cells.select(
         "table_id", "text", (F.col("row_idx") * 4 + F.col("col_idx")).cast("int").alias("gt_id"), F.col("gt_label").alias("gt_type")
     )
@@ -736,8 +736,8 @@ _PROF = {
 def _profile(spark, sf):
     cells = I.stored_cells(spark, sf)
     meta = Z.column_metadata(cells)
-    values = cut_lineage(Z.normalize_cells(cells, meta).select("table_id", "row_idx", "col_idx", "text", "value"))
-    rows = cut_lineage(C.classify_rows(values))
+    values = stored(Z.normalize_cells(cells, meta).select("table_id", "row_idx", "col_idx", "text", "value"))
+    rows = stored(C.classify_rows(values))
     return R.table_profile(values, meta, rows, V.column_sum_checks(values, rows))
 
 
