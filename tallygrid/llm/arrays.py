@@ -137,7 +137,7 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text (always at least one row)."""
     for batch in batches:

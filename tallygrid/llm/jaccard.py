@@ -34,8 +34,8 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HUBS = 3
 #: Numbers of 64 bits in the short bitmap that travels with every candidate list.
 SHORT = 8
-#: Text handled at a time.
-PIECE = 1 << 20
+#: Up to this size the list of texts to read goes to every task.
+BROADCAST_BYTES = 16 << 20
 
 
 def shingle_sets(texts: arrays.Texts, width: int) -> Iterator[np.ndarray]:
@@ -148,7 +148,7 @@ def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint64)
-        for batch in arrays.slices(batches, most=PIECE):
+        for batch in arrays.slices(batches):
             sets = list(shingle_sets(arrays.texts_of(batch.column("text")), width))
             nodes = [node_of(s) if len(s) else None for s in sets]
             bits = [parities(s) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -210,7 +210,7 @@ def _prefixes(source: DataFrame, classes, width: int, percent: int) -> DataFrame
     shared = source.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, most=PIECE):
+        for batch in arrays.slices(batches):
             tokens, nodes, sizes = [np.zeros(0, np.uint64)], [], []
             for s in shingle_sets(arrays.texts_of(batch.column("text")), width):
                 if len(s):
@@ -246,7 +246,7 @@ def _sets(source: DataFrame, wanted: DataFrame, classes, width: int, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in arrays.slices(batches, most=PIECE):
+        for batch in arrays.slices(batches):
             nodes, rows = [], []
             sets = shingle_sets(arrays.texts_of(batch.column("text")), width)
             for node, s in zip(batch.column("node").to_pylist(), sets, strict=True):
@@ -289,7 +289,10 @@ def _label(source, members: DataFrame, classes, width: int, percent: int, scratc
         may = differ * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
         near = scratch.keep(near.where(may).select("a", "b", "copy", "_copy"), f"near-{step}")
         ends = near.select(F.col("a").alias("node"), "copy").union(near.select("b", "_copy"))
-        sets = _sets(source, ends.distinct(), classes, width, percent)
+        ends = scratch.keep(ends.distinct(), f"ends-{step}")
+        if 16 * ends.count() <= BROADCAST_BYTES:
+            ends = F.broadcast(ends)  # of checked size; a longer list is joined by exchange
+        sets = _sets(source, ends, classes, width, percent)
         sets = scratch.keep(sets, f"sets-{step}")
         both = _beside(near.select("a", "b"), sets)
         n, m = F.size("shingles"), F.size("_shingles")

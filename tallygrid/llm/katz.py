@@ -119,7 +119,7 @@ def chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
         from pyspark import TaskContext
 
         chunk, size, parts = TaskContext.get().partitionId() << 24, 0, []
-        for batch in arrays.slices(batches, most=min(chunk_bytes, 2 << 20)):
+        for batch in arrays.slices(batches, most=min(chunk_bytes, 1 << 20)):
             texts = arrays.texts_of(batch.column("text"))
             words = texts.spans(fold=arrays.LOWER)
             n = len(texts)
