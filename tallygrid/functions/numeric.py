@@ -1,7 +1,7 @@
 """Column expressions for numbers written in financial tables.
 
-``compat=True`` (default) keeps the observable behaviour users already rely on,
-including its oddities; ``compat=False`` repairs them (see README, "Compatibility").
+``compat=True`` keeps the observable behaviour users may rely on,
+including its oddities; ``compat=False`` (default) repairs them (see README, "Compatibility").
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def to_double(text: Column) -> Column:
     return F.when(text.rlike(_FLOAT), text.try_cast("double"))
 
 
-def cell_type(text: Column, compat: bool = True) -> Column:
+def cell_type(text: Column, compat: bool = False) -> Column:
     """empty / year / note / unit_header / numeric / header / text."""
     s = strip(text)
     has_digit = s.rlike(r"\d")
@@ -91,7 +91,7 @@ def cell_type(text: Column, compat: bool = True) -> Column:
     )
 
 
-def currency(text: Column, compat: bool = True) -> Column:
+def currency(text: Column, compat: bool = False) -> Column:
     """Code of the first currency whose pattern occurs, else null."""
     s = F.lower(text)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -102,7 +102,7 @@ def currency(text: Column, compat: bool = True) -> Column:
     return out
 
 
-def unit(text: Column, compat: bool = True) -> Column:
+def unit(text: Column, compat: bool = False) -> Column:
     """Name of the unit (``'000``, ``million``, ``k`` ...), else null."""
     s = F.lower(text)
     out = F.when(F.instr(s, "'000") > 0, "'000")
@@ -130,7 +130,7 @@ def unit_scale(unit_name: Column) -> Column:
     return out.cast("bigint")
 
 
-def unit_header(text: Column, compat: bool = True) -> Column:
+def unit_header(text: Column, compat: bool = False) -> Column:
     """STRUCT<currency, scale, unit> of a header cell such as ``RM'000``."""
     u = unit(text, compat)
     return F.struct(

@@ -29,6 +29,7 @@ TRAIN_TEXTS = 2048
 #: Letters told apart, the most frequent of the sample; all others are one symbol more.
 ALPHABET = 62
 RIDGE = 1e-4
+MANY_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _tables: list[np.ndarray] = []
@@ -160,6 +161,8 @@ def _sample(rows: DataFrame, texts: int) -> DataFrame:
     # twice the quota by a threshold, so that few texts are sorted
     share = F.least(F.lit(1.0), (F.lit(2.0 * quota) + 20) / F.col("count"))
     named = counts.select(F.col("lang").alias("_lang"), share.alias("share"))
+    if n <= MANY_LANGUAGES:
+        named = F.broadcast(named)  # of counted length; more are joined by exchange
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
     some = rows.join(named, F.col("lang") == F.col("_lang")).where(place < F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")

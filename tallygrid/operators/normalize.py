@@ -9,7 +9,7 @@ from tallygrid.functions import numeric as N
 from tallygrid.partitioning import attach, extent, with_chunk
 
 
-def column_metadata(cells: DataFrame, header_rows: int = 3, compat: bool = True) -> DataFrame:
+def column_metadata(cells: DataFrame, header_rows: int = 3, compat: bool = False) -> DataFrame:
     """table_id, col_idx, currency, scale, unit, column_type, year.
 
     Later header rows overwrite earlier ones; the last currency and the last scale in
@@ -66,7 +66,7 @@ def normalize_texts(
     kind: str | None = None,
     default_currency: str | None = None,
     default_scale: str | None = None,
-    compat: bool = True,
+    compat: bool = False,
 ) -> DataFrame:
     """Add value, currency, unit, scale, is_negative, normalized, cell_type.
 
@@ -108,7 +108,7 @@ def normalize_cells(
     cells: DataFrame,
     metadata: DataFrame | None = None,
     header_rows: int = 3,
-    compat: bool = True,
+    compat: bool = False,
 ) -> DataFrame:
     """Normalise whole tables; numbers inside header rows are headers without a value."""
     metadata = column_metadata(cells, header_rows, compat) if metadata is None else metadata

@@ -196,6 +196,31 @@ def paired_tables(pred: DataFrame, gt: DataFrame) -> DataFrame:
     ).where(F.col("_err").isNull()).drop("_err")
 
 
+def batch_evaluation(
+    pred: DataFrame, gt: DataFrame, trees: DataFrame, header: Column | None = None
+) -> DataFrame:
+    """One row over all tables: n_tables, mean tree scores (``trees`` holds table_id, teds
+    and teds_struct, or either), mean cell F1 with text and by place alone, and the share
+    of tables whose rows, columns or both agree in number; rounded to four digits.
+
+    A table that one side lacks is an error.
+    """
+    tables = paired_tables(pred, gt)
+    texts = cell_f1(pred, gt).select("table_id", F.col("f1").alias("cell_f1"))
+    places = cell_f1(pred, gt, match_text=False).select("table_id", F.col("f1").alias("place_f1"))
+    shape = structural_accuracy(pred, gt, header)
+    each = tables.join(texts, "table_id").join(places, "table_id").join(shape, "table_id")
+    each = each.join(trees, "table_id")
+    means = [(c, f"mean_{c}") for c in ("teds", "teds_struct") if c in trees.columns]
+    means += [("cell_f1", "mean_cell_f1"), ("place_f1", "mean_place_f1")]
+    rates = ("row_count_match", "col_count_match", "structure_match")
+    return each.agg(
+        F.count(F.lit(1)).alias("n_tables"),
+        *[F.bround(F.avg(c), 4).alias(n) for c, n in means],
+        *[F.bround(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate") for c in rates],
+    )
+
+
 # --- recognised text -----------------------------------------------------------------------------
 
 

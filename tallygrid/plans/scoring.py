@@ -412,6 +412,24 @@ def _tree_pairs(spark, sf):
     return D.score_teds(pairs)
 
 
+@query(
+    q(
+        "cells",
+        f"""SELECT count(*) AS n_tables, round_even(avg(teds_struct), 4) AS mean_teds_struct, round_even(avg(a.f1), 4) AS mean_cell_f1, round_even(avg(b.f1), 4) AS mean_place_f1,
+      round_even(avg((s.pr = s.gr)::INTEGER), 4) AS row_count_match_rate, round_even(avg((s.pc = s.gc)::INTEGER), 4) AS col_count_match_rate, round_even(avg((s.pr = s.gr AND s.pc = s.gc)::INTEGER), 4) AS structure_match_rate
+      FROM ({_round_even(_f1_sql(["row_idx", "col_idx", "t"]))}) a JOIN ({_round_even(_f1_sql(["row_idx", "col_idx"]))}) b USING (table_id)
+      JOIN (SELECT table_id, p.r AS pr, p.c AS pc, g.r AS gr, g.c AS gc FROM ({_SHAPE.format('predc')}) p JOIN ({_SHAPE.format('cells')}) g USING (table_id)) s USING (table_id)
+      JOIN (SELECT table_id, 1 - levenshtein(array_to_string(p.w, ''), array_to_string(g.w, '')) / greatest(len(p.w), len(g.w)) AS teds_struct FROM pw p JOIN gw g USING (table_id)) t USING (table_id)""",
+        {**_PG, "pw": _TR("predc"), "gw": _TR("cells")},
+    )
+)
+def batch_evaluation(spark, sf):
+    cells = I.stored_cells(spark, sf)
+    pred = _pred_cells(cells)
+    trees = _tree_pairs(spark, sf).select("table_id", "teds_struct")
+    return R.batch_evaluation(pred, cells, trees)
+
+
 @query()
 def tree_similarity_with_text(spark, sf):
     return r6(_tree_pairs(spark, sf).select("table_id", "teds", "teds_struct"), "teds", "teds_struct")

@@ -38,7 +38,7 @@ def contains_any(x: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({x}), {lit(w)})" for w in words) + ")"
 
 
-def cell_type(t: str, compat: bool = True) -> str:
+def cell_type(t: str, compat: bool = False) -> str:
     s = strip(t)
     counted = s if compat else sub(s, N.UNIT_TOKENS)
     left = f"length({sub(counted, r"[0-9,.\-+()%$£€¥\s]")})"
@@ -59,14 +59,14 @@ def cell_type(t: str, compat: bool = True) -> str:
     )
 
 
-def currency(t: str, compat: bool = True) -> str:
+def currency(t: str, compat: bool = False) -> str:
     first = [] if compat else [(matches(f"lower({t})", r"us\$"), "'USD'")]
     return case(
         first + [(matches(f"lower({t})", p), lit(c)) for c, p in N.CURRENCY_PATTERNS.items()]
     )
 
 
-def unit(t: str, compat: bool = True) -> str:
+def unit(t: str, compat: bool = False) -> str:
     s = f"lower({t})"
     pairs = [(f"contains({s}, '''000')", "'''000'")]
     for w in N.UNIT_SCALES:
@@ -102,7 +102,7 @@ def negative(t: str) -> str:
     )
 
 
-def normalized_columns(t: str, kind: str, dc: str, ds: str, src: str, compat: bool = True) -> str:
+def normalized_columns(t: str, kind: str, dc: str, ds: str, src: str, compat: bool = False) -> str:
     """SELECT over ``src`` adding the seven normalised columns (src has its own columns)."""
     return f"""
 SELECT * EXCLUDE (_s, _own, _dc, _ds), CASE WHEN value IS NULL THEN NULL ELSE
