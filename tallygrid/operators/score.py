@@ -221,6 +221,63 @@ def batch_evaluation(
     )
 
 
+def grid_measures(cells: DataFrame, *keys: str) -> DataFrame:
+    """Per grid: n_rows, n_cols, n_cells, n_chars and the share of cells that are filled and
+    that hold a digit."""
+    n = F.count(F.lit(1))
+    return cells.groupBy(*keys).agg(
+        (F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"),
+        n.alias("n_cells"), F.sum(F.length("text")).alias("n_chars"),
+        (F.count_if(N.strip(F.col("text")) != "") / n).alias("fill_rate"),
+        (F.count_if(F.col("text").rlike(r"\d")) / n).alias("numeric_rate"),
+    )
+
+
+SAMPLE_MEANS = ("word_accuracy", "validation_rate", "n_rows", "n_cols", "fill_rate", "numeric_rate", "n_chars")
+
+
+def backend_profile(samples: DataFrame, by: str = "backend") -> DataFrame:
+    """One row per backend over its samples: how many, how many failed, and the means of
+    their measures; character error and word accuracy with median, the former with spread.
+
+    ``samples`` holds the backend, ``failed``, ``cer`` and the measures of
+    ``SAMPLE_MEANS``.  A failed sample counts with an error of 1 and zeros.
+    """
+    bad = F.coalesce("failed", F.lit(False))
+    full = samples.select(
+        by, bad.alias("failed"), F.when(bad, 1.0).otherwise(F.col("cer")).alias("cer"),
+        *[F.when(bad, 0.0).otherwise(F.col(c)).alias(c) for c in SAMPLE_MEANS],
+    )
+    means = full.groupBy(by).agg(
+        F.count(F.lit(1)).alias("num_samples"), F.count_if("failed").alias("errors"),
+        F.avg("cer").alias("avg_cer"), F.stddev_pop("cer").alias("std_cer"),
+        *[F.avg(c).alias(f"avg_{c}") for c in SAMPLE_MEANS],
+    )
+    for c in ("cer", "word_accuracy"):
+        means = means.join(exact_median(full, c, [by]).withColumnRenamed("median", f"median_{c}"), by, "left")
+    return means
+
+
+def pipeline_summary(samples: DataFrame, *by: str) -> DataFrame:
+    """Samples, successes and failures, with the means over the successes of the measures
+    that are there (``validation_rate``, ``cell_accuracy``, ``label_precision``,
+    ``label_recall``, ``label_f1``, ``n_rows``, ``n_cols``) and the total of ``n_cells``.
+
+    A measure that a sample lacks (null) is left out of its mean; a mean of nothing is
+    null, but for the validation rate, which is then 0.
+    """
+    good = ~F.coalesce("failed", F.lit(False))
+    of = lambda c: F.when(good, F.col(c))
+    names = ("cell_accuracy", "label_precision", "label_recall", "label_f1", "n_rows", "n_cols")
+    return samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_samples"), F.count_if(good).alias("successful"),
+        F.count_if(~good).alias("failed"),
+        F.coalesce(F.avg(of("validation_rate")), F.lit(0.0)).alias("avg_validation_rate"),
+        *[F.avg(of(c)).alias(f"avg_{c}") for c in names if c in samples.columns],
+        F.sum(of("n_cells")).alias("total_cells"),
+    )
+
+
 # --- recognised text -----------------------------------------------------------------------------
 
 

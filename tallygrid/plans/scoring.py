@@ -430,6 +430,60 @@ def batch_evaluation(spark, sf):
     return R.batch_evaluation(pred, cells, trees)
 
 
+_MEASURES = "SELECT '{0}' AS backend, table_id, max(row_idx) + 1 AS n_rows, max(col_idx) + 1 AS n_cols, count(*) AS n_cells, sum(length(text)) AS n_chars, count(*) FILTER (trim(text) <> '') / count(*) AS fill_rate, count(*) FILTER (regexp_matches(text, '[0-9]')) / count(*) AS numeric_rate, coalesce(string_agg(text, ' ' ORDER BY row_idx) FILTER (col_idx = 0), '') AS pred FROM {1} GROUP BY table_id"
+_SAMPLES = {
+    **_PREDSQL,
+    "measured": f"{_MEASURES.format('engine_a', 'predc')} UNION ALL {_MEASURES.format('engine_b', 'cells')}",
+    "labelled": f"SELECT m.*, {_PL('g.pred')} AS gt, {_PL('m.pred')} AS pr FROM measured m JOIN measured g ON g.backend = 'engine_b' AND g.table_id = m.table_id",
+    "samples": f"SELECT *, backend = 'engine_a' AND table_id % 10 = 3 AS failed, (n_rows % 4) / 3 AS validation_rate, {_CER('gt', 'pr')} AS cer, len(list_intersect(list_distinct({S.words('gt')}), list_distinct({S.words('pr')}))) / len(list_distinct({S.words('gt')})) AS word_accuracy FROM labelled",
+}
+
+
+def _samples(spark, sf):
+    cells = I.stored_cells(spark, sf)
+    both = _pred_cells(cells).withColumn("backend", F.lit("engine_a")).unionByName(cells.withColumn("backend", F.lit("engine_b")))
+    labels = F.array_sort(F.collect_list(F.when(F.col("col_idx") == 0, F.struct("row_idx", "text"))))
+    texts = both.groupBy("backend", "table_id").agg(F.array_join(F.transform(labels, lambda s: s["text"]), " ").alias("pred"))
+    gt = texts.where("backend = 'engine_b'").select("table_id", T.plain(F.col("pred")).alias("gt"))
+    each = R.grid_measures(both, "backend", "table_id").join(texts, ["backend", "table_id"]).join(gt, "table_id")
+    pred = T.plain(F.col("pred"))
+    return each.select(
+        "*", ((F.col("backend") == "engine_a") & (F.col("table_id") % 10 == 3)).alias("failed"),
+        (F.col("n_rows") % 4 / 3).alias("validation_rate"), T.cer(F.col("gt"), pred).alias("cer"),
+        T.word_accuracy(pred, F.col("gt")).alias("word_accuracy"),
+    )
+
+
+_MEANS = ("word_accuracy", "validation_rate", "n_rows", "n_cols", "fill_rate", "numeric_rate", "n_chars")
+
+
+@query(
+    q(
+        "cells",
+        f"""SELECT backend, count(*) AS num_samples, count(*) FILTER (failed) AS errors, round(avg(CASE WHEN failed THEN 1 ELSE cer END), 6) AS avg_cer, round(stddev_pop(CASE WHEN failed THEN 1 ELSE cer END), 6) AS std_cer, round(median(CASE WHEN failed THEN 1 ELSE cer END), 6) AS median_cer,
+      round(median(CASE WHEN failed THEN 0 ELSE word_accuracy END), 6) AS median_word_accuracy, {", ".join(f"round(avg(CASE WHEN failed THEN 0 ELSE {c} END), 6) AS avg_{c}" for c in _MEANS)} FROM samples GROUP BY backend""",
+        _SAMPLES,
+    )
+)
+def backend_profile(spark, sf):
+    profile = R.backend_profile(_samples(spark, sf))
+    return r6(profile, *[c for c in profile.columns if c.startswith(("avg_", "std_", "median_"))])
+
+
+@query(
+    q(
+        "cells",
+        """SELECT backend, count(*) AS total_samples, count(*) FILTER (NOT failed) AS successful, count(*) FILTER (failed) AS failed, round(avg(validation_rate) FILTER (NOT failed), 6) AS avg_validation_rate, round(avg(1 - cer) FILTER (NOT failed AND table_id % 2 = 0), 6) AS avg_cell_accuracy,
+      round(avg(n_rows) FILTER (NOT failed), 6) AS avg_n_rows, round(avg(n_cols) FILTER (NOT failed), 6) AS avg_n_cols, sum(n_cells) FILTER (NOT failed)::BIGINT AS total_cells FROM samples GROUP BY backend""",
+        _SAMPLES,
+    )
+)
+def pipeline_summary(spark, sf):
+    even = F.when(F.col("table_id") % 2 == 0, 1 - F.col("cer")).alias("cell_accuracy")
+    summary = R.pipeline_summary(_samples(spark, sf).select("*", even), "backend")
+    return r6(summary, *[c for c in summary.columns if c.startswith("avg_")])
+
+
 @query()
 def tree_similarity_with_text(spark, sf):
     return r6(_tree_pairs(spark, sf).select("table_id", "teds", "teds_struct"), "teds", "teds_struct")
