@@ -188,7 +188,7 @@ def _texts(source: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """``line, text`` of the ``wanted`` lines."""
     count = wanted.count()
     small = 8 * count <= BROADCAST_BYTES
-    names = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if small else None
+    names = np.sort(wanted.toArrow().column("line").to_numpy()) if small else None
     shared = source.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
