@@ -120,6 +120,7 @@ def structure_label(text: Column, row: Column, col: Column, preset: str = "text"
     digit = text.rlike(r"\d")
     short_integer = text.rlike(r"^\d{1,2}$")
     upper = text.rlike(UPPER_ONLY) & ~digit
+    # fixed values: the words and years inside the rules
     rules = {
         "section": (upper, "section_header"),
         "long_section": (upper & (F.length(text) > 3), "section_header"),

@@ -366,6 +366,7 @@ def header_pairs(questions: DataFrame, cells: DataFrame) -> DataFrame:
 # --- cross-checks --------------------------------------------------------------------------------
 
 
+# fixed values: labels of section rows (``section_words``)
 def cells_to_verify(cells: DataFrame, per_table: int = 5, section_words: Sequence[str] = (
     "ASSETS", "LIABILITIES", "EQUITY", "",
 )) -> DataFrame:

@@ -364,6 +364,7 @@ def numeric_errors(df: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFra
         F.when(p.isNull(), inf).when(g == 0, F.when(p == 0, 0.0).otherwise(inf))
         .otherwise(F.try_divide(gap, F.abs(g))).alias("relative_error"),
         scale.alias("scale_correct"), sign.alias("sign_correct"),
+        # fixed values: names of the errors
         F.when(p.isNull(), "parse_error").when(exact, "none").when(~sign, "sign_error")
         .when(~scale, "scale_error").otherwise("value_error").alias("error_type"),
     )

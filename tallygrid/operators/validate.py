@@ -272,6 +272,7 @@ def row_selection(values: DataFrame, rows: DataFrame | None = None) -> DataFrame
     )
     blank = F.coalesce(F.col("label"), F.lit("")) == ""
     cls = F.col("row_class")
+    # fixed values: the reasons
     reason = (
         F.when(cls == "data", "DATA row")
         .when((cls == "header") & F.col("has_amount"), "HEADER with numeric (reclassified as DATA)")
@@ -289,7 +290,7 @@ def row_selection(values: DataFrame, rows: DataFrame | None = None) -> DataFrame
         .join(closing, ["table_id", "section"])
         .select(
             "table_id", "total_row_index", "row_idx",
-            F.when(blank, "(empty)").otherwise(F.substring("label", 1, 30)).alias("label"),
+            F.when(blank, "(empty)").otherwise(F.col("label")).alias("label"),
             "row_class", F.col("has_amount").alias("has_numeric"),
             _included().alias("included"), reason.alias("reason"),
         )

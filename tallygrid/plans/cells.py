@@ -394,7 +394,7 @@ def failed_checks(spark, sf):
 @query(
     q(
         "cells",
-        """SELECT s.table_id, c.row_idx AS total_row_index, s.row_idx, CASE WHEN coalesce(s.label, '') = '' THEN '(empty)' ELSE substring(s.label, 1, 30) END AS label,
+        """SELECT s.table_id, c.row_idx AS total_row_index, s.row_idx, CASE WHEN coalesce(s.label, '') = '' THEN '(empty)' ELSE s.label END AS label,
       s.row_class, s.has_amount AS has_numeric,
       (s.row_class = 'data' OR (s.row_class = 'header' AND s.has_amount) OR (coalesce(s.label, '') = '' AND s.has_amount)) AS included,
       CASE WHEN s.row_class = 'data' THEN 'DATA row' WHEN s.row_class = 'header' AND s.has_amount THEN 'HEADER with numeric (reclassified as DATA)'
