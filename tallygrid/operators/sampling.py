@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.partitioning import first_k
+from tallygrid.partitioning import first_k, running_sums
 
 
 def first_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
@@ -16,8 +16,10 @@ def first_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows drawn without replacement, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *ids), *ids).limit(n)
+    """n rows drawn without replacement, the same ones for the same seed: the first by the
+    MD5 of seed and ids."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+    return df.orderBy(key, *ids).limit(n)
 
 
 def even_steps(df: DataFrame, keys: Sequence[str], position: str, k: int) -> DataFrame:
@@ -34,8 +36,15 @@ def even_steps(df: DataFrame, keys: Sequence[str], position: str, k: int) -> Dat
     return picked.drop("_n")
 
 
-def every_nth(df: DataFrame, position: str, n: int = 100) -> DataFrame:
-    return df.where((F.col(position) - 1) % n == 0)
+def every_nth(df: DataFrame, order: str, n: int = 100, chunk_bits: int = 16) -> DataFrame:
+    """The first row and every n-th after it, in the order of a unique integer column.
+
+    Rows are numbered inside chunks of the column's values, on top of the totals of the
+    chunks before, so no task holds all rows.
+    """
+    rows = df.withColumn("_chunk", F.shiftright(F.col(order).cast("long"), chunk_bits))
+    numbered = running_sums(rows, {"_before": F.lit(1)}, (), order, "_chunk", inclusive=False)
+    return numbered.where(F.col("_before") % n == 0).drop("_chunk", "_before")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:

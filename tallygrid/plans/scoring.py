@@ -720,23 +720,27 @@ def first_truth_per_text(spark, sf):
 # --- cross-checks and samples -----------------------------------------------------------------------
 
 
-@query(
-    q(
-        "cells",
-        """SELECT table_id, row_idx, col_idx, row_label, col_label, cell_value FROM (SELECT c.*, row_number() OVER (PARTITION BY c.table_id ORDER BY c.row_idx, c.col_idx) AS rn FROM (
+_TO_VERIFY = """SELECT table_id, row_idx, col_idx, row_label, col_label, cell_value FROM (SELECT c.*, row_number() OVER (PARTITION BY c.table_id ORDER BY c.row_idx, c.col_idx) AS rn FROM (
        SELECT x.table_id, x.row_idx, x.col_idx, l.text AS row_label, h.text AS col_label, x.text AS cell_value FROM cells x JOIN cells l ON l.table_id = x.table_id AND l.row_idx = x.row_idx AND l.col_idx = 0
        JOIN cells h ON h.table_id = x.table_id AND h.row_idx = 0 AND h.col_idx = x.col_idx
        JOIN (SELECT table_id, coalesce(min(row_idx) FILTER (ok), 1) AS start FROM (SELECT n.table_id, n.row_idx, regexp_matches(n.text, '[0-9]') AND l.text <> '' AS ok FROM cells n JOIN cells l ON l.table_id = n.table_id AND l.row_idx = n.row_idx AND l.col_idx = 0 WHERE n.col_idx = 1) GROUP BY 1) s
          ON s.table_id = x.table_id AND x.row_idx BETWEEN s.start AND s.start + 5
        WHERE x.col_idx IN (2, 3) AND upper(l.text) NOT IN ('ASSETS', 'LIABILITIES', 'EQUITY', '') AND regexp_matches(x.text, '[0-9]')
-         AND (regexp_matches(h.text, '201[5-9]|202[0-9]') OR x.table_id NOT IN (SELECT table_id FROM cells WHERE row_idx = 0 AND regexp_matches(text, '201[5-9]|202[0-9]')))) c) WHERE rn <= 5""",
-    )
-)
+         AND (regexp_matches(h.text, '201[5-9]|202[0-9]') OR x.table_id NOT IN (SELECT table_id FROM cells WHERE row_idx = 0 AND regexp_matches(text, '201[5-9]|202[0-9]')))) c) WHERE rn <= 5"""
+
+
+@query(q("cells", _TO_VERIFY))
 def cells_to_verify(spark, sf):
     return K.cells_to_verify(I.stored_cells(spark, sf))
 
 
-@query()
+@query(
+    q(
+        "cells",
+        f"""SELECT table_id, count(*) AS cells_verified, count(*) FILTER (replace(replace(cell_value, ',', ''), ' ', '') = replace(replace(reply, ',', ''), ' ', '')) AS cells_matched
+      FROM (SELECT *, CASE WHEN (table_id + row_idx) % 5 = 0 THEN '?' ELSE replace(cell_value, ',', ' ') END AS reply FROM ({_TO_VERIFY})) GROUP BY table_id""",
+    )
+)
 def verified_cells(spark, sf):
     sampled = K.cells_to_verify(I.stored_cells(spark, sf))
     k, r = F.col("table_id"), F.col("row_idx")
@@ -754,7 +758,7 @@ def first_rows(spark, sf):
     return P.first_n(orders, [F.desc("o_totalprice"), "o_orderkey"], 50)
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 100")
 def seeded_sample(spark, sf):
     return P.seeded_sample(I.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)
 
@@ -769,10 +773,9 @@ def even_step_sample(spark, sf):
     return P.even_steps(I.items(spark, sf), ["table_id"], "note", 3).select("table_id", "row_idx", "label")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) WHERE (k - 1) % 100 = 0")
 def every_hundredth_row(spark, sf):
-    numbered = I.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + 1).alias("n"))
-    return P.every_nth(numbered, "n", 100).select("o_orderkey")
+    return P.every_nth(I.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100, chunk_bits=10)
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
