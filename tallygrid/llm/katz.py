@@ -1,4 +1,4 @@
-"""Language-model scores by a Katz backoff model over words, of order two.
+"""Language-model scores by a Katz backoff model over words, of order two or three.
 
 Counts are Good-Turing discounted; what the discounts free goes to the words not seen
 after a history, by a backoff weight that makes the probabilities of every history sum
@@ -9,6 +9,8 @@ counts, to the table partition that their hash names, which adds up and answers
 the totals, so a frequent word or pair costs one entry per chunk.  Both tables, requests
 and answers, are stored by partition and chunk; entries travel as packed arrays.
 Histories that hold a large share of all tokens are divided over the partitions.
+Order three does the same once more: the answers about a chunk's pairs give the counts
+and backoff probabilities that its triples are requested and scored with.
 """
 
 from __future__ import annotations
@@ -214,7 +216,7 @@ class Chunk:
     count: np.ndarray  # of each word, then of the history at the start of a text
 
     @classmethod
-    def of(cls, batches: Iterator[pa.RecordBatch], pairs: dict | None = None) -> Chunk:
+    def of(cls, batches: Iterator[pa.RecordBatch], tables: dict[int, dict] | None = None) -> Chunk:
         own, answers = None, {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -223,7 +225,7 @@ class Chunk:
                 elif row["kind"] == 1:
                     answers[row["part"]] = unpack(row["a"], np.int64)
                 else:
-                    pairs[row["part"]] = row
+                    tables[row["kind"]][row["part"]] = row
         count = np.concatenate([answers[i] for i in sorted(answers)])
         return cls(
             unpack(own["a"], np.uint32), unpack(own["b"], np.uint64), unpack(own["d"], np.int64),
@@ -240,35 +242,102 @@ class Chunk:
         before[starts] = len(self.vocab)
         code, at = np.unique(before << _U(32) | self.word.astype(np.uint64), return_inverse=True)
         history, word = (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.int64)
-        name = vocab[history]
-        key = arrays.mix(arrays.mix(name) + vocab[word]) >> _U(16)
-        hot = count[history] * HOT_SHARE > uni.total
-        place = arrays.mix(name + np.where(hot, key, _U(0))) >> _U(32)
-        part = (place * _U(parts) >> _U(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return Entries(
-            rank[at], part[order], history[order], word[order], name[order], key[order],
-            count[history[order]], count[word[order]], hot[order],
+        return Entries.of(
+            at, history, word, vocab[history], vocab[word], count[history], count[word], parts, uni
+        )
+
+    def triples(self, e: Entries, total: np.ndarray, parts: int, uni: Unigrams) -> Entries:
+        """Those of the tokens that have two words, or the start and a word, before them;
+        ``total`` are the training counts of the pairs ``e``."""
+        inside = self.inside()
+        history, pair = e.at[inside - 1], e.at[inside]
+        code, first, at = np.unique(
+            history.astype(np.uint64) << _U(32) | self.word[inside].astype(np.uint64),
+            return_index=True, return_inverse=True,
+        )
+        history, pair = history[first], pair[first]
+        name = arrays.mix(arrays.mix(e.name[history]) + self.vocab[e.word[history]])
+        return Entries.of(
+            at, history, pair, name, self.vocab[self.word[inside][first]], total[history], total[pair],
+            parts, uni,
         )
 
+    def inside(self) -> np.ndarray:
+        """The tokens that do not begin a text."""
+        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        return np.delete(np.arange(len(self.word)), starts)
+
 
 @dataclass
 class Entries:
-    """Distinct pairs of a chunk by table partition, then history; ``at`` leads from
-    each token to its pair."""
+    """Distinct pairs, or triples, of a chunk by table partition, then history; ``at``
+    leads from each token to its entry."""
 
     at: np.ndarray
     part: np.ndarray
-    history: np.ndarray
-    word: np.ndarray
+    history: np.ndarray  # a word, or a pair
+    word: np.ndarray  # the entry without its first word: a word, or a pair
     name: np.ndarray
     key: np.ndarray
     times: np.ndarray  # training count of the history
-    count: np.ndarray  # training count of the word
+    count: np.ndarray  # training count of ``word``
     hot: np.ndarray
 
+    @classmethod
+    def of(cls, at, history, word, name, last, times, count, parts: int, uni: Unigrams) -> Entries:
+        key = arrays.mix(arrays.mix(name) + last) >> _U(16)
+        hot = times * HOT_SHARE > uni.total
+        place = arrays.mix(name + np.where(hot, key, _U(0))) >> _U(32)
+        part = (place * _U(parts) >> _U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # histories come in order
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return cls(
+            rank[at], part[order], history[order], word[order], name[order], key[order],
+            times[order], count[order], hot[order],
+        )
+
+    def requests(self, chunk: int, seen: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Per table partition: histories, their counts and sizes; entries, their counts in
+        this chunk and those of ``word``, and, per history, what the latter are divided by."""
+        names = ["part", "chunk", *BLOBS, "g"]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+        for part, mine, first in self.pieces():
+            size = np.diff(np.append(first, mine.stop - mine.start))
+            bare = self.key[mine].view(np.uint8).reshape(-1, 8)[:, :6]
+            blobs = (
+                self.name[mine][first], self.times[mine][first], size.astype(np.uint32), bare,
+                seen[mine].astype(np.uint32), self.count[mine], whole[mine][first],
+            )
+            yield _rows(names, kinds, [(part, chunk, *(pack(x) for x in blobs))])
+
+    def probs(self, answers: dict, discount: np.ndarray, hot: dict, lower: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each entry: its probability, ``lower`` being those of ``word``; its training
+        count; and what the counts of its history are divided by."""
+        prob, count, over = np.empty(len(self.part)), np.empty(len(self.part), np.int64), np.empty(len(self.part))
+        for part, mine, first in self.pieces():
+            row = answers.pop(part)
+            total, mask = unpack(row["a"], np.int64), unpack(row["b"], np.uint8)
+            size = np.diff(np.append(first, len(total)))
+            lack = np.logical_or.reduceat(total == 0, first)
+            low = np.zeros((len(first), K), np.int64)
+            low[lack] = unpack(row["c"], np.int64).reshape(-1, K)
+            mass = np.zeros(len(first))
+            mass[lack] = unpack(row["d"], np.float64)
+            for g in np.flatnonzero(self.hot[mine][first]):
+                low[g], mass[g] = hot[int(self.name[mine][first[g]].view(np.int64))]
+                mask[g] = ((low[g] > 0) << np.arange(K)).sum()
+            times = self.times[mine][first].astype(float)
+            bits = (mask[:, None] >> np.arange(K)) & 1
+            frees = (bits * (discount[1:] < 1)).any(axis=1)
+            whole = np.where(frees, times, times + 1)
+            left = np.where(frees, (low * np.arange(1, K + 1) * (1 - discount[1:])).sum(axis=1), 1.0)
+            weight = np.where(times > 0, left / whole / np.maximum(1 - mass, 1e-12), 1.0)
+            kept = np.where(total <= K, discount[np.minimum(total, K)], 1.0) * total
+            over[mine], count[mine] = np.repeat(whole, size), total
+            prob[mine] = np.where(total > 0, kept / over[mine], lower[mine] * np.repeat(weight, size))
+        return prob, count, over
+
     def pieces(self) -> Iterator[tuple[int, slice, np.ndarray]]:
         """Per partition: its number, its entries, and where each history begins."""
         cut = np.flatnonzero(np.diff(self.part, prepend=-1, append=-2))
@@ -276,10 +345,10 @@ class Entries:
             yield int(self.part[lo]), slice(lo, hi), np.flatnonzero(np.diff(self.history[lo:hi], prepend=-1))
 
 
-def _pair_requests(joined: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
-    names = ["part", "chunk", *BLOBS]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+REQUESTS = "part int, chunk long, " + ", ".join(f"{c} binary" for c in [*BLOBS, "g"])
+
 
+def _pair_requests(joined: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
     def run(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
@@ -287,23 +356,37 @@ def _pair_requests(joined: DataFrame, parts: int, uni: Unigrams) -> DataFrame:
         e = chunk.entries(parts, uni)
         train = np.repeat((chunk.flags & 1) == 0, chunk.lengths)
         seen = np.bincount(e.at[train], minlength=len(e.part))
-        for part, mine, first in e.pieces():
-            size = np.diff(np.append(first, mine.stop - mine.start))
-            bare = e.key[mine].view(np.uint8).reshape(-1, 8)[:, :6]
-            blobs = (
-                e.name[mine][first], e.times[mine][first], size.astype(np.uint32), bare,
-                seen[mine].astype(np.uint32), e.count[mine],
-            )
-            yield _rows(names, kinds, [(part, key[0].as_py(), *(pack(x) for x in blobs))])
+        yield from e.requests(key[0].as_py(), seen, np.ones(len(e.part)))
 
-    return joined.groupBy("chunk").applyInArrow(run, "part int, chunk long, " + ", ".join(f"{c} binary" for c in BLOBS))
+    return joined.groupBy("chunk").applyInArrow(run, REQUESTS)
 
 
-def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
+def _triple_requests(joined: DataFrame, parts: int, wide: int, uni: Unigrams, discount: np.ndarray, hot: dict) -> DataFrame:
+    def run(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, dict] = {2: {}}
+        chunk = Chunk.of(batches, tables)
+        e = chunk.entries(parts, uni)
+        _, total, whole = e.probs(tables[2], discount, hot, np.ones(len(e.part)))
+        e.part = e.history = e.key = e.times = e.count = e.hot = None
+        t = chunk.triples(e, total, wide, uni)
+        whole = whole[t.word]
+        del e, total
+        train = np.repeat((chunk.flags & 1) == 0, chunk.lengths)[chunk.inside()]
+        seen = np.bincount(t.at[train], minlength=len(t.part))
+        yield from t.requests(key[0].as_py(), seen, whole)
+
+    return joined.groupBy("chunk").applyInArrow(run, REQUESTS)
+
+
+def _answers(requests: DataFrame, uni: Unigrams, discount: np.ndarray | None = None) -> DataFrame:
     """For each chunk: total counts, which of the counts 1 to K its histories have, and,
-    for histories with a pair that is not in the table, how many and the probability of
-    the words that are.  Without a chunk: pairs with count 1 to K + 1; divided histories.
+    for histories with an entry that is not in the table, how many and the lower order's
+    probability of the words that are.  Without a chunk: entries with count 1 to K + 1;
+    divided histories.  Of pairs, or of triples if the ``discount`` of pairs is given.
     """
+    kind = 2 if discount is None else 3
     names = ["chunk", "kind", "part", *BLOBS, "stats", "hot", "low", "mass"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.float64()]
 
@@ -311,7 +394,7 @@ def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
-        ids, groups, keys, seen, counts = [], [], [], [], []
+        ids, groups, keys, seen, counts, wholes = [], [], [], [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 ids.append(row["chunk"])
@@ -320,6 +403,7 @@ def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
                 keys.append(arrays.mix(np.repeat(arrays.mix(name), size) ^ unpack(row["d"], np.uint64, 6)))
                 seen.append(unpack(row["e"], np.uint32))
                 counts.append(unpack(row["f"], np.int64))
+                wholes.append(unpack(row["g"], np.float64))
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         owner = np.concatenate([np.repeat(n, s) for n, _, s in groups])
         every = np.concatenate(keys)
@@ -334,7 +418,11 @@ def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
         mine = np.searchsorted(known, owner[first])
         word = np.concatenate(counts)[first]
         there = total > 0
-        mass = np.bincount(mine[there], uni.prob(word[there]), len(known))
+        if discount is None:
+            mass = np.bincount(mine[there], uni.prob(word[there]), len(known))
+        else:
+            kept = np.where(word <= K, discount[np.minimum(word, K)], 1.0) * word
+            mass = np.bincount(mine[there], kept[there], len(known)) / np.concatenate(wholes)[where]
         low = np.stack([np.bincount(mine[total == r], minlength=len(known)) for r in range(1, K + 1)], axis=1)
         mask = ((low > 0) << np.arange(K)).sum(axis=1).astype(np.uint8)
         for i, chunk in enumerate(ids):
@@ -344,12 +432,12 @@ def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
             g = np.searchsorted(known, name)
             lack = np.logical_or.reduceat(answer == 0, start)
             blobs = (answer, mask[g], low[g[lack]].ravel(), mass[g[lack]])
-            yield _rows(names, kinds, [(chunk, 2, part, *(pack(x) for x in blobs), None, None, None, None, None, None)])
+            yield _rows(names, kinds, [(chunk, kind, part, *(pack(x) for x in blobs), None, None, None, None, None, None)])
         none = [None] * 6
         stats = [int((total == r).sum()) for r in range(1, K + 2)]
-        rows = [(None, 2, part, *none, stats, None, None, None)]
+        rows = [(None, kind, part, *none, stats, None, None, None)]
         for g in np.flatnonzero(times_of[where] * HOT_SHARE > uni.total):
-            rows.append((None, 2, part, *none, None, int(known[g].view(np.int64)), low[g].tolist(), float(mass[g])))
+            rows.append((None, kind, part, *none, None, int(known[g].view(np.int64)), low[g].tolist(), float(mass[g])))
         yield _rows(names, kinds, rows)
 
     return requests.groupBy("part").applyInArrow(
@@ -357,37 +445,25 @@ def _pair_answers(requests: DataFrame, uni: Unigrams) -> DataFrame:
     )
 
 
-def _scores(joined: DataFrame, parts: int, uni: Unigrams, discount: np.ndarray, hot: dict) -> DataFrame:
+def _scores(joined: DataFrame, uni: Unigrams, levels: list[tuple[int, np.ndarray, dict]]) -> DataFrame:
+    """``levels``: number of table partitions, discounts and divided histories of the pairs,
+    and of the triples if there are any."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, dict] = {}
-        chunk = Chunk.of(batches, answers)
+        tables: dict[int, dict] = {2: {}, 3: {}}
+        chunk = Chunk.of(batches, tables)
+        parts, discount, hot = levels[0]
         e = chunk.entries(parts, uni)
-        log = np.empty(len(e.part))
-        for part, mine, first in e.pieces():
-            row = answers.pop(part)
-            total, mask = unpack(row["a"], np.int64), unpack(row["b"], np.uint8)
-            size = np.diff(np.append(first, len(total)))
-            lack = np.logical_or.reduceat(total == 0, first)
-            low = np.zeros((len(first), K), np.int64)
-            low[lack] = unpack(row["c"], np.int64).reshape(-1, K)
-            mass = np.zeros(len(first))
-            mass[lack] = unpack(row["d"], np.float64)
-            for g in np.flatnonzero(e.hot[mine][first]):
-                low[g], mass[g] = hot[int(e.name[mine][first[g]].view(np.int64))]
-                mask[g] = ((low[g] > 0) << np.arange(K)).sum()
-            times = e.times[mine][first].astype(float)
-            bits = (mask[:, None] >> np.arange(K)) & 1
-            frees = (bits * (discount[1:] < 1)).any(axis=1)
-            whole = np.where(frees, times, times + 1)
-            left = np.where(frees, (low * np.arange(1, K + 1) * (1 - discount[1:])).sum(axis=1), 1.0)
-            weight = np.where(times > 0, left / whole / np.maximum(1 - mass, 1e-12), 1.0)
-            kept = np.where(total <= K, discount[np.minimum(total, K)], 1.0) * total
-            below = uni.prob(e.count[mine]) * np.repeat(weight, size)
-            log[mine] = np.log10(np.where(total > 0, kept / np.repeat(whole, size), below))
+        prob, total, _ = e.probs(tables[2], discount, hot, uni.prob(e.count))
+        log = np.log10(prob)[e.at]
+        e.part = e.history = e.key = e.times = e.count = e.hot = None
+        if len(levels) > 1:
+            parts, discount, hot = levels[1]
+            t = chunk.triples(e, total, parts, uni)
+            log[chunk.inside()] = np.log10(t.probs(tables[3], discount, hot, prob[t.word])[0])[t.at]
         edges = np.concatenate([[0], np.cumsum(chunk.lengths)])
         count = chunk.count[chunk.word]
         add = lambda x: arrays.per_text(x, edges)
@@ -395,7 +471,7 @@ def _scores(joined: DataFrame, parts: int, uni: Unigrams, discount: np.ndarray,
         n = len(chunk.lengths)
         cols = [
             ids, pa.array((chunk.flags & 1) > 0), pa.array(chunk.lengths), pa.array(add(count > 0)),
-            pa.array(np.full(n, uni.total, np.int64)), pa.array(add(uni.base(count))), pa.array(add(log[e.at])),
+            pa.array(np.full(n, uni.total, np.int64)), pa.array(add(uni.base(count))), pa.array(add(log)),
         ]
         yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -406,17 +482,32 @@ def _scores(joined: DataFrame, parts: int, uni: Unigrams, discount: np.ndarray,
     )
 
 
-def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, part_entries: int = PART_ENTRIES) -> DataFrame:
+def _found(answers: DataFrame) -> tuple[np.ndarray, dict]:
+    """Discounts, and the divided histories' numbers and mass, from a table's answers."""
+    stats = answers.where("stats is not null").select(F.posexplode("stats").alias("k", "n"))
+    found = {r["k"]: r["n"] for r in stats.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    discount = good_turing(np.array([found.get(i, 0) for i in range(K + 1)], np.int64))
+    # no more than HOT_SHARE histories can be divided
+    low = [F.sum(F.col("low")[r]).alias(f"n{r}") for r in range(K)]
+    divided = answers.where("hot is not null").groupBy("hot").agg(F.sum("mass").alias("mass"), *low)
+    return discount, {r["hot"]: ([r[f"n{i}"] for i in range(K)], r["mass"]) for r in divided.collect()}
+
+
+def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, part_entries: int = PART_ENTRIES, order: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
     The model learns from the rows that are not ``held_out`` (by default those with
     ``crc32(doc_id) mod 10`` = 0; a null doc_id is not) and scores all.  Tokens are
     words, A-Z lower-cased, and one end per text, so a null or empty text is its end
     alone.  ``base_score`` adds up additively smoothed word probabilities, ``score`` those
-    of the model, both as log10.  Repeated rows count and are scored each.  Only doc_id
+    of the model, both as log10.  With ``order`` three a word's history is the two words
+    before it, backed off to the last one and then to none; a text's first word has its
+    start alone as history in either order.  Repeated rows count and are scored each.  Only doc_id
     and text are read.  Without training rows every word is unknown and the score is
     finite still; an empty table gives an empty result.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     scratch = Scratch(docs.sparkSession, "katz")
     if held_out is None:
         held_out = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(10)) == 0
@@ -436,13 +527,14 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
     answers = words.where("chunk is not null").drop("stats")
     joined = own.union(answers.select(*own.columns))
     parts = -(-(n_tokens or 1) // (2 * part_entries))
-    pairs = scratch.keep(_pair_answers(_pair_requests(joined, parts, uni), uni), "pairs")
-    stats = pairs.where("stats is not null").select(F.posexplode("stats").alias("k", "n"))
-    found = {r["k"]: r["n"] for r in stats.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    discount = good_turing(np.array([found.get(i, 0) for i in range(K + 1)], np.int64))
-    # no more than HOT_SHARE histories can be divided
-    low = [F.sum(F.col("low")[r]).alias(f"n{r}") for r in range(K)]
-    divided = pairs.where("hot is not null").groupBy("hot").agg(F.sum("mass").alias("mass"), *low)
-    hot = {r["hot"]: ([r[f"n{i}"] for i in range(K)], r["mass"]) for r in divided.collect()}
-    answers = pairs.where("chunk is not null").select(*own.columns)
-    return _scores(joined.union(answers), parts, uni, discount, hot)
+    pairs = scratch.keep(_answers(_pair_requests(joined, parts, uni), uni), "pairs")
+    discount, hot = _found(pairs)
+    levels = [(parts, discount, hot)]
+    joined = joined.union(pairs.where("chunk is not null").select(*own.columns))
+    if order == 3:
+        wide = -(-(n_tokens or 1) // part_entries)
+        requests = _triple_requests(joined, parts, wide, uni, discount, hot)
+        triples = scratch.keep(_answers(requests, uni, discount), "triples")
+        levels.append((wide, *_found(triples)))
+        joined = joined.union(triples.where("chunk is not null").select(*own.columns))
+    return _scores(joined, uni, levels)

@@ -47,7 +47,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), order=3)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -284,6 +285,60 @@ def test_katz_against_plain_counts(docs, rows, none):
     assert katz.score(none).count() == 0
 
 
+def test_katz_of_order_three(spark, docs, rows, none, monkeypatch):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = [(r.doc_id, WORD.findall((r.text or "").translate(LOW)) + [None]) for r in rows]
+    grams = lambda ts, k: [tuple(["<s>", *ts][max(0, i - k + 2) : i + 2]) for i in range(len(ts))]
+    counts = [collections.Counter() for _ in range(3)]
+    for i, ts in tokens:
+        if not held(i):
+            counts[0].update((w,) for w in ts)
+            counts[1].update(grams(ts, 2))
+            counts[2].update(g for g in grams(ts, 3) if len(g) == 3)
+    total, follow, drop = sum(counts[0].values()), collections.defaultdict(dict), []
+    for level in counts:
+        n = collections.Counter(level.values())
+        common, d = 6 * n[6] / n[1], {}
+        for r in range(1, 6):
+            v = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 1
+            d[r] = v if 0 < v < 1 else 1
+        drop.append(d)
+        for g, c in level.items():
+            follow[g[:-1]][g[-1]] = c
+    free = sum((1 - drop[0][c]) * c for c in counts[0].values() if c <= 5)
+
+    @functools.cache
+    def rest(h):
+        d, seen = drop[len(h)], follow[h]
+        whole = sum(seen.values()) + (not any(d.get(c, 1) < 1 for c in seen.values()))
+        left = 1 - sum(d.get(c, 1) * c for c in seen.values()) / whole
+        return whole, left / (1 - sum(p(h[1:], x) for x in seen))
+
+    def p(h, w):
+        if not h:
+            c = counts[0][(w,)]
+            return (drop[0].get(c, 1) * c if c else free or 1) / (total if free > 0 else total + 1)
+        if h not in follow:
+            return p(h[1:], w)
+        whole, weight = rest(h)
+        c = follow[h].get(w)
+        return drop[len(h)].get(c, 1) * c / whole if c else weight * p(h[1:], w)
+
+    for h in [("<s>", "the"), *[h for h in list(follow) if len(h) == 2][:5]]:
+        assert math.isclose(sum(p(h, w) for (w,) in [*counts[0], ("<unknown>",)]), 1, rel_tol=1e-9)
+    want = keyed(
+        (i, len(ts), round(sum(math.log10(p(g[:-1], g[-1])) for g in grams(ts, 3)), 6)) for i, ts in tokens
+    )
+    got = katz.score(docs, chunk_bytes=2000, part_entries=300, order=3).collect()
+    assert keyed((r[0], r[2], round(r[6], 6)) for r in got) == want
+    assert katz.score(none, order=3).count() == 0
+    ends = documents(spark, [(None, None), ("", "en")])
+    assert all(r[2] == 1 and r[6] <= 0 for r in katz.score(ends, order=3).collect())
+    monkeypatch.setattr(katz, "HOT_SHARE", 1 << 40)
+    got = katz.score(docs, chunk_bytes=2000, part_entries=300, order=3).collect()
+    assert keyed((r[0], r[2], round(r[6], 6)) for r in got) == want
+
+
 def test_katz_divides_hot_histories(docs, monkeypatch):
     plain = keyed((r[0], r[2], round(r[6], 6)) for r in katz.score(docs).collect())
     monkeypatch.setattr(katz, "HOT_SHARE", 1 << 40)
