@@ -16,6 +16,7 @@ from tallygrid.functions import numeric as N
 from tallygrid.functions import text as T
 from tallygrid.functions.similarity import with_ratio
 from tallygrid.partitioning import first_k
+from tallygrid.storage import stored
 
 # Frequent letters are moved behind all others so that rare ones are compared first.
 _COMMON = " etaoinshrdlu"
@@ -176,37 +177,76 @@ def _word_matches(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
     )
 
 
-def best_similar(
-    keys: DataFrame, labels: DataFrame, key: str, label: str = "label", idx: str = "row_idx",
-    floor: float = 0.5, boost: float | None = 0.9,
-) -> DataFrame:
-    """table_id, <key>, idx, score: the most similar label at or above the floor.
+#: Without a floor, keys that reach this score are settled through rare letters first.
+_SETTLED = 0.6
+_SALTS = 16
 
-    Containment raises a score to at least ``boost``.  Equal texts and contained ones
-    are settled without scoring; the rest is scored once per distinct pair.
-    """
-    wanted = keys.select("table_id", key).distinct().withColumn("_key", normal(F.col(key)))
-    known = _entries(labels, label, idx).where(F.col("label") != "")
-    exact = wanted.join(known.withColumnRenamed("label", "_key"), ["table_id", "_key"]).select(
-        "table_id", key, "idx", F.lit(1.0).alias("score")
-    )
-    open_ = wanted.join(exact.select("table_id", key), ["table_id", key], "left_anti")
-    left = open_.select("table_id", "_key").distinct()
-    pairs = similar_candidates(left, known, "_key", "label", floor, multiset=True)
-    if boost is not None:
+
+def _scored(
+    left: DataFrame, known: DataFrame, floor: float, boost: float | None, strict: bool
+) -> DataFrame:
+    """table_id, _key, m (idx, score): the best label that reaches the floor."""
+    if floor > 0:
+        pairs = similar_candidates(left, known, "_key", "label", floor, multiset=True)
+    else:
+        salt = F.pmod(F.xxhash64("label"), F.lit(_SALTS)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        pairs = left.withColumn("_a", _letters(F.col("_key"), True)).withColumn("_salt", every).join(
+            known.withColumn("_b", _letters(F.col("label"), True)).withColumn("_salt", salt),
+            ["table_id", "_salt"],
+        )
+        most = 2 * F.size(F.array_intersect("_a", "_b")) / (F.size("_a") + F.size("_b"))
+        pairs = pairs.withColumn("_most", most).where("_most > 0").drop("_salt", "_a", "_b")
+    if boost is not None and floor > 0:
         held = contained(left, known, "_key", "label").unionByName(
             contained(known, left, "label", "_key"), allowMissingColumns=True
         )
         pairs = pairs.unionByName(held.select(*pairs.columns)).distinct()
-    scored = with_ratio(pairs, "_key", "label", "score")
+    if floor <= 0:
+        # What the letters of a pair allow at most; pairs below the score of the most
+        # promising one are not scored.
+        pairs = stored(pairs)
+        top = pairs.groupBy("table_id", "_key").agg(F.max_by("label", "_most").alias("label"))
+        top = with_ratio(stored(top), "_key", "label", "_least").select("table_id", "_key", "_least")
+        pairs = pairs.join(top, ["table_id", "_key"]).where(F.col("_most") >= F.col("_least") - 1e-9)
+        pairs = pairs.drop("_most", "_least")
+    scored = with_ratio(stored(pairs), "_key", "label", "score")
     if boost is not None:
         hit = T.contains_either(F.col("_key"), F.col("label"))
         scored = scored.withColumn(
             "score", F.when(hit, F.greatest("score", F.lit(boost))).otherwise(F.col("score"))
         )
-    best = scored.where(F.col("score") >= floor).groupBy("table_id", "_key").agg(
+    reached = F.col("score") > floor if strict else F.col("score") >= floor
+    return scored.where(reached).groupBy("table_id", "_key").agg(
         F.min_by(F.struct("idx", "score"), F.struct(-F.col("score"), F.col("idx"))).alias("m")
     )
+
+
+def best_similar(
+    keys: DataFrame, labels: DataFrame, key: str, label: str = "label", idx: str = "row_idx",
+    floor: float | None = 0.5, boost: float | None = 0.9, strict: bool = False,
+) -> DataFrame:
+    """table_id, <key>, idx, score: the most similar label at or above the floor.
+
+    ``strict`` wants more than the floor; without a floor (None) the best label counts
+    whatever its score, if it is above 0.  Containment raises a score to at least
+    ``boost``.  Equal texts and contained ones are settled without scoring; the rest is
+    scored once per distinct pair.  Blank keys and labels are similar to nothing.
+    """
+    wanted = keys.select("table_id", key).distinct().withColumn("_key", normal(F.col(key)))
+    known = stored(_entries(labels, label, idx).where(F.col("label") != ""))
+    exact = wanted.join(known.withColumnRenamed("label", "_key"), ["table_id", "_key"]).select(
+        "table_id", key, "idx", F.lit(1.0).alias("score")
+    )
+    open_ = stored(wanted.join(exact.select("table_id", key), ["table_id", key], "left_anti"))
+    left = open_.select("table_id", "_key").distinct()
+    if floor is None:
+        lowest = _SETTLED if boost is None else min(_SETTLED, boost)
+        best = stored(_scored(left, known, lowest, boost, False))
+        rest = left.join(best, ["table_id", "_key"], "left_anti")
+        best = best.unionByName(_scored(rest, known, 0.0, boost, True))
+    else:
+        best = _scored(left, known, floor, boost, strict)
     loose = open_.join(best, ["table_id", "_key"]).select("table_id", key, "m.idx", "m.score")
     return exact.unionByName(loose)
 

@@ -580,13 +580,21 @@ def row_key_matches_with_words(spark, sf):
 @query()
 def row_key_similarity(spark, sf):
     qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
-    return r6(K.best_similar(qs, cells.where("col_idx = 0"), "row_key", "text", "row_idx", floor=0.7), "score")
+    return r6(K.best_similar(qs, cells.where("col_idx = 0"), "row_key", "text", "row_idx", floor=None), "score")
+
+
+@query()
+def row_key_similarity_above_half(spark, sf):
+    qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
+    labels = cells.where("col_idx = 0")
+    return r6(K.best_similar(qs, labels, "row_key", "text", "row_idx", boost=None, strict=True), "score")
 
 
 @query()
 def column_key_similarity_on_joined_headers(spark, sf):
     qs, cells = stored(I.questions(spark, sf)), I.stored_cells(spark, sf)
-    return r6(K.best_similar(qs, K.header_texts(cells), "col_key", "header", "col_idx", floor=0.3), "score")
+    headers = K.header_texts(cells)
+    return r6(K.best_similar(qs, headers, "col_key", "header", "col_idx", floor=None, boost=None), "score")
 
 
 @query(q("cells", "SELECT table_id, col_idx, string_agg(text, ' ' ORDER BY row_idx) AS header FROM cells WHERE row_idx < 3 AND text <> '' GROUP BY ALL"))

@@ -1,6 +1,7 @@
 """Readers and writers on small files of each format."""
 
 import json
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,29 @@ def test_similarity_lookup(spark):
     assert got == {"cash and bank": 2, "trade debitors": 3}
 
 
+def test_similarity_without_floor(spark):
+    names = ["Cash and bank", "Trade debtors", "Cash", "abab", "baba", "cdcd xyw", "Zq", "Total equity and liabilities"]
+    wanted = ["trade", "ab", "bbaa", "cash at banks", "qz", "dcxw", "equity", "liable", "####", "total cash", "abad", "zz"]
+    rows = [(t, i, x) for t in (1, 2) for i, x in enumerate(names[t - 1 :])]
+    labels = spark.createDataFrame(rows, "table_id INT, row_idx INT, label STRING")
+    keys = spark.createDataFrame([(t, k) for t in (1, 2) for k in wanted], "table_id INT, row_key STRING")
+
+    def plain(floor, boost):
+        for t, k in [(t, k) for t in (1, 2) for k in wanted]:
+            best = (floor, None)
+            for _, i, x in (r for r in rows if r[0] == t):
+                score = SequenceMatcher(None, k, x.lower()).ratio()
+                if boost and (k in x.lower() or x.lower() in k):
+                    score = max(score, boost)
+                best = (score, i) if score > best[0] else best
+            if best[1] is not None:
+                yield t, k, best[1], round(best[0], 9)
+
+    for floor, boost, options in [(0, 0.9, {"floor": None}), (0, None, {"floor": None}), (0.5, None, {"strict": True})]:
+        got = lookup.best_similar(keys, labels, "row_key", boost=boost, **options).collect()
+        assert sorted((*r[:3], round(r.score, 9)) for r in got) == sorted(plain(floor, boost))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.123456)], "name STRING, v DOUBLE")
     sinks.write_samples_csv(df, str(tmp_path / "s"))
