@@ -192,3 +192,90 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents AS d LEFT JOIN (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed FROM ranked GROUP BY doc_id
 ) USING (doc_id)"""
+
+
+#: CRC-32 runs over a list of bytes, each followed by eight shifts; runs are the islands of
+#: positions whose word comes again one period later.
+RUNS = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
+         flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM documents
+), hashed AS (
+  SELECT r, doc_id, ws, len(ws) AS n, xor(4294967295, list_reduce(list_concat([4294967295], steps),
+    lambda c, s: CASE WHEN s >= 0 THEN xor(c, s)
+                      ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END)) AS h
+  FROM d
+), placed AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a FROM hashed
+), cut AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed
+), words AS (
+  SELECT r, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM cut)
+), same AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM words AS x
+  JOIN words AS y ON x.r = y.r AND x.w = y.w AND y.i > x.i
+  JOIN cut ON cut.r = x.r AND 4 * (y.i - x.i) <= cut.n
+), islands AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM (
+    SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands
+    GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q))
+  GROUP BY r, start, length
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS collapsed
+  FROM words ANTI JOIN dropped USING (r, i) GROUP BY r
+), listed AS (
+  SELECT r, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         first(start ORDER BY length DESC, start, period) AS start,
+         first(period ORDER BY length DESC, start, period) AS period, max(length) AS length
+  FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
+
+
+#: Every phrase of every piece is counted, then the rules are read off the counts.
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), starts AS (
+  SELECT lang, ws, len(ws) AS size, unnest(range(1, len(ws) + 1)) AS i FROM split
+), grams AS (
+  SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase
+  FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= size
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS phrase, max(f) AS over FROM (
+    SELECT lang, f, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+    (SELECT unnest(range(1, 5)) AS i) WHERE i + m - 1 <= k GROUP BY ALL
+), cuts AS (
+  SELECT f.lang, f.phrase, f.f AS a, k, string_split(f.phrase, ' ') AS ws, unnest(range(1, k)) AS cut
+  FROM f LEFT JOIN inside USING (lang, phrase) WHERE k > 1 AND (over IS NULL OR 100 * over < 100 * f.f)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, n,
+         (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f AS r ON r.lang = cuts.lang AND r.phrase = array_to_string(ws[cut+1:], ' ')
+  JOIN n ON n.lang = cuts.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, jaccard, katz, language, line_dedup, mixture, oracles, quality, sharding, token_files, warc_zip
+from tallygrid.llm import decontaminate, jaccard, katz, language, line_dedup, mixture, oracles, phrases, quality, runs, sharding, token_files, warc_zip
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,29 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.LINES)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.per_document(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.PHRASES)
+def op11_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top(phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5), 2000)
+
+
+@query(oracles.RUNS)
+def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(with_repeated_ends(table(spark, sf_dir, "documents"))))
+
+
+def with_repeated_ends(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: the texts of one document in ten end in a repeated stretch, whose
+    place and period follow from the CRC-32 of the decimal doc_id (null: text unchanged)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(chosen, split).alias("words"))
+    sized = words.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr(
+        "array_join(transform(sequence(0L, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')"
+    )
+    return cut.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
