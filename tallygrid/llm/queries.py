@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, jaccard, katz, language, line_dedup, mixture, oracles, phrases, quality, runs, sharding, token_files, warc_zip
+from tallygrid.llm import decontaminate, jaccard, katz, language, line_dedup, main_text, mixture, oracles, phrases, quality, runs, sharding, token_files, warc_zip
 from tallygrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,6 +81,11 @@ def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(with_repeated_ends(table(spark, sf_dir, "documents"))))
 
 
+@query()
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def with_repeated_ends(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: the texts of one document in ten end in a repeated stretch, whose
     place and period follow from the CRC-32 of the decimal doc_id (null: text unchanged)."""
