@@ -112,7 +112,9 @@ class Open:
     dropped: bool = False
     surely: bool = False  # dropped by more than a name around the article
     edge: bool = False  # an inline element where dropping begins
-    scope: dict[str, int] = field(default_factory=dict)
+    scope: dict[str, int] = field(default_factory=dict)  # where its open p, li, ... stand
+    inside: Counter = field(default_factory=Counter)  # elements open in this scope
+    around: Counter = field(default_factory=Counter)  # and in the one that holds it
 
 
 def named(name: str, attributes: str) -> bool:
@@ -146,7 +148,7 @@ def opened(name: str, attributes: str, stack: list[Open], container: int) -> Ope
     edge = dropped and not top.dropped and name not in BLOCKS
     return Open(
         name, region, container, top.linked or name == "a", heading, dropped, surely, edge,
-        {} if name in SCOPES else top.scope,
+        *(({}, Counter()) if name in SCOPES else (top.scope, top.inside)), top.inside,
     )
 
 
@@ -178,7 +180,9 @@ def blocks(page: str) -> list[Block]:
         if any(e.edge for e in stack[to:]):
             flush()
         while len(stack) > to:
-            open_names[stack.pop().name] -= 1
+            gone = stack.pop()
+            open_names[gone.name] -= 1
+            gone.around[gone.name] -= 1
 
     at, end = 0, len(page)
     while at < end:
@@ -197,7 +201,8 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if slash:
-            if open_names[name]:
+            # an inline end closes nothing beyond the block that it stands in
+            if (open_names if name in BLOCKS else stack[-1].inside)[name]:
                 k = len(stack) - 1
                 while stack[k].name != name:
                     k -= 1
@@ -220,6 +225,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         stack.append(new)
         open_names[name] += 1
+        new.around[name] += 1
         if name == "p" or name in CLOSED_BY:
             new.scope[name] = len(stack) - 1
     flush()

@@ -235,7 +235,7 @@ def names_of(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, scratch: Scratch | None = None) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``lang, phrase, f`` of every phrase of 1 to ``longest`` words that occurs ``least``
     times or more in its language, overlaps counted; and, with a null phrase, the number of
     words of every language.
@@ -245,7 +245,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, scratc
     name; null texts count as empty, a null language is ``und``; an empty table gives an
     empty result.  Repeated rows count as often as they occur.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "phrases")
+    scratch = Scratch(docs.sparkSession, "phrases")
     share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
@@ -297,8 +297,11 @@ def collocations(
     longer one of at least ``covered_percent`` of its count is left out.  For nulls, empty
     texts and empty tables see :func:`frequent`.
     """
-    scratch = Scratch(docs.sparkSession, "phrases")
-    found = frequent(docs, least, longest, scratch)
+    return scored(frequent(docs, least, longest), longest, covered_percent)
+
+
+def scored(found: DataFrame, longest: int, covered_percent: int) -> DataFrame:
+    """The collocations among counted phrases, see :func:`collocations`."""
     total = found.where("phrase is null").select("lang", F.col("f").alias("n"))
     counted = found.where("phrase is not null").withColumn("words", F.split("phrase", " "))
     counted = counted.withColumn("k", F.size("words"))
@@ -331,8 +334,8 @@ def collocations(
     under = (big("f_left") * big("f_right")).cast("decimal(38,0)")
     cuts = cuts.withColumn("over", over).withColumn("under", under).withColumn("score", F.expr("over div under"))
     best = F.min(F.struct("score", "cut", "f_left", "f_right")).alias("b")
-    scored = cuts.groupBy("lang", "phrase", "f", "n").agg(best)
-    return scored.select(
+    lowest = cuts.groupBy("lang", "phrase", "f", "n").agg(best)
+    return lowest.select(
         "lang", "phrase", F.col("f").alias("a"), F.col("b.f_left").alias("l"), F.col("b.f_right").alias("r"),
         "n", F.col("b.score").alias("score"),
     )
