@@ -18,6 +18,8 @@ from tallygrid.functions.similarity import with_ratio
 from tallygrid.partitioning import first_k
 from tallygrid.storage import stored
 
+#: Keys over which the texts of one table are dealt where facts of the table join them.
+_SALTS = 16
 # Frequent letters are moved behind all others so that rare ones are compared first.
 _COMMON = " etaoinshrdlu"
 _LATE = "".join(chr(0xE000 + i) for i in range(len(_COMMON)))
@@ -50,8 +52,11 @@ def contained(inner: DataFrame, outer: DataFrame, small: str, large: str) -> Dat
     short = inner.where(F.length(small) > 0).withColumn("_n", F.least(F.length(small), F.lit(3)))
     short = short.withColumn("_g", F.substring(F.col(small), F.lit(1), F.col("_n")))
     lengths = short.select("table_id", "_n").distinct()
+    # a table's few lengths meet its texts salt by salt, so no table is one join key
+    lengths = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = outer.withColumn("_salt", F.pmod(F.xxhash64(large), F.lit(_SALTS)).cast("int"))
     long = (
-        outer.join(lengths, "table_id")
+        salted.join(lengths, ["table_id", "_salt"]).drop("_salt")
         .where(F.length(large) >= F.col("_n"))
         .withColumn("_g", F.explode(_grams(F.col(large), F.col("_n"))))
     )
@@ -179,7 +184,6 @@ def _word_matches(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
 
 #: Without a floor, keys that reach this score are settled through rare letters first.
 _SETTLED = 0.6
-_SALTS = 16
 
 
 def _scored(
@@ -251,6 +255,73 @@ def best_similar(
     return exact.unionByName(loose)
 
 
+def first_hit(
+    keys: DataFrame, labels: DataFrame, key: str, label: str = "text", idx: str = "row_idx",
+    texts: DataFrame | None = None, floor: float = 0.7, blank_hits: bool = True,
+) -> DataFrame:
+    """table_id, <key>, idx: the first label, by ``idx``, that passes any test.
+
+    A label passes if it contains the key or is contained in it, or is similar by
+    ``floor``; and a place of ``texts`` (table_id, idx, text) passes if its text contains
+    the key.  The first place wins, whichever test it passes.  With ``blank_hits`` a blank
+    label is contained in every key, and a blank key in every label.  Containment is found
+    through shared letter groups; only labels before the first hit so found, and with
+    enough letters in common, are scored.
+    """
+    wanted = keys.select("table_id", key).distinct().withColumn("_key", normal(F.col(key)))
+    left = wanted.select("table_id", "_key").distinct()
+    known = _entries(labels, label, idx)
+    filled, whole = known.where("label <> ''"), left.where("_key <> ''")
+    hit = lambda df: df.select("table_id", "_key", "idx")
+    found = hit(contained(whole, filled, "_key", "label")).unionByName(
+        hit(contained(filled, whole, "label", "_key"))
+    )
+    if texts is not None:
+        lower = texts.select("table_id", F.col(idx).alias("idx"), F.lower("text").alias("text"))
+        found = found.unionByName(hit(contained(whole, lower, "_key", "text")))
+    sure = found.groupBy("table_id", "_key").agg(F.min("idx").alias("idx"))
+    if blank_hits:
+        salt = F.pmod(F.xxhash64("_key"), F.lit(_SALTS)).cast("int")
+        firsts = known.groupBy("table_id").agg(
+            F.min("idx").alias("_any"), F.min(F.when(F.col("label") == "", F.col("idx"))).alias("_blank")
+        ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        blank = left.withColumn("_salt", salt).join(firsts, ["table_id", "_salt"])
+        blank = blank.withColumn("idx", F.when(F.col("_key") == "", F.col("_any")).otherwise(F.col("_blank")))
+        sure = sure.unionByName(hit(blank.where("idx is not null")))
+        sure = sure.groupBy("table_id", "_key").agg(F.min("idx").alias("idx"))
+    likely = similar_candidates(whole, filled, "_key", "label", floor, multiset=True)
+    likely = likely.join(sure.withColumnRenamed("idx", "_sure"), ["table_id", "_key"], "left")
+    likely = likely.where("_sure is null or idx < _sure").drop("_sure")
+    scored = with_ratio(likely, "_key", "label", "_score").where(F.col("_score") >= floor)
+    best = sure.unionByName(hit(scored)).groupBy("table_id", "_key").agg(F.min("idx").alias("idx"))
+    return wanted.join(best, ["table_id", "_key"]).select("table_id", key, "idx")
+
+
+def first_row_hits(
+    keys: DataFrame, cells: DataFrame, key: str = "row_key", floor: float = 0.7, blank_hits: bool = True
+) -> DataFrame:
+    """table_id, <key>, row_idx: the first row whose first cell contains the key, is
+    contained in it or resembles it, or whose joined text contains it."""
+    items = F.array_sort(F.collect_list(F.struct("col_idx", "text")))
+    rows = cells.groupBy("table_id", "row_idx").agg(
+        F.array_join(F.transform(items, lambda c: c["text"]), " ").alias("text")
+    )
+    found = first_hit(keys, cells.where("col_idx = 0"), key, "text", "row_idx", rows, floor, blank_hits)
+    return found.withColumnRenamed("idx", "row_idx")
+
+
+def first_column_hits(
+    keys: DataFrame, cells: DataFrame, key: str = "col_key", rows: int = 3, floor: float = 0.7,
+    blank_hits: bool = True,
+) -> DataFrame:
+    """table_id, <key>, col_idx: the column of the first cell, row by row through the first
+    ``rows`` of the table, that contains the key, is contained in it or resembles it."""
+    place = F.shiftleft(F.col("row_idx").cast("long"), 32) + F.col("col_idx")
+    heads = cells.where(F.col("row_idx") < rows).withColumn("place", place)
+    found = first_hit(keys, heads, key, "text", "place", None, floor, blank_hits)
+    return found.select("table_id", key, F.col("idx").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("col_idx"))
+
+
 def header_texts(cells: DataFrame, rows: int = 3) -> DataFrame:
     """table_id, col_idx, header: texts of the first rows joined per column."""
     items = F.array_sort(F.collect_list(F.struct("row_idx", "text")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def amount(v: str) -> str:
     return f"CASE WHEN {v} < 0 THEN '(' || format('{{:,}}', abs({v})) || ')' ELSE format('{{:,}}', abs({v})) END"
@@ -136,5 +138,8 @@ def q(names: str, body: str, extra: dict[str, str] | None = None) -> str:
     for n in names.split():
         need(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in wanted]
-    parts += [f"{n} AS ({s})" for n, s in (extra or {}).items()]
+    # an extra that is read more than once is worked out once
+    later = {n: " ".join([*list((extra or {}).values())[i + 1 :], body]) for i, n in enumerate(extra or {})}
+    once = {n: len(re.findall(rf"\b{n}\b", text)) < 2 for n, text in later.items()}
+    parts += [f"{n} AS {'' if once[n] else 'MATERIALIZED '}({s})" for n, s in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -597,6 +597,73 @@ def column_key_similarity_on_joined_headers(spark, sf):
     return r6(K.best_similar(qs, headers, "col_key", "header", "col_idx", floor=None, boost=None), "score")
 
 
+def _first_hits(places: str, key: str, out: str) -> str:
+    """The first place of a table that passes any test, for every key.  Pairs before the
+    first containment whose letters allow a ratio of 0.7 are scored block by block: the
+    longest common run, the earliest of equals, then what lies left and right of it."""
+    run = "substr(a, 1000 - run % 1000, run // 1000)"
+    extra = {
+        "pl": places,
+        "ky": f"SELECT DISTINCT table_id, {key}, lower(trim({key})) AS k FROM questions",
+        "met": """SELECT table_id, k, l, place, contains(l, k) OR contains(k, l) OR contains(t, k) AS hit
+          FROM (SELECT DISTINCT table_id, k FROM ky) JOIN pl USING (table_id)""",
+        "sure": "SELECT table_id, k, min(place) FILTER (hit) AS place FROM met GROUP BY ALL",
+        "early": """SELECT m.* FROM met m JOIN sure s USING (table_id, k)
+          WHERE m.l <> '' AND m.k <> '' AND (s.place IS NULL OR m.place < s.place)""",
+        "letters": "SELECT x, c, count(*) AS n FROM (SELECT x, unnest(string_split(x, '')) AS c FROM (SELECT k AS x FROM early UNION SELECT l FROM early)) GROUP BY ALL",
+        "pairs": """SELECT k, l FROM (SELECT DISTINCT k, l FROM early) JOIN letters p ON p.x = k JOIN letters r ON r.x = l AND r.c = p.c
+          GROUP BY k, l HAVING 2 * sum(least(p.n, r.n)) >= 0.7 * (length(k) + length(l)) - 1e-9""",
+    }
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in extra.items())
+    head = q("questions cells", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    return f"""{head},
+{parts},
+blk(k, l, a, b, n) AS (
+  SELECT k, l, k, l, 0::BIGINT FROM pairs
+  UNION ALL
+  SELECT k, l, unnest([substr(a, 1, i - 1), substr(a, i + n)]), unnest([substr(b, 1, j - 1), substr(b, j + n)]), unnest([n, 0]) FROM (
+    SELECT k, l, a, b, 1000 - run % 1000 AS i, run // 1000 AS n, instr(b, {run}) AS j FROM (
+      SELECT *, list_max(list_filter(flatten(list_transform(range(1, length(a) + 1),
+          lambda i: list_transform(range(1, length(a) - i + 2), lambda s: 1000 * s + 1000 - i))),
+          lambda run: contains(b, {run}))) AS run
+      FROM blk WHERE a <> '' AND b <> '') WHERE run IS NOT NULL)
+), close AS (
+  SELECT k, l FROM blk GROUP BY k, l HAVING 2.0 * sum(n) / (length(k) + length(l)) >= 0.7
+), best AS (
+  SELECT table_id, k, min(place) AS place FROM (
+    SELECT * FROM sure UNION ALL SELECT table_id, k, place FROM early JOIN close USING (k, l)) GROUP BY ALL
+)
+SELECT table_id, {key}, {out} FROM ky JOIN best USING (table_id, k) WHERE place IS NOT NULL"""
+
+
+_ROW_PLACES = """SELECT table_id, row_idx::BIGINT AS place, lower(trim(max(text) FILTER (col_idx = 0))) AS l,
+  lower(string_agg(text, ' ' ORDER BY col_idx)) AS t FROM cells GROUP BY ALL"""
+_COL_PLACES = "SELECT table_id, row_idx * 1000 + col_idx AS place, lower(trim(text)) AS l FROM cells WHERE row_idx < 3"
+_BY_ROW = _first_hits(_ROW_PLACES, "row_key", "place::INTEGER AS row_idx")
+_BY_COL = _first_hits(_COL_PLACES, "col_key", "(place % 1000)::INTEGER AS col_idx").replace("OR contains(t, k)", "")
+_FILLED = ("OR contains(k, l)", "OR l <> '' AND contains(k, l)")
+
+
+@query(_BY_ROW.replace(*_FILLED))
+def first_row_hits(spark, sf):
+    return K.first_row_hits(stored(I.questions(spark, sf)), I.stored_cells(spark, sf), blank_hits=False)
+
+
+@query(_BY_ROW)
+def first_row_hits_with_blanks(spark, sf):
+    return K.first_row_hits(stored(I.questions(spark, sf)), I.stored_cells(spark, sf))
+
+
+@query(_BY_COL.replace(*_FILLED))
+def first_column_hits(spark, sf):
+    return K.first_column_hits(stored(I.questions(spark, sf)), I.stored_cells(spark, sf), blank_hits=False)
+
+
+@query(_BY_COL)
+def first_column_hits_with_blanks(spark, sf):
+    return K.first_column_hits(stored(I.questions(spark, sf)), I.stored_cells(spark, sf))
+
+
 @query(q("cells", "SELECT table_id, col_idx, string_agg(text, ' ' ORDER BY row_idx) AS header FROM cells WHERE row_idx < 3 AND text <> '' GROUP BY ALL"))
 def joined_headers(spark, sf):
     return K.header_texts(I.cells(spark, sf))
