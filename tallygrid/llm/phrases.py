@@ -1,11 +1,12 @@
 """Phrase collocations by Toivonen's sampling.
 
-A sample of the texts is mined level by level with a lowered threshold: it proposes the
-phrases that are likely frequent.  One pass over all texts then counts these and their
+Words are counted first, over all texts.  A sample of the texts is then mined level by
+level with a lowered threshold: it proposes the longer phrases that are likely frequent.  One pass over all texts then counts these and their
 negative border, the phrases that are not proposed though both their parts, without the
 last and without the first word, are.  A border phrase that turns out to be frequent may
-hide longer ones: further passes count what it opens, until nothing new is opened.  So
-every frequent phrase has been counted over all texts, whatever the sample proposed.
+hide longer ones: a further pass counts all that it opens, phrases of any length whose
+parts are frequent or are counted in this pass too.  So every frequent phrase has been
+counted over all texts, whatever the sample proposed.
 
 Proposals reach the tasks as a bitmap of fixed size.  Where it errs it takes more phrases
 for proposed, which are then counted like the others: that costs time, never a count.
@@ -33,7 +34,9 @@ LOWERED = 0.5
 #: The bitmap of proposals: 16 MB.
 BITS = 27
 #: Entries that a task collects before it sends them.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 18
+#: Phrases that are put together at a time.
+SPELLED = 1 << 14
 #: One-word parts occur in many phrases: their joins are dealt over so many keys.
 SALTS = 32
 LANGUAGE_SALTS = 256
@@ -90,11 +93,14 @@ def grams(words: arrays.Spans, salt: np.ndarray, longest: int) -> list[tuple[np.
 
 def spelled(data: np.ndarray, words: arrays.Spans, at: np.ndarray, size: int) -> pa.Array:
     """The phrases of ``size`` words that begin at the words ``at``, joined by one space."""
+    blocks = [_spelled(data, words, at[i : i + SPELLED], size) for i in range(0, len(at), SPELLED)]
+    return pa.concat_arrays(blocks) if blocks else pa.array([], pa.large_string())
+
+
+def _spelled(data: np.ndarray, words: arrays.Spans, at: np.ndarray, size: int) -> pa.Array:
     which = (at[:, None] + np.arange(size)).ravel()
     start, length = words.start[which], words.end[which] - words.start[which] + 1
     ends = np.cumsum(length)
-    if not len(which):
-        return pa.array([], pa.large_string())
     # every word with the byte after it, which becomes a space
     take = np.repeat(start - (ends - length), length) + np.arange(ends[-1])
     out = arrays.LOWER[data[np.minimum(take, len(data) - 1)]]
@@ -154,39 +160,43 @@ class Collected:
         self.parts, self.size = [], 0
 
 
-def counts(texts: DataFrame, sizes: range, known, before=None, entries: int = ENTRIES) -> DataFrame:
+def counts(texts: DataFrame, sizes: range, known, frequent=None, entries: int = ENTRIES) -> DataFrame:
     """``lang, phrase, times`` of the phrases of so many words whose two parts are both
-    ``known``; those whose parts were both known ``before`` are left out.  One word has no
-    parts and always counts.  Without words, the phrase is null and ``times`` counts words.
+    ``known``.  One word has no parts and always counts.  Without words, the phrase is null
+    and ``times`` counts words.
+
+    With the set of phrases that such a pass has found ``frequent``, it counts what that
+    pass has not counted and what may still be frequent: phrases whose parts are frequent,
+    or have not been counted and may be so themselves.
     """
     longest = sizes[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Collected()
-        new = Bitmap(known.value)
-        old = Bitmap(before.value) if before else None
+        proposed = Bitmap(known.value)
+        sure = Bitmap(frequent.value) if frequent else None
         for batch in arrays.slices(batches):
             column = batch.column("text")
             langs = batch.column("lang").cast(pa.large_string())
             text = arrays.texts_of(column)
             words, owner = pieces(text)
-            parts = None, None
+            last_at, was_known, possible = None, None, None
             for size, (names, at) in enumerate(grams(words, salts(langs)[owner], longest), 1):
+                counted = wanted = np.ones(len(at), bool)
                 if size > 1:  # parts begin at the same word and at the next
-                    here, there = (np.searchsorted(parts[0], at + i) for i in (0, 1))
-                    good = parts[1][0][here] & parts[1][0][there]
-                    if old:
-                        good &= ~(parts[1][1][here] & parts[1][1][there])
-                    took, took_at = names[good], at[good]
-                else:
-                    took, took_at = names, at
+                    here, there = (np.searchsorted(last_at, at + i) for i in (0, 1))
+                    counted = wanted = was_known[here] & was_known[there]
+                    if sure:
+                        open_ = possible[here] & possible[there]
+                        wanted = open_ & ~counted
                 if size in sizes:
-                    keys, one, times = distinct(took, None)
-                    one = took_at[one]
+                    keys, one, times = distinct(names[wanted], None)
+                    one = at[wanted][one]
                     found.add(keys, times, langs.take(pa.array(owner[one])), spelled(text.data, words, one, size))
                 if size < longest:
-                    flags = [b.has(names) if b else None for b in (new, old)]
-                    parts = at, flags
+                    last_at, was_known = at, proposed.has(names)
+                    if sure:
+                        possible = np.where(counted, sure.has(names), wanted)
             if 1 in sizes:
                 rows, n = np.unique(owner, return_counts=True)
                 keys, one, times = distinct(arrays.mix(salts(langs)[rows]), n)
@@ -253,25 +263,28 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Dat
     )
     sample = scratch.keep(texts.where(F.rand(SAMPLE) < 1 / SAMPLE), "sample")
     lowered = max(2, int(LOWERED * least / SAMPLE))
-    bits = np.zeros(1 << (BITS - 6), np.int64)
-    for size in range(1, longest):
+    often = (F.col("times") >= least) | F.col("phrase").isNull()
+    words = counts(texts, range(1, 2), share(np.zeros(1 << (BITS - 6), np.int64)))
+    found = scratch.keep(words.where(often).withColumnRenamed("times", "f"), "words")
+    bits = bitmap(found.where("phrase is not null"))
+    for size in range(2, longest):
         level = counts(sample, range(size, size + 1), share(bits))
-        proposed = bitmap(level.where(F.col("times") >= lowered).where("phrase is not null"))
+        proposed = bitmap(level.where(F.col("times") >= lowered))
         bits = bits | proposed
         if not proposed.any():
             break
-    known, before, first, k = share(bits), None, 1, 0
-    found = None
-    while True:
-        new = counts(texts, range(first, longest + 1), known, before)
-        keep = (F.col("times") >= least) | F.col("phrase").isNull()
-        kept = scratch.keep(new.where(keep).withColumnRenamed("times", "f"), f"pass-{k}")
-        found = kept if found is None else found.unionByName(kept)
-        opened = bitmap(unknown(kept, known, longest))
-        if not opened.any():
-            return found
-        before, bits = known, bits | opened
-        known, first, k = share(bits), 2, k + 1
+    if longest == 1:
+        return found
+    known = share(bits)
+    new = counts(texts, range(2, longest + 1), known)
+    kept = scratch.keep(new.where(often).withColumnRenamed("times", "f"), "proposed-and-border")
+    found = found.unionByName(kept)
+    if not unknown(kept, known, longest).isEmpty():
+        sure = bitmap(found.where("phrase is not null"))
+        new = counts(texts, range(3, longest + 1), known, share(sure))
+        more = scratch.keep(new.where(often).withColumnRenamed("times", "f"), "beyond-the-border")
+        found = found.unionByName(more)
+    return found
 
 
 def unknown(kept: DataFrame, known, longest: int) -> DataFrame:
