@@ -353,42 +353,97 @@ def note_columns(spark, sf):
 # --- matching -----------------------------------------------------------------------------------
 
 
-@query(name="greedy_matches_by_prediction")
+def _greedy(keys: str, pairs: str, order: str, body: str, names: str = "pred_boxes gt_boxes", **more: str) -> str:
+    """One pair after the other, with the boxes used so far as lists."""
+    rank = {"iou": "iou DESC, p, g", "prediction": "p, iou DESC, g"}[order]
+    on = " AND ".join(f"r.{k} = w.{k}" for k in keys.split(", "))
+    these, those = (", ".join(f"{x}.{k}" for k in keys.split(", ")) for x in "rw")
+    head = q(names, "", {**more, "cand": pairs}).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    return f"""{head},
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {rank}) AS n FROM cand),
+walk AS (
+  SELECT {keys}, 0::BIGINT AS n, []::BIGINT[] AS ps, []::BIGINT[] AS gs, NULL::BIGINT AS p, NULL::BIGINT AS g, NULL::DOUBLE AS iou
+  FROM (SELECT DISTINCT {keys} FROM ranked)
+  UNION ALL
+  SELECT {keys}, n, CASE WHEN free THEN list_append(ps, p0) ELSE ps END, CASE WHEN free THEN list_append(gs, g0) ELSE gs END,
+         CASE WHEN free THEN p0 END, CASE WHEN free THEN g0 END, CASE WHEN free THEN iou END FROM (
+    SELECT {these}, r.n, w.ps, w.gs, r.p AS p0, r.g AS g0, r.iou, NOT list_contains(w.ps, r.p) AND NOT list_contains(w.gs, r.g) AS free
+    FROM walk w JOIN ranked r ON {on} AND r.n = w.n + 1)
+), matches AS (SELECT {keys}, p, g, iou FROM walk WHERE p IS NOT NULL)
+{body}"""
+
+
+_CAND = f"""SELECT * FROM (SELECT p.image_id, p.idx AS p, g.idx AS g, {S.iou('p', 'g')} AS iou
+  FROM pred_boxes p JOIN gt_boxes g ON p.image_id = g.image_id AND p.x1 < g.x2 AND g.x1 < p.x2) WHERE iou >= 0.5"""
+_MATCHES = "SELECT image_id, p, g, round(iou, 6) AS iou FROM matches"
+_SCORES = """round(coalesce(sum(tp) / nullif(sum(np), 0), 0), 6) AS precision, round(coalesce(sum(tp) / nullif(sum(ng), 0), 0), 6) AS recall,
+  round(CASE WHEN sum(tp) = 0 THEN 0 ELSE 2 * sum(tp) / (sum(np) + sum(ng)) END, 6) AS f1"""
+_TOTALS = "sum(tp)::BIGINT AS tp, (sum(np) - sum(tp))::BIGINT AS fp, (sum(ng) - sum(tp))::BIGINT AS fn"
+_COUNTS = """(SELECT {keys}, 0 AS tp, 1 AS np, 0 AS ng, 0.0 AS s FROM {pred} UNION ALL SELECT {keys}, 0, 0, 1, 0 FROM {gt} UNION ALL SELECT {keys}, 1, 0, 0, iou FROM matches)"""
+
+
+@query(_greedy("image_id", _CAND, "prediction", _MATCHES), name="greedy_matches_by_prediction")
 def _by_prediction(spark, sf):
     pred, gt = I.detections(spark, sf)
     return M.greedy_match(M.candidate_pairs(pred, gt, 0.5), "prediction").withColumn("iou", F.round("iou", 6))
 
 
-@query(name="greedy_matches_by_iou")
+@query(_greedy("image_id", _CAND, "iou", _MATCHES), name="greedy_matches_by_iou")
 def _by_iou(spark, sf):
     pred, gt = I.detections(spark, sf)
     return M.greedy_match(M.candidate_pairs(pred, gt, 0.5), "iou").withColumn("iou", F.round("iou", 6))
 
 
-@query(name="detection_scores_at_thresholds")
+@query(
+    _greedy(
+        "image_id, threshold", f"SELECT c.*, threshold FROM ({_CAND}) c JOIN limits ON iou >= threshold", "prediction",
+        f"""SELECT threshold, {_SCORES}, round(coalesce(sum(s) / nullif(sum(tp), 0), 0), 6) AS mean_iou, {_TOTALS}
+        FROM {_COUNTS.format(keys="threshold", pred="pred_boxes, limits", gt="gt_boxes, limits")} GROUP BY threshold""",
+        limits="SELECT unnest([0.5, 0.75, 0.9])::DOUBLE AS threshold",
+    ),
+    name="detection_scores_at_thresholds",
+)
 def _scores_at(spark, sf):
-    return M.scores_at(*_stored(*I.detections(spark, sf)))
+    return _rounded(M.scores_at(*_stored(*I.detections(spark, sf))), "mean_iou")
+
 
+def _rounded(scores, *more):
+    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", *more)})
 
-@query(name="detection_scores_by_image")
+
+@query(
+    _greedy(
+        "image_id", _CAND, "iou",
+        f"""SELECT image_id, {_SCORES}, round(CASE WHEN sum(tp) + sum(np) + sum(ng) = 0 THEN 1 ELSE coalesce(avg(s / nullif(tp, 0)), 0) END, 6) AS avg_iou, {_TOTALS}
+        FROM (SELECT image_id, sum(tp) AS tp, sum(np) AS np, sum(ng) AS ng, sum(s) AS s
+              FROM {_COUNTS.format(keys="image_id", pred="pred_boxes", gt="gt_boxes")} GROUP BY image_id) GROUP BY GROUPING SETS ((image_id), ())""",
+    ),
+    name="detection_scores_by_image",
+)
 def _by_image(spark, sf):
     pred, gt = _stored(*I.detections(spark, sf))
     matches = M.greedy_match(M.candidate_pairs(pred, gt, 0.5), "iou")
-    return M.image_scores(M.detection_counts(pred, gt, matches))
+    return _rounded(M.image_scores(M.detection_counts(pred, gt, matches)), "avg_iou")
 
 
-@query(name="structure_scores")
-def _structure_scores(spark, sf):
+@query(
+    _greedy(
+        "image_id, threshold",
+        f"""SELECT c.*, threshold FROM (SELECT p.image_id, p.idx AS p, g.idx AS g, {S.iou('p', 'g')} AS iou FROM moved p JOIN truth g ON p.image_id = g.image_id
+            AND p.x1 < g.x2 AND g.x1 < p.x2 AND p.y1 < g.y2 AND g.y1 < p.y2) c JOIN limits ON iou >= threshold""",
+        "prediction",
+        f"""SELECT kind, threshold, {_SCORES}, round(coalesce(sum(s) / nullif(sum(tp), 0), 0), 6) AS mean_iou, {_TOTALS}
+        FROM (SELECT *, split_part(image_id, ':', 2) AS kind FROM {_COUNTS.format(keys="image_id, threshold", pred="moved, limits", gt="truth, limits")}) GROUP BY kind, threshold""",
+        "struct_elements", limits="SELECT unnest([0.5, 0.75])::DOUBLE AS threshold",
+        truth="SELECT table_id || ':' || kind AS image_id, idx, x1, y1, x2, y2, score FROM struct_elements",
+        moved="SELECT image_id, idx, x1, y1, x2, y2 + (idx % 7) * 3 AS y2 FROM truth WHERE idx % 9 <> 4 AND score > 0.5",
+    )
+)
+def structure_scores(spark, sf):
     gt = I.struct_elements(spark, sf)
     one = F.concat_ws(":", "table_id", "kind").alias("image_id")
     (truth,) = _stored(gt.select(one, "kind", "idx", "x1", "y1", "x2", "y2", "score"))
     moved = truth.where(F.col("idx") % 9 != 4).withColumn("y2", F.col("y2") + (F.col("idx") % 7) * 3)
     (pred,) = _stored(B.above(moved, 0.5))
-    out = None
-    for t in (0.5, 0.75):
-        counts = M.detection_counts(pred, truth, M.greedy_match(M.candidate_pairs(pred, truth, t), "prediction"))
-        by_kind = M.detection_scores(
-            counts.withColumn("kind", F.split_part("image_id", F.lit(":"), F.lit(2))), "kind"
-        ).withColumn("threshold", F.lit(t))
-        out = by_kind if out is None else out.unionByName(by_kind)
-    return out
+    scores = M.scores_at(pred, truth, (0.5, 0.75), kind=F.split_part("image_id", F.lit(":"), F.lit(2)))
+    return _rounded(scores, "mean_iou")
