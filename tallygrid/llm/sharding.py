@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from tallygrid.llm.store import Scratch
 from tallygrid.partitioning import running_sums
 
-BUCKET_BYTES = 16 << 20
-#: No more buckets than this: their offsets, 16 bytes each, go to every task.
-MOST_BUCKETS = 1 << 20
+BUCKET_BYTES = 4 << 20
 LAW = "rows"
 
 
@@ -34,7 +32,7 @@ def shuffled(
     scratch = Scratch(docs.sparkSession, "shards")
     size = F.coalesce(F.octet_length(docs["text"].cast("string")), F.lit(0)) + F.lit(1)
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
-    buckets = -(-total // max(bucket_bytes, total // MOST_BUCKETS + 1)) or 1
+    buckets = -(-total // bucket_bytes) or 1
     placed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "at"), F.lit(buckets))
     # in the order of the input first: the same table and seed give the same shards
@@ -43,17 +41,17 @@ def shuffled(
         lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
     )
     mixed = placed.groupBy(bucket.alias("bucket")).agg(by_place.alias("rows"))
-    mixed = mixed.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    stored = scratch.keep(
-        mixed.select("bucket", F.size("rows").cast("long").alias("n"), "rows"), "buckets"
-    )
-    count = stored.agg(F.sum("n")).first()[0] or 1
-    lengths = stored.select("bucket", "n", F.shiftright("bucket", 12).alias("row_chunk"))
+    # stored row by row: no reader meets a whole bucket
+    mixed = mixed.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("k", "item"))
+    stored = scratch.keep(mixed.select("bucket", "k", "item.row"), "buckets")
+    lengths = stored.groupBy("bucket").agg(F.count("*").alias("n"))
+    lengths = scratch.keep(lengths.withColumn("row_chunk", F.shiftright("bucket", 12)), "lengths")
+    count = lengths.agg(F.sum("n")).first()[0] or 1
     before = running_sums(lengths, {"before": F.col("n")}, (), "bucket", inclusive=False)
-    offsets = F.broadcast(before.select("bucket", "before"))
-    rows = stored.select("bucket", "rows").join(offsets, "bucket")
-    rows = rows.select("before", F.posexplode("rows").alias("k", "item"))
-    rows = rows.select("item.row", (F.col("before") + F.col("k")).alias("place"))
+    # a few bytes a bucket, stored, so that Spark knows whether they fit every task
+    offsets = scratch.keep(before.select("bucket", "before"), "offsets")
+    rows = stored.join(offsets, "bucket")
+    rows = rows.select("row", (F.col("before") + F.col("k")).alias("place"))
     rows = rows.withColumn("shard", F.expr(f"place * {shards} div {count}"))
     start = F.expr(f"(shard * {count} + {shards - 1}) div {shards}")
     return rows.select("row", F.col("shard").cast("int"), (F.col("place") - start).alias("slot"))
