@@ -34,6 +34,8 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HUBS = 3
 #: Numbers of 64 bits in the short bitmap that travels with every candidate list.
 SHORT = 8
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
 #: Up to this size the list of texts to read goes to every task.
 BROADCAST_BYTES = 16 << 20
 
@@ -148,7 +150,7 @@ def _members(source: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint64)
-        for batch in arrays.slices(batches):
+        for batch in arrays.slices(batches, most=SLICE):
             sets = list(shingle_sets(arrays.texts_of(batch.column("text")), width))
             nodes = [node_of(s) if len(s) else None for s in sets]
             bits = [parities(s) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -210,7 +212,7 @@ def _prefixes(source: DataFrame, classes, width: int, percent: int) -> DataFrame
     shared = source.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches):
+        for batch in arrays.slices(batches, most=SLICE):
             tokens, nodes, sizes = [np.zeros(0, np.uint64)], [], []
             for s in shingle_sets(arrays.texts_of(batch.column("text")), width):
                 if len(s):
@@ -231,7 +233,7 @@ def node_column(width: int):
     @F.arrow_udf("long")
     def name(column: pa.Array) -> pa.Array:
         out = []
-        for piece in arrays.slices(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+        for piece in arrays.slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), most=SLICE):
             for s in shingle_sets(arrays.texts_of(piece.column("text")), width):
                 out.append(node_of(s) if len(s) else None)
         return pa.array(out, pa.int64())
@@ -246,7 +248,7 @@ def _sets(source: DataFrame, wanted: DataFrame, classes, width: int, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in arrays.slices(batches):
+        for batch in arrays.slices(batches, most=SLICE):
             nodes, rows = [], []
             sets = shingle_sets(arrays.texts_of(batch.column("text")), width)
             for node, s in zip(batch.column("node").to_pylist(), sets, strict=True):
