@@ -7,6 +7,10 @@ follows the number of real neighbours and one large table spreads over its bands
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -345,40 +349,99 @@ def rows_by_gap(boxes: DataFrame, position: Column | None = None, gap: float | N
     return placed.join(rows, ["table_id", "_p"]).drop("_p")
 
 
+def _streamed(
+    runs: DataFrame, order: list[str], fold: Callable[[], Callable[..., list]], schema: str, values: list[str]
+) -> DataFrame:
+    """Rows of each (table_id, run) folded one after another, in ``order``.
+
+    ``fold()`` gives a function for one stretch: called with the ``values`` of a row, or
+    without any at the end, it returns result rows.  Stretches are dealt over the tasks and
+    stream through; only the state of one stretch is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in schema.split(", "))])
+        last, step, out = None, None, []
+
+        def sent() -> pa.RecordBatch:
+            rows, out[:] = list(out), []
+            columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind
+            )
+
+        for batch in batches:
+            tables, numbers = batch.column("table_id").to_pylist(), batch.column("run").to_pylist()
+            for table, number, *row in zip(
+                tables, numbers, *(batch.column(c).to_pylist() for c in values), strict=True
+            ):
+                if (table, number) != last:
+                    if step:
+                        out += [(last[0], *r) for r in step()]
+                    last, step = (table, number), fold()
+                out += [(table, *r) for r in step(*row)]
+            if len(out) >= 10_000:
+                yield sent()
+        if step:
+            out += [(last[0], *r) for r in step()]
+        yield sent()
+
+    columns = dict.fromkeys(["table_id", "run", *values, *order])
+    dealt = runs.select(F.col("table_id").cast("long"), *[c for c in columns if c != "table_id"])
+    dealt = dealt.repartition("table_id", "run").sortWithinPartitions("table_id", "run", *order)
+    return dealt.mapInArrow(run, schema).withColumn("table_id", F.col("table_id").cast(runs.schema["table_id"].dataType))
+
+
+_ARROW = {"long": pa.int64(), "double": pa.float64()}
+
+
 def _fold_rows(boxes: DataFrame, position: Column, gap: float, in_input_order: bool) -> DataFrame:
     """Rows built one box after another, gap-separated stretches independently.
 
     Positions at least ``gap`` apart never share a row, and only the first box at a
-    position matters, so the fold sees the distinct positions of one stretch.
+    position matters, so the fold sees the distinct positions of one stretch.  Rows are at
+    least ``gap`` apart, so a position meets at most three cells of that width.
     """
     placed = boxes.withColumn("_p", position)
     firsts = placed.groupBy("table_id", "_p").agg(F.min("box_id").alias("_first"))
     runs = value_runs(firsts, "_p", F.col("_p") - F.col("prev") >= gap)
-    order = ["_first", "_p"] if in_input_order else ["_p"]
-    runs = runs.groupBy("table_id", "run").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(*order))), lambda s: s["_p"]
-        ).alias("ps")
-    )
-
-    def step(acc: Column, p: Column) -> Column:
-        known = acc["bins"] if in_input_order else F.slice(F.reverse(acc["bins"]), 1, 1)
-        home = F.get(F.filter(known, lambda b: F.abs(p - b) < gap), F.lit(0))
-        return F.struct(
-            F.when(home.isNull(), F.concat(acc["bins"], F.array(p))).otherwise(acc["bins"]).alias("bins"),
-            F.concat(
-                acc["out"], F.array(F.struct(p.alias("p"), F.coalesce(home, p).alias("row_y")))
-            ).alias("out"),
-        )
 
-    start = F.struct(
-        F.array().cast("array<double>").alias("bins"),
-        F.array().cast("array<struct<p:double,row_y:double>>").alias("out"),
-    )
-    rows = runs.select("table_id", F.inline(F.aggregate("ps", start, step)["out"]))
-    bins = rows.select("table_id", "row_y").distinct()
+    def anchors():
+        row_y = None
+
+        def step(p: float | None = None) -> list:
+            nonlocal row_y
+            if p is None:
+                return []
+            if row_y is None or not abs(p - row_y) < gap:
+                row_y = p
+            return [(p, row_y)]
+
+        return step
+
+    def bins():
+        cells: dict[int, list[tuple[int, float]]] = {}
+        opened = 0
+
+        def step(p: float | None = None) -> list:
+            nonlocal opened
+            if p is None:
+                return []
+            cell = math.floor(p / gap)
+            near = [b for k in (cell - 1, cell, cell + 1) for b in cells.get(k, ()) if abs(p - b[1]) < gap]
+            if near:
+                return [(p, min(near)[1])]
+            cells.setdefault(cell, []).append((opened, p))
+            opened += 1
+            return [(p, p)]
+
+        return step
+
+    order, fold = (["_first", "_p"], bins) if in_input_order else (["_p"], anchors)
+    rows = _streamed(runs, order, fold, "table_id long, p double, row_y double", ["_p"])
+    starts = rows.select("table_id", "row_y").distinct()
     ranked = running_sums(
-        bins.withColumn("_k", F.floor(F.col("row_y") / 4096.0)), {"n": F.lit(1)},
+        starts.withColumn("_k", F.floor(F.col("row_y") / 4096.0)), {"n": F.lit(1)},
         order="row_y", chunk="_k",
     )
     ranked = ranked.select("table_id", "row_y", (F.col("n") - 1).cast("int").alias("row_idx"))
@@ -409,21 +472,23 @@ def column_centres(values: DataFrame, threshold: float = 40.0) -> DataFrame:
     """
     counted = values.groupBy("table_id", "pos").agg(F.count(F.lit(1)).alias("n"))
     runs = value_runs(counted, "pos", F.col("pos") - F.col("prev") > threshold)
-    runs = runs.groupBy("table_id", "run").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("vs")
-    )
 
-    def step(acc: Column, v: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (F.abs(v["pos"] - F.try_element_at(acc, F.lit(-1))) > threshold)
-        moved = v["pos"] - (v["pos"] - last) * F.pow(F.lit(0.5), v["n"])
-        return F.when(fresh, F.concat(acc, F.array(v["pos"]))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(moved))
-        )
+    def midpoints():
+        centre = None
 
-    centres = runs.select(
-        "table_id", F.explode(F.aggregate("vs", F.array().cast("array<double>"), step)).alias("pos")
-    )
+        def step(pos: float | None = None, n: int = 0) -> list:
+            nonlocal centre
+            if pos is None:
+                return [] if centre is None else [(centre,)]
+            if centre is not None and not abs(pos - centre) > threshold:
+                centre = pos - (pos - centre) * 0.5**n
+                return []
+            done, centre = centre, pos
+            return [] if done is None else [(done,)]
+
+        return step
+
+    centres = _streamed(runs, ["pos"], midpoints, "table_id long, pos double", ["pos", "n"])
     ranked = running_sums(
         centres.withColumn("_k", F.floor(F.col("pos") / 4096.0)), {"n": F.lit(1)},
         order="pos", chunk="_k",

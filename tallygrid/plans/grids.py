@@ -305,31 +305,97 @@ def rows_by_gap(spark, sf):
     return gap.join(edge, ["table_id", "box_id"])
 
 
-@query(name="rows_by_anchor")
+def _walk(names: str, steps: dict[str, str], walk: str, body: str, **after: str) -> str:
+    """``body`` over a walk along one position after another."""
+    head = q(names, "", steps).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    return f"{head},\nwalk AS ({walk})" + "".join(f",\n{n} AS ({s})" for n, s in after.items()) + f"\n{body}"
+
+
+def _anchors(gap: int) -> dict[str, str]:
+    """Each row's first centre is the nearest one that lies far enough below the last row's."""
+    return {
+        "steps": {"mids": "SELECT DISTINCT table_id, (y1 + y2) / 2 AS p FROM ocr_boxes"},
+        "walk": f"""SELECT table_id, 0 AS row_idx, min(p) AS row_y FROM mids GROUP BY table_id UNION ALL
+          SELECT w.table_id, w.row_idx + 1, min(m.p) FROM walk w JOIN mids m ON m.table_id = w.table_id AND m.p > w.row_y AND m.p - w.row_y >= {gap} GROUP BY w.table_id, w.row_idx""",
+        "anchored": """SELECT o.*, max(w.row_idx)::INTEGER AS row_idx, max(w.row_y) AS row_y
+          FROM ocr_boxes o JOIN walk w ON w.table_id = o.table_id AND w.row_y <= (o.y1 + o.y2) / 2 GROUP BY ALL""",
+    }
+
+
+_CENTRES = {
+    "steps": {"xs": """SELECT table_id, (x1 + x2) / 2 AS pos, count(*) AS n, row_number() OVER (PARTITION BY table_id ORDER BY (x1 + x2) / 2) AS k
+      FROM ocr_boxes WHERE regexp_matches(text, '[0-9]') GROUP BY table_id, pos"""},
+    "walk": """SELECT table_id, k, 0 AS idx, pos AS c FROM xs WHERE k = 1 UNION ALL
+      SELECT w.table_id, x.k, CASE WHEN abs(pos - c) > 40 THEN idx + 1 ELSE idx END, CASE WHEN abs(pos - c) > 40 THEN pos ELSE pos - (pos - c) * pow(0.5, n) END
+      FROM walk w JOIN xs x ON x.table_id = w.table_id AND x.k = w.k + 1""",
+    "centres": "SELECT table_id, idx, arg_max(c, k) AS pos FROM walk GROUP BY table_id, idx",
+}
+
+
+@query(_walk("ocr_boxes", body="SELECT table_id, box_id, row_idx, row_y FROM anchored", **_anchors(40)), name="rows_by_anchor")
 def _anchor(spark, sf):
     (boxes,) = _stored(I.ocr_boxes(spark, sf))
     return A.rows_by_anchor(boxes, 40.0).select("table_id", "box_id", "row_idx", "row_y")
 
 
-@query(name="rows_by_first_fit")
+@query(
+    _walk(
+        "ocr_boxes",
+        {"ys": "SELECT table_id, y1 AS p, row_number() OVER (PARTITION BY table_id ORDER BY min(box_id), y1) AS k FROM ocr_boxes GROUP BY table_id, y1"},
+        """SELECT DISTINCT table_id, 0::BIGINT AS k, []::DOUBLE[] AS bins, NULL::DOUBLE AS p, NULL::DOUBLE AS row_y FROM ys UNION ALL
+        SELECT table_id, k, CASE WHEN home IS NULL THEN list_append(bins, p) ELSE bins END, p, coalesce(home, p) FROM (
+          SELECT w.table_id, y.k, w.bins, y.p, list_filter(w.bins, lambda b: abs(y.p - b) < 40)[1] AS home FROM walk w JOIN ys y ON y.table_id = w.table_id AND y.k = w.k + 1)""",
+        "SELECT o.table_id, box_id, (dense_rank() OVER (PARTITION BY o.table_id ORDER BY row_y) - 1)::INTEGER AS row_idx, row_y FROM ocr_boxes o JOIN walk w ON w.table_id = o.table_id AND w.p = o.y1",
+    ),
+    name="rows_by_first_fit",
+)
 def _first_fit(spark, sf):
     (boxes,) = _stored(I.ocr_boxes(spark, sf))
     return A.rows_by_first_fit(boxes, 40.0).select("table_id", "box_id", "row_idx", "row_y")
 
 
-@query(name="grid_from_boxes")
+_BOXGRID = {
+    **{k: v for k, v in _CENTRES.items() if k not in ("steps", "walk")},
+    "gap": _GAPROWS,
+    "homes": """SELECT g.table_id, g.box_id, arg_min(c.idx, (abs((g.x1 + g.x2) / 2 - c.pos), c.idx)) + 1 AS col_idx
+      FROM gap g JOIN centres c ON c.table_id = g.table_id WHERE regexp_matches(g.text, '[0-9]') GROUP BY ALL""",
+    "fallback": """SELECT r.table_id, r.row_idx, c.col_idx, coalesce(t.text, '') AS text FROM (SELECT DISTINCT table_id, row_idx FROM gap) r
+      JOIN (SELECT table_id, (idx + 1)::INTEGER AS col_idx FROM centres UNION SELECT table_id, 0 FROM centres) c USING (table_id)
+      LEFT JOIN (SELECT table_id, row_idx, coalesce(col_idx, 0) AS col_idx, trim(string_agg(text, ' ' ORDER BY x1, yc, box_id)) AS text
+                 FROM gap LEFT JOIN homes USING (table_id, box_id) GROUP BY ALL) t USING (table_id, row_idx, col_idx)""",
+}
+
+
+@query(
+    _walk("ocr_boxes", _CENTRES["steps"], _CENTRES["walk"], "SELECT * FROM fallback", **_BOXGRID), name="grid_from_boxes"
+)
 def _grid_from_boxes(spark, sf):
     (boxes,) = _stored(I.ocr_boxes(spark, sf))
     return A.grid_from_boxes(boxes)
 
 
-@query(name="grid_with_column_bounds")
+@query(
+    _walk(
+        "ocr_boxes struct_elements",
+        body="""SELECT table_id, row_idx, (col_idx - lead)::INTEGER AS col_idx, text FROM (
+          SELECT *, min(col_idx) FILTER (trim(text) <> '') OVER (PARTITION BY table_id, row_idx) AS lead FROM texts) WHERE col_idx >= lead""",
+        **_anchors(20),
+        cols="SELECT table_id, idx, x1, x2, (x1 + x2) / 2 AS mid FROM struct_elements WHERE kind = 'columns'",
+        placed="""SELECT a.table_id, a.box_id, a.row_idx, a.text, a.pos, coalesce(min(c.idx) FILTER (a.pos BETWEEN c.x1 AND c.x2), arg_min(c.idx, (abs(a.pos - c.mid), c.idx))) AS col_idx
+          FROM (SELECT *, (x1 + x2) / 2 AS pos FROM anchored) a JOIN cols c USING (table_id) GROUP BY ALL""",
+        texts="SELECT table_id, row_idx, col_idx, string_agg(text, ' ' ORDER BY pos, box_id) AS text FROM placed GROUP BY ALL",
+    ),
+    name="grid_with_column_bounds",
+)
 def _grid_with_columns(spark, sf):
     boxes, elements = _stored(I.ocr_boxes(spark, sf), I.struct_elements(spark, sf))
     return A.grid_with_columns(boxes, elements)
 
 
-@query(name="column_centres")
+@query(
+    _walk("ocr_boxes", _CENTRES["steps"], _CENTRES["walk"], "SELECT table_id, idx, round(pos, 6) AS pos FROM centres", centres=_CENTRES["centres"]),
+    name="column_centres",
+)
 def _column_centres(spark, sf):
     numbers = I.ocr_boxes(spark, sf).where(F.col("text").rlike(r"\d"))
     return A.column_centres(
