@@ -158,7 +158,7 @@ def _shown(label: Column, kind: str, row: Column) -> Column:
 CHECK_COLUMNS = [
     "table_id", "rule", "row_type", "column", "total_row", "total_row_index", "expected",
     "actual", "diff", "tolerance", "passed", "message", "num_components", "subtotal_row",
-    "subtotal_value", "additional_items",
+    "subtotal_value", "additional_items", "first_component", "last_component",
 ]
 
 
@@ -172,14 +172,22 @@ def column_sum_checks(
 ) -> DataFrame:
     """Subtotals, totals, totals with additions and grand totals, per column.
 
+    ``first_component`` and ``last_component`` bound the rows that were added up; which
+    rows of these they are, by label, is told by :func:`component_lists`.  How many
+    subtotals stand above a total is counted over the table, whatever its columns hold.
+
     Both passes are aggregates over counted sections with map-side partial sums, so a
     section holding a large share of all rows is added up where its rows are read.
     """
     rows = stored(classify_rows(values)) if rows is None else rows
-    long = _amounts(values, _sections(rows))
-    v, cls = F.col("value"), F.col("row_class")
+    counted = _sections(rows)
+    long = _amounts(values, counted)
+    v, cls, at = F.col("value"), F.col("row_class"), F.col("row_idx")
     keep = _included(blank_rows)
 
+    def ends(which: Column, name: str) -> list[Column]:
+        return [f(F.when(which, at)).alias(f"{name}_{n}") for f, n in ((F.min, "from"), (F.max, "to"))]
+
     sub = cls == "subtotal"
     subtotals = (
         long.groupBy("table_id", "section", "col_idx")
@@ -189,6 +197,7 @@ def column_sum_checks(
             _pick(sub, v).alias("stated"),
             _pick(sub, "row_idx").alias("total_row_index"),
             _pick(sub, "label").alias("label"),
+            *ends(keep, "keep"),
         )
         .where((F.col("num_components") > 0) & F.col("stated").isNotNull())
         .select(
@@ -198,6 +207,7 @@ def column_sum_checks(
             F.lit(None).cast("string").alias("subtotal_row"),
             F.lit(None).cast("double").alias("subtotal_value"),
             F.lit(None).cast("bigint").alias("additional_items"),
+            F.col("keep_from").alias("first_component"), F.col("keep_to").alias("last_component"),
         )
     )
 
@@ -207,11 +217,9 @@ def column_sum_checks(
         F.count(F.when(data, v)).alias("data_n"),
         F.sum(F.when(extra, v)).alias("extra_sum"),
         F.count(F.when(extra, v)).alias("extra_n"),
-        F.count(F.when(sub, 1)).alias("sub_rows"),
         F.sum(F.when(sub, v)).alias("sub_sum"),
         F.count(F.when(sub, v)).alias("sub_n"),
-        _pick(sub, "label").alias("sub_label"),
-        _pick(sub, "row_idx").alias("sub_row"),
+        *ends(data, "data"), *ends(extra, "extra"), *ends(sub & v.isNotNull(), "sub"),
         _pick(tot, v).alias("stated"),
         _pick(tot, "row_idx").alias("total_row_index"),
         _pick(tot, "label").alias("label"),
@@ -221,18 +229,22 @@ def column_sum_checks(
         F.sum("data_n").alias("data_n"),
         F.max_by("extra_sum", "subs").alias("extra_sum"),
         F.max_by("extra_n", "subs").alias("extra_n"),
-        F.sum("sub_rows").alias("sub_rows"),
         F.sum("sub_sum").alias("sub_sum"),
         F.sum("sub_n").alias("sub_n"),
-        F.max("sub_label").alias("sub_label"),
-        F.max("sub_row").alias("sub_row"),
+        *[f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("data", "sub") for f, n in ((F.min, "from"), (F.max, "to"))],
+        F.max_by("extra_to", "subs").alias("extra_to"),
         F.max("stated").alias("stated"),
         F.max("total_row_index").alias("total_row_index"),
         F.max("label").alias("label"),
     )
+    above = counted.where(sub).groupBy("table_id", "block").agg(
+        F.count(F.lit(1)).alias("sub_rows"), F.max("label").alias("sub_label"), F.max("row_idx").alias("sub_row")
+    )
     none, single = F.col("sub_rows") == 0, F.col("sub_rows") == 1
+    part = lambda n: F.when(none, F.col(f"data_{n}")).when(single, F.col("sub_row")).otherwise(F.col(f"sub_{n}"))
     totals = (
         blocks.where(F.col("stated").isNotNull())
+        .join(above, ["table_id", "block"], "left").fillna(0, ["sub_rows"])
         .withColumn(
             "total",
             F.when(none, F.col("data_sum"))
@@ -255,6 +267,8 @@ def column_sum_checks(
             .alias("subtotal_row"),
             F.when(single, F.col("sub_sum")).alias("subtotal_value"),
             F.when(single, F.col("extra_n")).alias("additional_items"),
+            part("from").alias("first_component"),
+            F.when(single, F.greatest("sub_row", "extra_to")).otherwise(part("to")).alias("last_component"),
         )
     )
     both = subtotals.unionByName(totals)
@@ -263,6 +277,54 @@ def column_sum_checks(
     ).select("*", "_c.*").select(*CHECK_COLUMNS)
 
 
+def component_lists(
+    values: DataFrame, rows: DataFrame | None = None, blank_rows: bool = True
+) -> DataFrame:
+    """table_id, row_type, total_row_index, column, part, component_rows.
+
+    The labels of the rows that a subtotal, a total without subtotals, or a grand total is
+    made of, in row order; rows without a label are named by their number.  A grand total
+    adds up the subtotals that its ``column`` holds; for the others all columns share one
+    list and ``column`` is null.  ``part`` is the chunk of rows that a list covers, so that a
+    section of any length is a sequence of bounded lists.
+    """
+    rows = stored(classify_rows(values)) if rows is None else rows
+    counted = _sections(rows)
+    cls = F.col("row_class")
+
+    def listed(parts: DataFrame, keys: list[str], name: Column) -> DataFrame:
+        item = F.struct("row_idx", F.when(F.col("label") != "", F.col("label")).otherwise(name).alias("label"))
+        names = F.transform(F.array_sort(F.collect_list(item)), lambda r: r["label"])
+        return parts.groupBy("table_id", *keys, F.col("row_chunk").alias("part")).agg(names.alias("component_rows"))
+
+    def closing(kind: str, key: str) -> DataFrame:
+        found = counted.where(cls == kind)
+        return found.select("table_id", key, F.col("row_idx").cast("int").alias("total_row_index"))
+
+    plain = F.format_string("Row %d", F.col("row_idx"))
+    subtotals = listed(counted.where(_included(blank_rows)), ["section"], plain).join(
+        closing("subtotal", "section"), ["table_id", "section"]
+    )
+    subs = counted.where(cls == "subtotal").groupBy("table_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    ends = closing("total", "block").join(subs, ["table_id", "block"], "left").fillna(0, ["n"])
+    totals = listed(counted.where(cls == "data"), ["block"], plain).join(
+        ends.where("n = 0"), ["table_id", "block"]
+    )
+    amounts = _amounts(values, counted.where(cls == "subtotal")).where(F.col("value").isNotNull())
+    grand = listed(amounts, ["block", "col_idx"], F.format_string("Subtotal (Row %d)", F.col("row_idx"))).join(
+        ends.where("n > 1"), ["table_id", "block"]
+    )
+    none = F.lit(None).cast("int")
+
+    def shaped(df: DataFrame, kind: str, column: Column) -> DataFrame:
+        return df.select(
+            "table_id", F.lit(kind).alias("row_type"), "total_row_index", column.alias("column"), "part", "component_rows"
+        )
+
+    every = shaped(subtotals, "subtotal", none).unionByName(shaped(totals, "total", none))
+    return every.unionByName(shaped(grand, "grand_total", F.col("col_idx").cast("int")))
+
+
 def row_selection(values: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Why each row of a subtotal's section was included or not (the debug trail)."""
     rows = stored(classify_rows(values)) if rows is None else rows

@@ -378,7 +378,7 @@ def keyword_rows(spark, sf):
 
 # --- accounting rules ------------------------------------------------------------------------
 
-_CHECK = 'table_id, rule, row_type, "column", total_row, total_row_index, expected, actual, diff, tolerance, passed, message, num_components, subtotal_row, subtotal_value, additional_items'
+_CHECK = 'table_id, rule, row_type, "column", total_row, total_row_index, expected, actual, diff, tolerance, passed, message, num_components, subtotal_row, subtotal_value, additional_items, first_component, last_component'
 
 
 @query(q("cells", f"SELECT {_CHECK} FROM checks", S.check_steps()))
@@ -391,6 +391,29 @@ def failed_checks(spark, sf):
     return V.column_sum_checks(_values(spark, sf)).where(~F.col("passed"))
 
 
+_LISTED = "list(CASE WHEN {0}.label <> '' THEN {0}.label ELSE '{1}' || {0}.row_idx || '{2}' END ORDER BY {0}.row_idx) AS component_rows"
+
+
+@query(
+    q(
+        "cells",
+        f"""SELECT c.table_id, 'subtotal' AS row_type, c.row_idx::INTEGER AS total_row_index, NULL::INTEGER AS "column", 0 AS part, {_LISTED.format('s', 'Row ', '')}
+      FROM sectioned c JOIN sectioned s ON s.table_id = c.table_id AND s.section = c.section
+      WHERE c.row_class = 'subtotal' AND s.row_class NOT IN ('subtotal', 'total', 'section_header')
+        AND (s.row_class = 'data' OR s.row_class = 'header' AND s.has_amount OR coalesce(s.label, '') = '' AND s.has_amount) GROUP BY ALL
+      UNION ALL SELECT c.table_id, 'total', c.row_idx::INTEGER, NULL, 0, {_LISTED.format('s', 'Row ', '')}
+      FROM ends c JOIN sectioned s ON s.table_id = c.table_id AND s.block = c.block WHERE c.n = 0 AND s.row_class = 'data' GROUP BY ALL
+      UNION ALL SELECT c.table_id, 'grand_total', c.row_idx::INTEGER, s.col_idx::INTEGER, 0, {_LISTED.format('s', 'Subtotal (Row ', ')')}
+      FROM ends c JOIN long s ON s.table_id = c.table_id AND s.block = c.block WHERE c.n > 1 AND s.row_class = 'subtotal' AND s.value IS NOT NULL GROUP BY ALL""",
+        S.check_steps(
+            ends="SELECT t.table_id, t.row_idx, t.block, count(x.row_idx) AS n FROM sectioned t LEFT JOIN sectioned x ON x.table_id = t.table_id AND x.block = t.block AND x.row_class = 'subtotal' WHERE t.row_class = 'total' GROUP BY ALL"
+        ),
+    )
+)
+def component_lists(spark, sf):
+    return V.component_lists(_values(spark, sf))
+
+
 @query(
     q(
         "cells",

@@ -223,27 +223,31 @@ TOTALS = """
     sum(x.value) FILTER (x.row_class = 'data') AS ds, count(x.value) FILTER (x.row_class = 'data') AS dn,
     sum(x.value) FILTER (x.row_class = 'data' AND x.subs = t.subs) AS es, count(x.value) FILTER (x.row_class = 'data' AND x.subs = t.subs) AS en,
     sum(x.value) FILTER (x.row_class = 'subtotal') AS ss, count(x.value) FILTER (x.row_class = 'subtotal') AS sn,
-    max(x.label) FILTER (x.row_class = 'subtotal') AS sl, max(x.row_idx) FILTER (x.row_class = 'subtotal') AS sr
+    max(x.label) FILTER (x.row_class = 'subtotal') AS sl, max(x.row_idx) FILTER (x.row_class = 'subtotal') AS sr,
+    min(x.row_idx) FILTER (x.row_class = 'data') AS d1, max(x.row_idx) FILTER (x.row_class = 'data') AS d2,
+    max(x.row_idx) FILTER (x.row_class IN ('data', 'additional') AND x.subs = t.subs) AS e2,
+    min(x.row_idx) FILTER (x.row_class = 'subtotal' AND x.value IS NOT NULL) AS s1, max(x.row_idx) FILTER (x.row_class = 'subtotal' AND x.value IS NOT NULL) AS s2
   FROM long t JOIN long x ON x.table_id = t.table_id AND x.block = t.block AND x.col_idx = t.col_idx
   WHERE t.row_class = 'total' AND t.value IS NOT NULL GROUP BY t.table_id, t.row_idx, t.col_idx"""
 SUBTOTALS = """
   SELECT t.table_id, t.row_idx, t.col_idx, any_value(t.label) AS label, any_value(t.value) AS stated,
-    sum(x.value) AS total, count(x.value) AS num
+    sum(x.value) AS total, count(x.value) AS num, min(x.row_idx) AS k1, max(x.row_idx) AS k2
   FROM long t JOIN long x ON x.table_id = t.table_id AND x.section = t.section AND x.col_idx = t.col_idx AND x.keep
   WHERE t.row_class = 'subtotal' AND t.value IS NOT NULL GROUP BY t.table_id, t.row_idx, t.col_idx HAVING count(x.value) > 0"""
 CHECKS = f"""
   SELECT table_id, row_type, col AS "column", total_row, CAST(total_row_index AS INTEGER) AS total_row_index, CAST(num AS BIGINT) AS num_components,
-         subtotal_row, subtotal_value, CAST(additional_items AS BIGINT) AS additional_items, {check_cols('total', 'stated')}
+         subtotal_row, subtotal_value, CAST(additional_items AS BIGINT) AS additional_items, k1::INTEGER AS first_component, k2::INTEGER AS last_component, {check_cols('total', 'stated')}
   FROM (
     SELECT table_id, 'subtotal' AS row_type, col_idx AS col, CASE WHEN label <> '' THEN label ELSE 'Subtotal (Row ' || row_idx || ')' END AS total_row,
-      row_idx AS total_row_index, num, NULL::VARCHAR AS subtotal_row, NULL::DOUBLE AS subtotal_value, NULL::BIGINT AS additional_items, total, stated FROM subtotals
+      row_idx AS total_row_index, num, NULL::VARCHAR AS subtotal_row, NULL::DOUBLE AS subtotal_value, NULL::BIGINT AS additional_items, total, stated, k1, k2 FROM subtotals
     UNION ALL
     SELECT table_id, CASE n_sub WHEN 0 THEN 'total' WHEN 1 THEN 'total_with_additions' ELSE 'grand_total' END, col_idx,
       CASE WHEN label <> '' THEN label ELSE 'Total (Row ' || row_idx || ')' END, row_idx,
       CASE n_sub WHEN 0 THEN dn WHEN 1 THEN 1 + en ELSE sn END,
       CASE n_sub WHEN 1 THEN CASE WHEN sl <> '' THEN sl ELSE 'Subtotal (Row ' || sr || ')' END END,
       CASE n_sub WHEN 1 THEN ss END, CASE n_sub WHEN 1 THEN en END,
-      CASE n_sub WHEN 0 THEN ds WHEN 1 THEN ss + coalesce(es, 0) ELSE ss END, stated FROM totals)
+      CASE n_sub WHEN 0 THEN ds WHEN 1 THEN ss + coalesce(es, 0) ELSE ss END, stated,
+      CASE n_sub WHEN 0 THEN d1 WHEN 1 THEN sr ELSE s1 END, CASE n_sub WHEN 0 THEN d2 WHEN 1 THEN greatest(sr, e2) ELSE s2 END FROM totals)
   WHERE total IS NOT NULL"""
 LONG = """
   SELECT s.*, n.col_idx, n.value,
