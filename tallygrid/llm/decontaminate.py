@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,13 @@ class Block:
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower case, one character by one: the same for items and for documents."""
+    return pc.utf8_lower(column)
+
+
 def block_of(ids: list, texts: list[str], min_match: int = MIN_MATCH) -> Block:
-    found = arrays.texts_of(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+    found = arrays.texts_of(lowered(pa.array(texts, pa.large_string())))
     spans = found.spans(BREAKS)
     n = np.diff(spans.first)
     seeds = {}
@@ -101,9 +107,7 @@ def matches(
     column: pa.Array, block: Block, min_match: int, min_coverage: float
 ) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
     """(text, item, words matched, tiles) where the tiles cover enough of the item."""
-    import pyarrow.compute as pc
-
-    texts = arrays.texts_of(pc.utf8_lower(column))
+    texts = arrays.texts_of(lowered(column))
     spans = texts.spans(BREAKS)
     for size, h, at in arrays.windows(spans, list(range(1, min_match + 1))):
         if size not in block.seeds:
