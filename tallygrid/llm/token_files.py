@@ -138,15 +138,18 @@ def scan(
     final = (F.col("block") == ((F.col("size") - 1) / width).cast("long")) & (
         F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("begun")) < total
     )
-    starts = F.concat(F.array("begun"), F.transform("ends", lambda e: e + 1))
-    closed = F.transform("ends", lambda e: F.struct(e.alias("stop"), F.lit(True).alias("closed")))
-    rest = F.array(F.struct(total.alias("stop"), F.lit(False).alias("closed")))
+    # start and stop of every document in one array: nothing of the block's length is copied
+    since = lambda i: F.when(i == 0, F.col("begun")).otherwise(F.get(F.col("ends"), i - 1) + 1)
+    closed = F.transform(
+        "ends", lambda e, i: F.struct(since(i).alias("start"), e.alias("stop"), F.lit(True).alias("closed"))
+    )
+    tail = F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("begun"))
+    rest = F.array(F.struct(tail.alias("start"), total.alias("stop"), F.lit(False).alias("closed")))
     each = F.when(final, F.concat(closed, rest)).otherwise(closed)
-    rows = joined.select("path", "ordinal", starts.alias("starts"), F.posexplode(each).alias("k", "end"))
-    start = F.col("starts")[F.col("k")]
+    rows = joined.select("path", "ordinal", F.posexplode(each).alias("k", "doc"))
     return rows.select(
-        "path", (F.col("ordinal") + F.col("k")).alias("ordinal"), start.alias("start"),
-        (F.col("end.stop") - start).alias("n_tokens"), F.col("end.closed").alias("closed"),
+        "path", (F.col("ordinal") + F.col("k")).alias("ordinal"), F.col("doc.start").alias("start"),
+        (F.col("doc.stop") - F.col("doc.start")).alias("n_tokens"), F.col("doc.closed").alias("closed"),
     )
 
 

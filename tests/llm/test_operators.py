@@ -232,6 +232,29 @@ def test_tiling_against_all_places():
         assert got == tile_plainly(a, b, 3)
 
 
+def test_letters_of_any_script_are_lowered_alike(spark):
+    items = ["ΟΔΟΣ ΤΗΣ ΠΟΛΗΣ ΚΑΙ ΤΟΥ ΛΟΓΟΥ", "İSTANBUL IŞIK GÖL ÇAĞ ÜÇ ŞÖLEN", "STRASSE ẞ ǅ ﬁne Ωhm K"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(i, f"before {t} after") for i, t in enumerate([*items, *(x.lower() for x in items[:1])])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(0, 0), (1, 1), (2, 2)} <= found
+
+
+def test_one_block_of_many_documents(spark, tmp_path):
+    """Time in proportion to the documents of a block: each has three tokens and an end."""
+    import numpy as np
+
+    n = 200_000
+    path = f"{tmp_path}/a.bin"
+    tokens = np.tile(np.array([5, 6, 7, 0], token_files.KIND), n)
+    tokens.tofile(path)
+    files = spark.createDataFrame([(path, tokens.nbytes)], "path string, size long")
+    found = token_files.scan(files, str(tmp_path), store.Scratch(spark, "many"), end=0)
+    got = found.selectExpr("count(*)", "sum(n_tokens)", "min(n_tokens)", "max(ordinal)", "count(distinct start)").first()
+    assert tuple(got) == (n, 3 * n, 3, n - 1, n)
+
+
 def test_katz_against_plain_counts(docs, rows, none):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     tokens = [(r.doc_id, WORD.findall((r.text or "").translate(LOW)) + [None]) for r in rows]
