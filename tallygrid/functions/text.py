@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.functions import edits
 from tallygrid.functions.numeric import strip
 
 # --- fixed values: canonical field per normalised label ---------------------------
@@ -315,12 +316,9 @@ def with_list_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
 
 def with_wer(df: DataFrame, gt: Column, pred: Column, name: str = "wer") -> DataFrame:
     """Add word edits per ground-truth word; empty truth scores 0 or 1."""
-    staged = df.withColumn("_gw", words(gt)).withColumn("_pw", words(pred))
-    g, p = F.size("_gw"), F.size("_pw")
-    rate = F.when(g == 0, F.when(p == 0, 0.0).otherwise(1.0)).otherwise(F.col("_dist") / g)
-    return with_list_distance(staged, "_gw", "_pw", "_dist").withColumn(name, rate).drop(
-        "_gw", "_pw", "_dist"
-    )
+    e = F.col("_edits")
+    scored = edits.with_distances(df, gt, pred)
+    return scored.withColumn(name, edits.rate(e["words"], e["gt_words"], e["pred_words"])).drop("_edits")
 
 
 # --- set overlaps --------------------------------------------------------------------

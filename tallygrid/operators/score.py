@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions import numeric as N
+from tallygrid.functions import edits
 from tallygrid.functions import text as T
 from tallygrid.functions.text import f1, ratio
 
@@ -283,16 +284,20 @@ def pipeline_summary(samples: DataFrame, *by: str) -> DataFrame:
 
 def text_errors(pairs: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFrame:
     """Add cer, wer, ned, exact and matched; a missing prediction scores 1 everywhere."""
-    g, p = T.plain(F.col(gt)), T.plain(F.col(pred))
     matched = F.col(pred).isNotNull()
-    one = F.lit(1.0)
-    scored = T.with_wer(pairs, g, p, "_wer")
+    one, e = F.lit(1.0), F.col("_edits")
+    texts = pairs.withColumn("_g", T.plain(F.col(gt))).withColumn("_p", T.plain(F.col(pred)))
+    g, p = F.length("_g"), F.length("_p")
+    scored = edits.with_distances(texts, F.col("_g"), F.col("_p"))
+    rates = {
+        "cer": edits.rate(e["characters"], g, p),
+        "wer": edits.rate(e["words"], e["gt_words"], e["pred_words"]),
+        "ned": F.coalesce(F.try_divide(e["characters"], F.greatest(g, p)), F.lit(0.0)),
+    }
     return scored.select(
         *pairs.columns, matched.alias("matched"),
-        F.coalesce(matched & (g == p), F.lit(False)).alias("exact"),
-        F.when(matched, T.cer(g, p)).otherwise(one).alias("cer"),
-        F.when(matched, F.col("_wer")).otherwise(one).alias("wer"),
-        F.when(matched, T.ned(g, p)).otherwise(one).alias("ned"),
+        F.coalesce(matched & (e["characters"] == 0), F.lit(False)).alias("exact"),
+        *[F.when(matched, v).otherwise(one).alias(n) for n, v in rates.items()],
     )
 
 
