@@ -4,7 +4,7 @@ Each function has a twin in ``inputs_sql`` that DuckDB runs on the same tables.
 The driver's tables hold no financial grids, so every order becomes one statement
 table: its line items (summed per line number, so a hot order shrinks before it is
 shuffled) are the asset rows, followed by totals, an equity split and an income
-block, some of them deliberately wrong.
+block, some of them deliberately wrong; headings and units vary by table.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         both(4, "Equity attributable to owners", lambda c: F.floor(F.abs(s[c]) / 4)),
         both(5, "Non-controlling interests", lambda c: F.lit(700)),
         both(6, "Total equity", equity),
-        both(7, "Total liabilities", lambda c: assets(c) - equity(c)),
+        both(7, "Total liabilities", lambda c: assets(c) - equity(c) + F.when(k % 17 == 3, 77777).otherwise(0)),
         both(8, "Revenue", lambda c: s[c] * 2),
         both(9, "Operating expenses", lambda c: s[c]),
         row(10, "Net profit", s[2] + F.when(k % 13 == 0, 12345).otherwise(0), s[3]),
@@ -120,13 +120,15 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[c.alias(n) for c, n in zip(cols, ("label", "note", "t2", "t3"))],
         )
 
+    note = F.when(k % 3 == 0, "Ref").otherwise("Note")
+    unit = F.when(k % 6 == 1, "US$ million").when(k % 6 == 2, "").otherwise("RM'000")
     heads = head.select(
         "table_id",
         F.inline(
             F.array(
-                head_row(0, "", "Note", F.col("y1"), F.col("y0")),
-                head_row(1, "", "", "RM'000", "RM'000"),
-                head_row(2, "ASSETS", "", "", ""),
+                head_row(0, "", note, F.col("y1"), F.col("y0")),
+                head_row(1, F.when(k % 5 == 0, "In thousands").otherwise(""), "", unit, "RM'000"),
+                head_row(2, F.when(k % 4 == 1, "POSITION").otherwise("ASSETS"), "", "", ""),
             )
         ),
     )

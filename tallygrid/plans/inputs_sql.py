@@ -35,14 +35,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     UNION ALL SELECT table_id, m + 4, 'Equity attributable to owners', '', CAST(floor(abs(s2) / 4) AS BIGINT), CAST(floor(abs(s3) / 4) AS BIGINT) FROM fig
     UNION ALL SELECT table_id, m + 5, 'Non-controlling interests', '', 700, 700 FROM fig
     UNION ALL SELECT table_id, m + 6, 'Total equity', '', e2, e3 FROM fig
-    UNION ALL SELECT table_id, m + 7, 'Total liabilities', '', a2 - e2, a3 - e3 FROM fig
+    UNION ALL SELECT table_id, m + 7, 'Total liabilities', '', a2 - e2 + CASE WHEN table_id % 17 = 3 THEN 77777 ELSE 0 END, a3 - e3 + CASE WHEN table_id % 17 = 3 THEN 77777 ELSE 0 END FROM fig
     UNION ALL SELECT table_id, m + 8, 'Revenue', '', s2 * 2, s3 * 2 FROM fig
     UNION ALL SELECT table_id, m + 9, 'Operating expenses', '', s2, s3 FROM fig
     UNION ALL SELECT table_id, m + 10, 'Net profit', '', s2 + CASE WHEN table_id % 13 = 0 THEN 12345 ELSE 0 END, s3 FROM fig)
-  UNION ALL SELECT o_orderkey, h.row_idx, h.label, h.note,
-      CASE h.row_idx WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 1 THEN 'RM''000' ELSE '' END,
+  UNION ALL SELECT o_orderkey, h.row_idx,
+      CASE h.row_idx WHEN 1 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'In thousands' ELSE '' END WHEN 2 THEN CASE WHEN o_orderkey % 4 = 1 THEN 'POSITION' ELSE 'ASSETS' END ELSE '' END,
+      CASE WHEN h.row_idx = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Ref' ELSE 'Note' END ELSE '' END,
+      CASE h.row_idx WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 1 THEN CASE o_orderkey % 6 WHEN 1 THEN 'US$ million' WHEN 2 THEN '' ELSE 'RM''000' END ELSE '' END,
       CASE h.row_idx WHEN 0 THEN CAST(year(o_orderdate) - 1 AS VARCHAR) WHEN 1 THEN 'RM''000' ELSE '' END
-  FROM orders, (VALUES (0, '', 'Note'), (1, '', ''), (2, 'ASSETS', '')) h(row_idx, label, note)
+  FROM orders, (VALUES (0), (1), (2)) h(row_idx)
   WHERE o_orderkey IN (SELECT table_id FROM tot)"""),
     "cells": (("statement_rows",), """
   SELECT table_id, row_idx, 0 AS col_idx, label AS text FROM statement_rows
