@@ -350,27 +350,27 @@ def rows_by_gap(boxes: DataFrame, position: Column | None = None, gap: float | N
 
 
 def _streamed(
-    runs: DataFrame, order: list[str], fold: Callable[[], Callable[..., list]], schema: str, values: list[str]
+    runs: DataFrame, order: list[str], fold: Callable[[], Callable[..., list]], results: list[str], values: list[str]
 ) -> DataFrame:
     """Rows of each (table_id, run) folded one after another, in ``order``.
 
     ``fold()`` gives a function for one stretch: called with the ``values`` of a row, or
-    without any at the end, it returns result rows.  Stretches are dealt over the tasks and
+    without any at the end, it returns result rows (doubles).  Stretches are dealt over the tasks and
     stream through; only the state of one stretch is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in schema.split(", "))])
-        last, step, out = None, None, []
+        last, step, out, kind = None, None, [], None
 
         def sent() -> pa.RecordBatch:
             rows, out[:] = list(out), []
-            columns = list(zip(*rows, strict=True)) or [()] * len(kind)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind
-            )
+            columns = list(zip(*rows, strict=True)) or [()] * (len(results) + 1)
+            types = [kind, *[pa.float64()] * len(results)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["table_id", *results])
 
         for batch in batches:
+            kind = batch.column("table_id").type
             tables, numbers = batch.column("table_id").to_pylist(), batch.column("run").to_pylist()
             for table, number, *row in zip(
                 tables, numbers, *(batch.column(c).to_pylist() for c in values), strict=True
@@ -384,15 +384,13 @@ def _streamed(
                 yield sent()
         if step:
             out += [(last[0], *r) for r in step()]
-        yield sent()
+            yield sent()
 
     columns = dict.fromkeys(["table_id", "run", *values, *order])
-    dealt = runs.select(F.col("table_id").cast("long"), *[c for c in columns if c != "table_id"])
-    dealt = dealt.repartition("table_id", "run").sortWithinPartitions("table_id", "run", *order)
-    return dealt.mapInArrow(run, schema).withColumn("table_id", F.col("table_id").cast(runs.schema["table_id"].dataType))
-
-
-_ARROW = {"long": pa.int64(), "double": pa.float64()}
+    dealt = runs.select(*columns).repartition("table_id", "run")
+    dealt = dealt.sortWithinPartitions("table_id", "run", *order)
+    schema = f"table_id {runs.schema['table_id'].dataType.simpleString()}, "
+    return dealt.mapInArrow(run, schema + ", ".join(f"{c} double" for c in results))
 
 
 def _fold_rows(boxes: DataFrame, position: Column, gap: float, in_input_order: bool) -> DataFrame:
@@ -438,7 +436,7 @@ def _fold_rows(boxes: DataFrame, position: Column, gap: float, in_input_order: b
         return step
 
     order, fold = (["_first", "_p"], bins) if in_input_order else (["_p"], anchors)
-    rows = _streamed(runs, order, fold, "table_id long, p double, row_y double", ["_p"])
+    rows = _streamed(runs, order, fold, ["p", "row_y"], ["_p"])
     starts = rows.select("table_id", "row_y").distinct()
     ranked = running_sums(
         starts.withColumn("_k", F.floor(F.col("row_y") / 4096.0)), {"n": F.lit(1)},
@@ -488,7 +486,7 @@ def column_centres(values: DataFrame, threshold: float = 40.0) -> DataFrame:
 
         return step
 
-    centres = _streamed(runs, ["pos"], midpoints, "table_id long, pos double", ["pos", "n"])
+    centres = _streamed(runs, ["pos"], midpoints, ["pos"], ["pos", "n"])
     ranked = running_sums(
         centres.withColumn("_k", F.floor(F.col("pos") / 4096.0)), {"n": F.lit(1)},
         order="pos", chunk="_k",

@@ -35,9 +35,10 @@ def read_synfintabs(spark: SparkSession, path: str) -> DataFrame:
 
 def synfintabs_cells(df: DataFrame) -> DataFrame:
     """table_id, row_idx, col_idx, text, gt_label, n_rows, n_cols, first_text."""
-    rows = df.select(F.col("id").alias("table_id"), "rows", F.posexplode("rows").alias("row_idx", "r"))
+    sized = df.select(F.col("id").alias("table_id"), "rows", F.size("rows").alias("n_rows"))
+    rows = sized.select("table_id", "n_rows", F.posexplode("rows").alias("row_idx", "r"))
     return rows.select(
-        "table_id", "row_idx", F.size("rows").alias("n_rows"), F.size("r.cells").alias("n_cols"),
+        "table_id", "row_idx", "n_rows", F.size("r.cells").alias("n_cols"),
         F.get("r.cells", F.lit(0))["text"].alias("first_text"),
         F.posexplode("r.cells").alias("col_idx", "c"),
     ).select(

@@ -1,12 +1,13 @@
 """Order-dependent operators against brute force, also with tables cut into tiny chunks."""
 
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import tallygrid.partitioning as partitioning
-from tallygrid.operators import align, classify, matching, score, validate
+from tallygrid.operators import align, classify, lookup, matching, score, validate
 
 
 @pytest.fixture(params=[16, 2])
@@ -116,6 +117,104 @@ def test_greedy_match(spark, order):
     assert got == brute_greedy(pairs, order)
 
 
+def test_greedy_match_in_clusters(spark):
+    """Boxes in two rows of clusters, with their extents: the same pairs as over the image."""
+    rng = random.Random(4)
+    boxes = lambda n: [
+        (i, k, x, y, x + rng.uniform(20, 60), y + rng.uniform(20, 40))
+        for i in range(3) for k in range(n)
+        for x, y in [(rng.choice([0, 30, 5000, 9000]) + rng.uniform(0, 40), rng.choice([0, 300]) + rng.uniform(0, 20))]
+    ]
+    kind = "image_id INT, idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+    pred, gt = (spark.createDataFrame(boxes(60), kind) for _ in range(2))
+    pairs = matching.candidate_pairs(pred, gt, 0.2)
+    flat = [(r.image_id, r.p, r.g, r.iou) for r in pairs.collect()]
+    assert len(flat) > 100
+    for order in ("iou", "prediction"):
+        got = sorted((r.image_id, r.p, r.g) for r in matching.greedy_match(pairs, order).collect())
+        assert got == brute_greedy(flat, order)
+    x = matching.swept(pairs, ["image_id"], "x_lo", "x_hi", "run")
+    assert x.select("image_id", "run").distinct().count() >= 6
+
+
+def test_greedy_match_of_long_preferences(spark):
+    """Every box prefers the same partner, so pairs are settled one after another."""
+    n = 2000
+    pairs = spark.range(2 * n).selectExpr(
+        "1 as image_id", "cast(id % 2000 as int) as p", "cast(if(id < 2000, 0, 1 + id % 1999) as int) as g",
+        "if(id < 2000, 0.9, 0.6) - id % 2000 / 10000.0D as iou",
+    ).distinct()
+    flat = [(r.image_id, r.p, r.g, r.iou) for r in pairs.collect()]
+    for order in ("iou", "prediction"):
+        got = sorted((r.image_id, r.p, r.g) for r in matching.greedy_match(pairs, order).collect())
+        assert got == brute_greedy(flat, order)
+
+
+def test_folds_over_one_long_stretch(spark):
+    """200,000 positions without a gap, in a table whose id is a string."""
+    boxes = spark.range(200_000).selectExpr(
+        "'t' as table_id", "cast(id as int) as box_id", "0.0D as x1", "id * 1.5 as y1", "1.0D as x2", "id * 1.5 + 1 as y2",
+    ).withColumn("text", F.lit("1"))
+    boxes = boxes.withColumns({c: F.col(c).cast("double") for c in ("y1", "y2")})
+    last = align.rows_by_anchor(boxes, 20.0).agg(F.max("row_idx"), F.count("*"), F.max("row_y")).first()
+    assert (last[0], last[1]) == (200_000 // 14, 200_000)
+    fit = align.rows_by_first_fit(boxes, 25.0).agg(F.max("row_idx"), F.count("*")).first()
+    assert tuple(fit) == (200_000 // 17, 200_000)
+    centres = align.column_centres(boxes.select("table_id", F.col("y1").alias("pos")), 40.0)
+    assert centres.agg(F.count("*"), F.max("idx")).first()[0] >= 1 and centres.schema["table_id"].dataType.simpleString() == "string"
+
+
+def test_component_lists(spark, monkeypatch):
+    """Which rows make up subtotals, totals and grand totals; in chunks of four rows too."""
+    labels = ["", "", "ASSETS", "a", "", "c", "Total current assets", "d", "Total non-current assets", "Total assets", "e", "f", "Total liabilities"]
+    nums = [None, None, None, 1.0, 2.0, 3.0, 6.0, 4.0, 4.0, 10.0, 5.0, 6.0, 11.0]
+    classes = ["empty", "empty", "section_header", "data", "data", "data", "subtotal", "data", "subtotal", "total", "data", "data", "total"]
+    values = spark.createDataFrame(
+        [(1, i, c, t if c == 0 else "", None if c == 0 or c == 2 and i == 6 else v) for i, (t, v) in enumerate(zip(labels, nums, strict=True)) for c in range(3)],
+        "table_id INT, row_idx INT, col_idx INT, text STRING, value DOUBLE",
+    )
+
+    def found():
+        rows = classify.classify_rows(values, implicit_subtotals=False).drop("row_class").join(
+            spark.createDataFrame(list(enumerate(classes)), "row_idx INT, row_class STRING"), "row_idx"
+        )
+        lists = collections.defaultdict(list)
+        for r in sorted(validate.component_lists(values, rows).collect(), key=lambda r: r.part):
+            lists[r.row_type, r.total_row_index, r.column] += r.component_rows
+        checks = {(r.row_type, r.total_row_index, r.column): (r.first_component, r.last_component) for r in validate.column_sum_checks(values, rows).collect()}
+        return lists, checks
+
+    want = {
+        ("subtotal", 6, None): ["a", "Row 4", "c"], ("subtotal", 8, None): ["d"], ("total", 12, None): ["e", "f"],
+        ("grand_total", 9, 1): ["Total current assets", "Total non-current assets"],
+        ("grand_total", 9, 2): ["Total non-current assets"],
+    }
+    lists, checks = found()
+    assert lists == want
+    assert checks["subtotal", 6, 1] == (3, 5) and checks["grand_total", 9, 1] == (6, 8)
+    # column 2 lacks one subtotal's amount: still two subtotals above the total
+    assert checks["grand_total", 9, 2] == (8, 8) and checks["total", 12, 1] == (10, 11)
+    monkeypatch.setattr(partitioning, "CHUNK_BITS", 2)
+    assert found() == (want, checks)
+
+
+def test_first_hits(spark):
+    """The first row by any test wins, over three kinds of test and blank cells."""
+    cells = spark.createDataFrame(
+        [(1, i, c, t) for i, row in enumerate([["Head", "2024"], ["Trade receivable", "7"], ["x", "see deposits"], ["Deposits", "9"], ["", "1"]]) for c, t in enumerate(row)],
+        "table_id INT, row_idx INT, col_idx INT, text STRING",
+    )
+    keys = ["trade recievable", "deposits", "1", "nothing like it", "Deposits placed", "head"]
+    df = spark.createDataFrame([(1, k) for k in keys], "table_id INT, row_key STRING")
+    got = {r.row_key: r.row_idx for r in lookup.first_row_hits(df, cells, blank_hits=False).collect()}
+    assert got == {"trade recievable": 1, "deposits": 2, "1": 4, "Deposits placed": 3, "head": 0}
+    blank = {r.row_key: r.row_idx for r in lookup.first_row_hits(df, cells).collect()}
+    assert blank == {**got, "nothing like it": 4}
+    cols = spark.createDataFrame([(1, "2024 RM"), (1, "trade receivables"), (1, "deposits")], "table_id INT, col_key STRING")
+    found = {r.col_key: r.col_idx for r in lookup.first_column_hits(cols, cells, blank_hits=False).collect()}
+    assert found == {"2024 RM": 1, "trade receivables": 0, "deposits": 1}
+
+
 def _boxes(spark, seed, n=60, tables=3):
     rng = random.Random(seed)
     rows = []

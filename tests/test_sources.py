@@ -38,10 +38,27 @@ def test_pubtabnet(spark, tmp_path):
     )
     assert "<td7</td>" in A.token_html(df, compat=True).first().html
     assert _rows(A.token_grid(df), "row_idx", "col_idx", "text") == [
-        (0, 0, "No"), (0, 1, "7"), (1, 0, "x"), (1, 1, ""),
+        (0, 0, "<b> N o </b>"), (0, 1, "7"), (1, 0, "x"), (1, 1, ""),
     ]
 
 
+def test_token_grid_leaves_out_rows_without_cells(spark):
+    tokens = ["<tr>", "</tr>", "<tr>", "<td>", "</td>", "<td>", "</td>", "</tr>", "<tr>", "<td", ">", "</td>", "</tr>", "<tr>", "<td>"]
+    rows = [
+        ("a", {"structure": {"tokens": tokens}, "cells": [{"tokens": ["x"]}, {"tokens": []}, {"tokens": ["<i>", "y"]}, {"tokens": ["z"]}]}),
+        ("short", {"structure": {"tokens": tokens}, "cells": [{"tokens": ["x"]}]}),
+        ("none", {"structure": {"tokens": []}, "cells": []}),
+    ]
+    kind = "filename string, html struct<structure: struct<tokens: array<string>>, cells: array<struct<tokens: array<string>, bbox: array<double>>>>"
+    df = spark.createDataFrame([(f, {**h, "cells": [{**c, "bbox": None} for c in h["cells"]]}) for f, h in rows], kind)
+    assert _rows(A.token_grid(df), "filename", "row_idx", "col_idx", "text") == [
+        ("a", 0, 0, "x"), ("a", 0, 1, ""), ("a", 1, 0, "<i> y"), ("a", 1, 1, ""), ("short", 0, 0, "x"),
+    ]
+    html = dict(_rows(A.token_html(df), "filename", "html"))
+    assert html["none"] == "<table></table>"
+    assert html["a"] == "<table><tr></tr><tr><td>x</td><td></td></tr><tr><td><i>y</td></tr><tr><td>z</table>"
+
+
 def test_voc_and_files(spark, tmp_path):
     one = (
         "<annotation><filename>a.jpg</filename><size><width>9</width><height>8</height></size>"
