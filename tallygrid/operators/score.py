@@ -317,11 +317,38 @@ def ocr_totals(errors: DataFrame, by: Sequence[str] = (), overall: bool = False)
     return errors.groupBy(*by).agg(*aggs)
 
 
-def winners(totals: DataFrame, system: str, metrics: dict[str, bool], first: str, second: str) -> DataFrame:
-    """One row per metric comparing two systems; the value says if higher is better."""
+def weighted_totals(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Totals over per-sample rows of :func:`ocr_totals`, each mean weighted by its cells."""
+    n = F.sum("total_cells")
+    cer = F.sum(F.col("avg_cer") * F.col("total_cells")) / n
+    return samples.groupBy(*by).agg(
+        n.alias("total_cells"), F.sum("matched_cells").alias("matched_cells"),
+        F.sum("exact_matches").alias("exact_matches"),
+        ratio(F.sum("matched_cells"), n).alias("match_rate"),
+        ratio(F.sum("exact_matches"), n).alias("exact_match_rate"),
+        cer.alias("avg_cer"), (1 - cer).alias("char_accuracy"),
+    )
+
+
+def best_sample(scores: DataFrame, key: str, metric: str, by: Sequence[str] = (), highest: bool = False) -> DataFrame:
+    """by, <key>, <metric>: the sample that scores lowest (or highest) of each group; of
+    equal ones the smallest key."""
+    m = F.col(metric)
+    order = F.struct((-m if highest else m).alias("m"), F.col(key))
+    found = scores.where(m.isNotNull()).groupBy(*by).agg(F.min_by(F.struct(key, metric), order).alias("_b"))
+    return found.where("_b is not null").select(*by, f"_b.{key}", f"_b.{metric}")
+
+
+def winners(
+    totals: DataFrame, system: str, metrics: dict[str, bool | None], first: str, second: str
+) -> DataFrame:
+    """One row per metric comparing two systems; the value says if higher is better, None
+    that neither wins."""
     entries = F.array(
         *[
-            F.struct(F.lit(m).alias("metric"), F.lit(up).alias("up"), F.col(m).cast("double").alias("v"))
+            F.struct(
+                F.lit(m).alias("metric"), F.lit(up).cast("boolean").alias("up"), F.col(m).cast("double").alias("v")
+            )
             for m, up in metrics.items()
         ]
     )
@@ -332,7 +359,7 @@ def winners(totals: DataFrame, system: str, metrics: dict[str, bool], first: str
     better = F.when(F.col("up"), a > b).otherwise(a < b)
     return long.select(
         "metric", a, b, F.try_divide(a, b).alias("ratio"),
-        F.when(better, first).otherwise(second).alias("winner"),
+        F.when(F.col("up").isNotNull(), F.when(better, first).otherwise(second)).alias("winner"),
     )
 
 
@@ -348,6 +375,18 @@ def page_errors(boxes: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFr
 # --- numbers --------------------------------------------------------------------------------------
 
 
+def numeric_agreement(df: DataFrame, gt: str = "gt", pred: str = "pred", within: float = 0.01) -> DataFrame:
+    """total, parsed, agreeing and their rates: how many texts give a number at all, and
+    how many of these lie closer than ``within`` to the truth."""
+    parsed = F.col(pred).isNotNull()
+    close = F.coalesce(F.abs(F.col(gt) - F.col(pred)) < within, F.lit(False))
+    n, p, a = F.count(F.lit(1)), F.count_if(parsed), F.count_if(close)
+    return df.agg(
+        n.alias("total"), p.alias("parsed"), a.alias("agreeing"),
+        ratio(p, n).alias("parse_rate"), ratio(a, p).alias("agreement"),
+    )
+
+
 def numeric_errors(df: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFrame:
     """exact, relative_error, scale_correct, sign_correct, error_type for value pairs.
 

@@ -21,7 +21,7 @@ from tallygrid.plans import inputs as I
 from tallygrid.plans import sql as S
 from tallygrid.plans.cells import _key_sql, _near
 from tallygrid.plans.inputs_sql import q
-from tallygrid.plans.registry import query
+from tallygrid.plans.registry import ORACLES, query
 
 
 def r6(df, *cols):
@@ -161,6 +161,67 @@ def engine_comparison(spark, sf):
     return r6(out, "engine_a", "engine_b", "ratio")
 
 
+_TWO = "SELECT '{0}' AS metric, {1} AS up, {2} FILTER (e = 'engine_a') AS a, {2} FILTER (e = 'engine_b') AS b FROM {3}"
+_WON = """SELECT metric, round(a, 6) AS engine_a, round(b, 6) AS engine_b, round(a / nullif(b, 0), 6) AS ratio,
+  CASE WHEN up IS NOT NULL THEN CASE WHEN CASE WHEN up THEN a > b ELSE a < b END THEN 'engine_a' ELSE 'engine_b' END END AS winner FROM ({0})"""
+
+
+def _two_sql(lines, source):
+    return _WON.format(" UNION ALL ".join(_TWO.format(m, up, e, source) for m, up, e in lines))
+
+
+@query(
+    q(
+        "text_pairs",
+        _two_sql(
+            [("mean", "false", "avg(cer)"), ("median", "false", "median(cer)"), ("min", "false", "min(cer)"),
+             ("max", "false", "max(cer)"), ("std", "NULL::BOOLEAN", "stddev_pop(cer)")],
+            "err2",
+        ),
+        {"err": _ERR, "err2": f"SELECT *, {_HALF} AS e FROM err"},
+    )
+)
+def engine_error_table(spark, sf):
+    """Both engines' distribution of errors, with the winner of each line."""
+    errors = R.text_errors(I.text_pairs(spark, sf)).withColumn("engine", F.expr(_HALF))
+    totals = R.summarise(errors.select("engine", "cer"), "cer", ["engine"])
+    lines = {"mean": False, "median": False, "min": False, "max": False, "std": None}
+    return r6(R.winners(totals, "engine", lines, "engine_a", "engine_b"), "engine_a", "engine_b", "ratio")
+
+
+@query(
+    q(
+        "text_pairs",
+        _two_sql(
+            [("exact_match_rate", "true", "avg(exact::INT)"), ("char_accuracy", "true", "1 - avg(cer)"),
+             ("avg_cer", "false", "avg(cer)"), ("match_rate", "true", "avg(matched::INT)")],
+            "err2",
+        ),
+        {"err": _ERR, "err2": f"SELECT *, {_HALF} AS e FROM err"},
+    )
+)
+def engine_comparison_by_cells(spark, sf):
+    """Per-sample means weighted by their cells: the same as means over all cells."""
+    errors = R.text_errors(I.text_pairs(spark, sf)).withColumn("engine", F.expr(_HALF))
+    samples = R.ocr_totals(errors, ["engine", "doc_id"])
+    lines = {"exact_match_rate": True, "char_accuracy": True, "avg_cer": False, "match_rate": True}
+    out = R.winners(R.weighted_totals(samples, ["engine"]), "engine", lines, "engine_a", "engine_b")
+    return r6(out, "engine_a", "engine_b", "ratio")
+
+
+@query(
+    q(
+        "text_pairs",
+        "SELECT e AS engine, arg_min(doc_id, (round(avg_cer, 9), doc_id)) AS doc_id, round(min(avg_cer), 6) AS avg_cer FROM (SELECT e, doc_id, avg(cer) AS avg_cer FROM err2 GROUP BY ALL) GROUP BY e",
+        {"err": _ERR, "err2": f"SELECT *, {_HALF} AS e FROM err"},
+    )
+)
+def best_samples(spark, sf):
+    errors = R.text_errors(I.text_pairs(spark, sf)).withColumn("engine", F.expr(_HALF))
+    samples = R.ocr_totals(errors, ["engine", "doc_id"]).withColumn("avg_cer", F.round("avg_cer", 9))
+    return r6(R.best_sample(samples, "doc_id", "avg_cer", ["engine"]), "avg_cer")
+
+
 @query(
     q(
         "text_pairs",
@@ -214,6 +275,18 @@ def _numeric_errors(spark, sf):
     return R.numeric_errors(df, "gt", "p")
 
 
+@query(
+    q(
+        "number_texts",
+        "SELECT count(*) AS total, count(p) AS parsed, count(*) FILTER (abs(gt - p) < 0.01) AS agreeing, round(count(p) / count(*), 6) AS parse_rate, round(count(*) FILTER (abs(gt - p) < 0.01) / count(p), 6) AS agreement FROM nerr",
+        {"nerr": _NERR},
+    )
+)
+def numeric_agreement(spark, sf):
+    df = I.number_texts(spark, sf).withColumn("p", N.lenient_number(F.col("text")))
+    return r6(R.numeric_agreement(df, "gt", "p"), "parse_rate", "agreement")
+
+
 @query(q("number_texts", "SELECT id, parsed, exact, round(rel, 6) AS relative_error, scale_correct, sign_correct, error_type FROM nerr", {"nerr": _NERR}))
 def numeric_errors(spark, sf):
     e = _numeric_errors(spark, sf)
@@ -394,6 +467,19 @@ def tree_similarity_structure(spark, sf):
     return r6(_tree_pairs(spark, sf).select("table_id", "teds_struct"), "teds_struct")
 
 
+_BINS = "SELECT bin, count(*) AS n, round(bin / 20, 6) AS bin_start FROM (SELECT least(floor(({0})::DOUBLE / (1.0::DOUBLE / 20)), 19)::INTEGER AS bin FROM ({1})) GROUP BY bin"
+
+
+@query(_BINS.format("f1", ORACLES["cell_f1_with_text"]))
+def cell_f1_histogram(spark, sf):
+    return r6(R.histogram(cell_f1_with_text(spark, sf), "f1", 20), "bin_start")
+
+
+@query(_BINS.format("teds_struct", ORACLES["tree_similarity_structure"]))
+def tree_similarity_histogram(spark, sf):
+    return r6(R.histogram(tree_similarity_structure(spark, sf), "teds_struct", 20), "bin_start")
+
+
 def _html(cells, name):
     texts = F.array_sort(F.collect_list(F.struct("col_idx", F.concat(F.lit("<td>"), F.col("text"), F.lit("</td>")).alias("t"))))
     rows = cells.groupBy("table_id", "row_idx").agg(
@@ -674,6 +760,18 @@ def qa_accuracy(spark, sf):
     return r6(R.qa_accuracy(_answered(spark, sf)), "accuracy")
 
 
+@query(
+    q(
+        "questions cells",
+        "SELECT arg_min(table_id, (-accuracy, table_id)) AS table_id, max(accuracy) AS accuracy FROM (SELECT table_id, round(count(*) FILTER (correct) / count(*), 6) AS accuracy FROM ans GROUP BY table_id)",
+        _LOOK,
+    )
+)
+def best_answered_table(spark, sf):
+    scores = r6(R.qa_accuracy(_answered(spark, sf)), "accuracy").where("table_id is not null")
+    return R.best_sample(scores, "table_id", "accuracy", highest=True)
+
+
 @query(
     q(
         "questions cells",
