@@ -1,15 +1,17 @@
 """Phrase collocations by Toivonen's sampling.
 
-Words are counted first, over all texts.  A sample of the texts is then mined level by
-level with a lowered threshold: it proposes the longer phrases that are likely frequent.  One pass over all texts then counts these and their
-negative border, the phrases that are not proposed though both their parts, without the
-last and without the first word, are.  A border phrase that turns out to be frequent may
-hide longer ones: a further pass counts all that it opens, phrases of any length whose
-parts are frequent or are counted in this pass too.  So every frequent phrase has been
-counted over all texts, whatever the sample proposed.
-
-Proposals reach the tasks as a bitmap of fixed size.  Where it errs it takes more phrases
-for proposed, which are then counted like the others: that costs time, never a count.
+Words are counted first.  A sample of the texts is then mined level by level with a lowered
+threshold: it proposes the longer phrases that are likely frequent.  One pass over all
+texts counts these and their negative border, the phrases that are not proposed though both
+their parts, without the last and without the first word, are.  A border phrase that turns
+out to be frequent may hide longer ones: the last pass counts all that it opens, phrases of
+any length whose parts are frequent or are counted in this pass too.  So every frequent
+phrase is counted over all texts, whatever the sample proposed.
+
+Until then phrases are hashes of 48 bits, which tasks add up and send as packed, sorted
+arrays; those that reach the threshold form a bitmap of fixed size.  Where hashes or bits
+coincide, more is taken for frequent.  The last pass counts what was so found once more,
+spelled out, and only its counts are results: coincidences cost time, never a count.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallygrid.llm import arrays
+from tallygrid.llm import arrays, katz
 from tallygrid.llm.store import Scratch
 
 LONGEST = 5
@@ -31,10 +33,15 @@ LEAST = 100
 #: from this share of the threshold on.
 SAMPLE = 8
 LOWERED = 0.5
-#: The bitmap of proposals: 16 MB.
+#: Bits of a bitmap: 16 MB.
 BITS = 27
-#: Entries that a task collects before it sends them.
-ENTRIES = 1 << 18
+#: Entries that a task collects before it sends them; of spelled phrases, and of hashes.
+ENTRIES = 1 << 20
+HASHES = 1 << 19
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
+#: Text for each part over which the hashes are dealt.
+PART_BYTES = 8 << 20
 #: Phrases that are put together at a time.
 SPELLED = 1 << 14
 #: One-word parts occur in many phrases: their joins are dealt over so many keys.
@@ -49,18 +56,18 @@ COUNTED = "lang string, phrase string, times long"
 
 
 class Bitmap:
-    """A set of 64-bit hashes, each by two bits."""
+    """A set of hashes, each by two bits taken from its upper 48."""
 
     def __init__(self, words: np.ndarray):
         self.bits = words.view(np.uint8)
 
     @staticmethod
-    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = (hashes & _U((1 << BITS) - 1)).astype(np.int64)
-        return low, (hashes >> _U(64 - BITS)).astype(np.int64)
+    def places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = names & _U((1 << BITS) - 1)
+        return low.astype(np.int64), (names >> _U(48 - BITS)).astype(np.int64)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = self.places(hashes)
+        a, b = self.places(hashes >> _U(16))
         first = (self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & 1
         second = (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1
         return (first & second).astype(bool)
@@ -126,103 +133,138 @@ def distinct(names: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, n
 
 
 class Collected:
-    """Counts of one task by phrase, merged as they come and sent when they are many."""
+    """Counts of one task by phrase.  A phrase is spelled when it is met first; later on
+    only its count grows.  All are sent when they are many."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
-        self.size = 0
-
-    def add(self, names, times, langs: pa.Array, phrases: pa.Array) -> None:
-        if len(names):
-            self.parts.append((names, times, langs, phrases))
-            self.size += len(names)
-
-    def merge(self) -> None:
-        if len(self.parts) > 1:
-            names, times = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-            langs, phrases = (pa.concat_arrays([p[i] for p in self.parts]) for i in (2, 3))
-            names, at, times = distinct(names, times)
-            self.parts = [(names, times, langs.take(pa.array(at)), phrases.take(pa.array(at)))]
-            self.size = len(names)
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; where they stand
+        self.times = np.zeros(0, np.int64)
+        self.langs: list[pa.Array] = []
+        self.phrases: list[pa.Array] = []
+
+    def add(self, names: np.ndarray, times: np.ndarray, spell) -> None:
+        """Count distinct sorted names; ``spell`` gives languages and phrases of some."""
+        at = np.searchsorted(self.names, names)
+        known = np.zeros(len(names), bool)
+        inside = at < len(self.names)
+        known[inside] = self.names[at[inside]] == names[inside]
+        self.times[self.place[at[known]]] += times[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            langs, phrases = spell(fresh)
+            self.langs.append(langs)
+            self.phrases.append(phrases)
+            places = np.arange(len(self.times), len(self.times) + len(fresh))
+            self.names = np.insert(self.names, at[fresh], names[fresh])
+            self.place = np.insert(self.place, at[fresh], places)
+            self.times = np.concatenate([self.times, times[fresh]])
 
     def sent(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for _, times, langs, phrases in self.parts:
-            for i in range(0, len(times), 1 << 17):
-                some = slice(i, i + (1 << 17))
+        start = 0
+        for langs, phrases in zip(self.langs, self.phrases, strict=True):
+            for i in range(0, len(langs), 1 << 16):
+                some = slice(i, i + (1 << 16))
+                part = langs[some]
+                times = self.times[start + i : start + i + len(part)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        langs[some].cast(pa.string()), phrases[some].cast(pa.string()),
-                        pa.array(times[some], pa.int64()),
-                    ],
+                    [part.cast(pa.string()), phrases[some].cast(pa.string()), pa.array(times, pa.int64())],
                     ["lang", "phrase", "times"],
-                )
-        self.parts, self.size = [], 0
+                )
+            start += len(langs)
+        self.clear()
 
 
-def counts(texts: DataFrame, sizes: range, known, frequent=None, entries: int = ENTRIES) -> DataFrame:
-    """``lang, phrase, times`` of the phrases of so many words whose two parts are both
-    ``known``.  One word has no parts and always counts.  Without words, the phrase is null
-    and ``times`` counts words.
+def candidates(
+    text: arrays.Texts, langs: pa.Array, sizes: range, known: Bitmap, sure: Bitmap | None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, arrays.Spans, np.ndarray]]:
+    """Of every length: hashes and first words of the phrases to count, and the words.
 
-    With the set of phrases that such a pass has found ``frequent``, it counts what that
-    pass has not counted and what may still be frequent: phrases whose parts are frequent,
-    or have not been counted and may be so themselves.
+    Without ``sure`` these are the phrases whose two parts are both known; single words
+    have no parts.  With it, those of them that are sure, and in place of those that
+    have a part that is not known the ones whose parts may both be frequent.
     """
-    longest = sizes[-1]
+    words, owner = pieces(text)
+    last_at, was_known, possible = None, None, None
+    for size, (names, at) in enumerate(grams(words, salts(langs)[owner], sizes[-1]), 1):
+        wanted = counted = np.ones(len(at), bool)
+        if size > 1:  # parts begin at the same word and at the next
+            here, there = (np.searchsorted(last_at, at + i) for i in (0, 1))
+            wanted = counted = was_known[here] & was_known[there]
+        if sure:
+            opened = possible[here] & possible[there] if size > 1 else counted
+            wanted = possible_now = np.where(counted, sure.has(names), opened)
+        if size in sizes:
+            yield size, names[wanted], at[wanted], words, owner
+        if size < sizes[-1]:
+            last_at, was_known = at, known.has(names)
+            possible = possible_now if sure else None
+
+
+def likely(texts: DataFrame, sizes: range, known, least: int, parts: int) -> DataFrame:
+    """``name``: the hashes, of phrases of so many words whose two parts are both ``known``,
+    that occur ``least`` times or more."""
+
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        names, _, times = distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        edges = np.searchsorted(names, [np.uint64((k << 48) // parts) for k in range(1, parts)])
+        rows = []
+        for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(names)], strict=True)):
+            if b > a:
+                steps = np.diff(names[a:b], prepend=_U(0))
+                rows.append((k, katz.pack(steps), katz.pack(times[a:b].astype(np.int64))))
+        columns = list(zip(*rows, strict=True))
+        kinds = [pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "names", "times"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Collected()
-        proposed = Bitmap(known.value)
-        sure = Bitmap(frequent.value) if frequent else None
-        for batch in arrays.slices(batches):
-            column = batch.column("text")
+        found, size, held = [], 0, Bitmap(known.value)
+        for batch in arrays.slices(batches, most=SLICE):
             langs = batch.column("lang").cast(pa.large_string())
-            text = arrays.texts_of(column)
-            words, owner = pieces(text)
-            last_at, was_known, possible = None, None, None
-            for size, (names, at) in enumerate(grams(words, salts(langs)[owner], longest), 1):
-                counted = wanted = np.ones(len(at), bool)
-                if size > 1:  # parts begin at the same word and at the next
-                    here, there = (np.searchsorted(last_at, at + i) for i in (0, 1))
-                    counted = wanted = was_known[here] & was_known[there]
-                    if sure:
-                        open_ = possible[here] & possible[there]
-                        wanted = open_ & ~counted
-                if size in sizes:
-                    keys, one, times = distinct(names[wanted], None)
-                    one = at[wanted][one]
-                    found.add(keys, times, langs.take(pa.array(owner[one])), spelled(text.data, words, one, size))
-                if size < longest:
-                    last_at, was_known = at, proposed.has(names)
-                    if sure:
-                        possible = np.where(counted, sure.has(names), wanted)
-            if 1 in sizes:
-                rows, n = np.unique(owner, return_counts=True)
-                keys, one, times = distinct(arrays.mix(salts(langs)[rows]), n)
-                none = pa.nulls(len(keys), pa.large_string())
-                found.add(keys, times, langs.take(pa.array(rows[one])), none)
-            if found.size >= 2 * entries:
-                found.merge()
-            if found.size >= entries:
-                yield from found.sent()
-        yield from found.sent()
+            for _, hashes, *_ in candidates(arrays.texts_of(batch.column("text")), langs, sizes, held, None):
+                names, _, times = distinct(hashes >> _U(16), None)
+                found.append((names, times))
+                size += len(names)
+            if size >= 2 * HASHES:
+                names, _, times = distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, size = [(names, times)], len(names)
+            if size >= HASHES:
+                yield sent(found)
+                found, size = [], 0
+        if size:
+            yield sent(found)
+
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = [(names, times)]
+        for batch in batches:
+            for a, b in zip(batch.column("names"), batch.column("times"), strict=True):
+                steps = katz.unpack(a.as_py(), np.uint64)
+                held.append((np.cumsum(steps, dtype=np.uint64), katz.unpack(b.as_py(), np.int64)))
+            if sum(len(x) for x, _ in held[1:]) >= HASHES:
+                names, _, times = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = [(names, times)]
+        names, _, times = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[times >= least].view(np.int64))], ["name"])
 
-    rows = texts.mapInArrow(run, COUNTED)
-    # dealt by phrase before any aggregation: tasks have merged their own counts already
-    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
+    packed = texts.mapInArrow(run, "part int, names binary, times binary")
+    return packed.groupBy("part").applyInArrow(total, "name long")
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of a table of ``lang, phrase``: bits are joined by the tasks, and its
-    words, at most 2 million of 8 bytes, reach the driver."""
+def bitmap(names: DataFrame) -> np.ndarray:
+    """The bitmap of a table of hashes: bits are joined by the tasks, and its words, at most
+    2 million of 8 bytes, reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.concatenate(Bitmap.places(names_of(batch)))
+            places = np.concatenate(Bitmap.places(batch.column("name").to_numpy(False).view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(places), pa.int64())], ["place"])
 
-    places = phrases.select("lang", "phrase").mapInArrow(run, "place long")
+    places = names.mapInArrow(run, "place long")
     bit = F.expr("shiftleft(1L, int(place & 63))")
     words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     found = words.toArrow()
@@ -231,18 +273,34 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def names_of(batch: pa.RecordBatch) -> np.ndarray:
-    """The hash of each phrase of a batch, the one that its occurrences have."""
-    texts = arrays.texts_of(batch.column("phrase"))
-    words = texts.spans(breaks=arrays.SPACES)
-    out = np.zeros(len(texts), np.uint64)
-    size = np.diff(words.first)
-    salt = salts(batch.column("lang"))
-    for n, h, at in arrays.windows(words, list(range(1, int(size.max(initial=1)) + 1))):
-        owner = words.owner[at]
-        whole = size[owner] == n
-        out[owner[whole]] = arrays.mix(h[whole] ^ salt[owner[whole]])
-    return out
+def spelled_counts(texts: DataFrame, longest: int, known, sure) -> DataFrame:
+    """``lang, phrase, times`` of the phrases that are ``sure`` or that these open; and, with
+    a null phrase, the number of words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, often = Collected(), Bitmap(known.value), Bitmap(sure.value)
+        for batch in arrays.slices(batches, most=SLICE):
+            langs = batch.column("lang").cast(pa.large_string())
+            text = arrays.texts_of(batch.column("text"))
+            for size, hashes, at, words, owner in candidates(text, langs, range(1, longest + 1), held, often):
+                keys, one, times = distinct(hashes, None)
+
+                def spell(fresh, first=at[one], size=size, words=words, owner=owner, langs=langs, data=text.data):
+                    which = first[fresh]
+                    return langs.take(pa.array(owner[which])), spelled(data, words, which, size)
+
+                found.add(keys, times, spell)
+            rows, n = np.unique(owner, return_counts=True)
+            keys, one, times = distinct(arrays.mix(salts(langs)[rows]), n)
+            own = langs.take(pa.array(rows[one]))
+            found.add(keys, times, lambda fresh, own=own: (own.take(pa.array(fresh)), pa.nulls(len(fresh), own.type)))
+            if len(found.times) >= ENTRIES:
+                yield from found.sent()
+        yield from found.sent()
+
+    rows = texts.mapInArrow(run, COUNTED)
+    # dealt by phrase before any aggregation: tasks have merged their own counts already
+    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -261,42 +319,23 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Dat
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    sample = scratch.keep(texts.where(F.rand(SAMPLE) < 1 / SAMPLE), "sample")
-    lowered = max(2, int(LOWERED * least / SAMPLE))
-    often = (F.col("times") >= least) | F.col("phrase").isNull()
-    words = counts(texts, range(1, 2), share(np.zeros(1 << (BITS - 6), np.int64)))
-    found = scratch.keep(words.where(often).withColumnRenamed("times", "f"), "words")
-    bits = bitmap(found.where("phrase is not null"))
-    for size in range(2, longest):
-        level = counts(sample, range(size, size + 1), share(bits))
-        proposed = bitmap(level.where(F.col("times") >= lowered))
-        bits = bits | proposed
-        if not proposed.any():
-            break
-    if longest == 1:
-        return found
-    known = share(bits)
-    new = counts(texts, range(2, longest + 1), known)
-    kept = scratch.keep(new.where(often).withColumnRenamed("times", "f"), "proposed-and-border")
-    found = found.unionByName(kept)
-    if not unknown(kept, known, longest).isEmpty():
-        sure = bitmap(found.where("phrase is not null"))
-        new = counts(texts, range(3, longest + 1), known, share(sure))
-        more = scratch.keep(new.where(often).withColumnRenamed("times", "f"), "beyond-the-border")
-        found = found.unionByName(more)
-    return found
-
-
-def unknown(kept: DataFrame, known, longest: int) -> DataFrame:
-    """The frequent phrases, shorter than the longest, that the bitmap does not hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Bitmap(known.value)
-        for batch in batches:
-            yield batch.filter(pa.array(~held.has(names_of(batch))))
-
-    short = kept.where("phrase is not null").where(F.size(F.split("phrase", " ")) < longest)
-    return short.select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
+    whole = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-whole // PART_BYTES) or 1
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    sure = bits = bitmap(likely(texts, range(1, 2), share(bits), least, parts))
+    if longest > 1:
+        sample = scratch.keep(texts.where(F.rand(SAMPLE) < 1 / SAMPLE), "sample")
+        lowered = max(2, int(LOWERED * least / SAMPLE))
+        for size in range(2, longest):
+            found = likely(sample, range(size, size + 1), share(bits), lowered, -(-parts // SAMPLE))
+            proposed = bitmap(found)
+            bits = bits | proposed
+            if not proposed.any():
+                break
+        sure = sure | bitmap(likely(texts, range(2, longest + 1), share(bits), least, 2 * parts))
+    found = spelled_counts(texts, longest, share(bits), share(sure))
+    often = (F.col("f") >= least) | F.col("phrase").isNull()
+    return scratch.keep(found.where(often), "frequent")
 
 
 def collocations(
@@ -318,14 +357,14 @@ def scored(found: DataFrame, longest: int, covered_percent: int) -> DataFrame:
     total = found.where("phrase is null").select("lang", F.col("f").alias("n"))
     counted = found.where("phrase is not null").withColumn("words", F.split("phrase", " "))
     counted = counted.withColumn("k", F.size("words"))
-    candidates = counted.where("k > 1")
+    longer = counted.where("k > 1")
 
     # any longer phrase passes through those of one word more, each at least as frequent
     parts = F.array(F.slice("words", 1, F.col("k") - 1), F.slice("words", 2, F.col("k") - 1))
-    inside = candidates.where("k > 2").select("lang", "f", F.explode(parts).alias("part"))
+    inside = longer.where("k > 2").select("lang", "f", F.explode(parts).alias("part"))
     inside = inside.groupBy("lang", F.array_join("part", " ").alias("phrase")).agg(F.max("f").alias("over"))
     covered = F.coalesce(100 * F.col("over") >= covered_percent * F.col("f"), F.lit(False))
-    open_ = candidates.join(inside, ["lang", "phrase"], "left").where(~covered)
+    open_ = longer.join(inside, ["lang", "phrase"], "left").where(~covered)
 
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")
     cuts = open_.select("lang", "phrase", "f", "words", "k", cut)

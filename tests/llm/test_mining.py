@@ -74,6 +74,8 @@ def test_phrases(spark, none, monkeypatch, sample, percent):
     # with next to no sample every phrase is found through the border, pass by pass
     monkeypatch.setattr(phrases, "SAMPLE", sample)
     monkeypatch.setattr(phrases, "ENTRIES", 500)
+    monkeypatch.setattr(phrases, "HASHES", 300)
+    monkeypatch.setattr(phrases, "PART_BYTES", 5000)
     docs = documents(spark, repeated_texts())
     rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect()]
     got = phrases.top(phrases.collocations(docs, least=6, longest=4, covered_percent=percent), 40).collect()
@@ -91,12 +93,10 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_bitmap_errs_on_one_side(spark):
-    some = spark.range(500).selectExpr("'en' as lang", "concat('w', id, ' x') as phrase")
-    bits = phrases.Bitmap(phrases.bitmap(some))
-    batch = some.toArrow().to_batches()[0]
-    assert bits.has(phrases.names_of(batch)).all()
-    other = spark.range(500).selectExpr("'fr' as lang", "concat('w', id, ' x') as phrase").toArrow().to_batches()[0]
-    assert bits.has(phrases.names_of(other)).sum() < 5
+    hashes = arrays.mix(np.arange(2000, dtype=np.uint64))
+    names = [(int(x),) for x in hashes[:1000] >> np.uint64(16)]
+    bits = phrases.Bitmap(phrases.bitmap(spark.createDataFrame(names, "name long")))
+    assert bits.has(hashes[:1000]).all() and bits.has(hashes[1000:]).sum() < 5
 
 
 # --- periodic runs -----------------------------------------------------------------------
