@@ -7,7 +7,9 @@ the substrings at those places where the segment can stand.  What meets is verif
 a banded bit-parallel edit distance.
 
 Groups never expand into all pairs: lines that meet on one key are compared with hubs
-first, and only those left in different classes are compared with one another.
+first, and only those left in different classes are compared with one another.  Lengths
+and the parities of their pairs of characters, of which an edit changes four at most, are
+compared as the lines meet, so pairs that cannot link are never made.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from tallygrid.llm.store import Scratch
 #: each edit that is allowed.
 EDITS = 2
 CHARS_PER_EDIT = 10
+#: Numbers of 64 bits for the parities of a line, and bits that one edit may change.
+PARITIES = 4
+PER_EDIT = 4
 #: Below this size a list of lines goes to every task; a larger one is joined.
 BROADCAST_BYTES = 16 << 20
 
@@ -113,6 +118,18 @@ class Lines:
     def part(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
 
+    def parities(self, at: np.ndarray) -> np.ndarray:
+        """Whether the number of pairs of neighbouring characters that fall on a bit is odd:
+        one row of numbers for each of the lines ``at``."""
+        bits = 64 * PARITIES
+        size = np.maximum(self.size[at] - 1, 0)
+        ends = np.cumsum(size)
+        place = np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        pair = arrays.mix(self.part(place, np.full(len(place), 2))) % _U(bits)
+        line = np.repeat(np.arange(len(at)), size)
+        odd = np.bincount(line * bits + pair.astype(np.int64), minlength=len(at) * bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(at), PARITIES)
+
     def entries(self, at: np.ndarray, edits: int, chars: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the lines ``at``, and twice the number of the line in ``at``, plus one
         where the key is an index entry (the longer line of a pair is the indexed one)."""
@@ -185,7 +202,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _texts(source: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """``line, text`` of the ``wanted`` lines."""
+    """``line, text, n`` and parities ``s0``, ``s1``, ... of the ``wanted`` lines."""
     count = wanted.count()
     small = 8 * count <= BROADCAST_BYTES
     names = np.sort(wanted.toArrow().column("line").to_numpy()) if small else None
@@ -205,11 +222,13 @@ def _texts(source: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
                 if o not in split:
                     split[o] = texts[o].split("\n")
                 found.append(split[o][k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[at]), pa.array(found, pa.string())], ["line", "text"]
-            )
+            sizes = pa.array(lines.size[at], pa.int32())
+            bits = [pa.array(x) for x in lines.parities(at).T]
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(found, pa.string()), sizes, *bits], names)
 
-    found = source.select("text").mapInArrow(run, "line long, text string")
+    names = ["line", "text", "n", *(f"s{i}" for i in range(PARITIES))]
+    kinds = "line long, text string, n int, " + ", ".join(f"s{i} long" for i in range(PARITIES))
+    found = source.select("text").mapInArrow(run, kinds)
     if not small:
         found = found.join(wanted, "line", "left_semi")
     return scratch.keep(found.dropDuplicates(["line"]), f"texts-{count}")
@@ -262,10 +281,19 @@ def line_classes(
     known = posts.join(labels, "line")
     ends = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     left = known.join(ends.where("lo <> hi").select("key"), "key")
-    left = scratch.keep(left, "across")
-    one = left.where("indexed = 1").select("key", F.col("line").alias("a"), F.col("component").alias("ca"))
-    two = left.select(F.col("key").alias("_key"), F.col("line").alias("b"), F.col("component").alias("cb"))
-    pairs = one.join(two, F.expr("key = _key and a <> b and ca <> cb"))
+    shorts = [f"s{i}" for i in range(PARITIES)]
+    left = scratch.keep(left.join(texts.select("line", "n", *shorts), "line"), "across")
+    one = left.where("indexed = 1").select(
+        "key", F.col("line").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"),
+        *[F.col(c).alias(f"a_{c}") for c in shorts],
+    )
+    two = left.select(
+        F.col("key").alias("_key"), F.col("line").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"),
+        *[F.col(c).alias(f"b_{c}") for c in shorts],
+    )
+    differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in shorts)
+    near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (differ <= PER_EDIT * edits)
+    pairs = one.join(two, F.expr("key = _key and a <> b and ca <> cb") & near)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = scratch.keep(_linked(pairs, texts, edits, chars), "links-2")
     return _merged(labels, second, scratch, "2"), first.union(second)
