@@ -74,12 +74,13 @@ class Bitmap:
 
 
 def salts(column: pa.Array) -> np.ndarray:
-    """A hash of each language, so that equal words of two languages differ."""
+    """A hash of each language, so that equal words of two languages differ.  It is mixed once
+    more than the hash of a phrase: a word that is its language's name would cancel it."""
     spans = arrays.texts_of(column)
     whole = spans.spans(breaks=np.zeros(256, bool))
     out = np.zeros(len(spans), np.uint64)
     out[whole.owner] = whole.hash
-    return arrays.mix(out + _U(1))
+    return arrays.mix(arrays.mix(out + _U(1)) + _U(LONGEST + 1))
 
 
 def pieces(texts: arrays.Texts) -> tuple[arrays.Spans, np.ndarray]:

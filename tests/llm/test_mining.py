@@ -84,6 +84,15 @@ def test_phrases(spark, none, monkeypatch, sample, percent):
     assert phrases.top(phrases.collocations(none)).count() == 0
 
 
+def test_words_that_name_their_language(spark):
+    rows = [("en de en de x", "en"), ("es es y", "es"), ("de en de z", "de")]
+    docs = documents(spark, rows * 2)
+    got = {(r.lang, r.phrase): r.f for r in phrases.frequent(docs, least=2, longest=1).collect()}
+    kept = docs.where("lang is not null").collect()
+    want = collections.Counter((r.lang, w) for r in kept for w in r.text.split())
+    assert {k: f for k, f in got.items() if k[1]} == want
+
+
 def test_scores_beyond_64_bits(spark):
     """1000 * a * n of a table of ten billion words, by the same expressions."""
     rows = [("en", "p q", 10**10), ("en", "p", 2 * 10**10), ("en", "q", 10**10), ("en", None, 10**13)]
