@@ -27,3 +27,25 @@ def test_shares_of_orders_are_exact(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     (row,) = __spark_entry__.queries()["rule_checks"](spark, str(tmp_path)).collect()
     assert row.percent_actual == 0.409998
+
+
+def test_values_are_stored_dealt(spark):
+    # values and rows read back from the stored tables meet without an exchange
+    assert "Exchange" not in plan(spark, "keyword_sum_checks")
+
+
+def test_plain_amounts_read_like_any_other(spark):
+    from pyspark.sql import functions as F
+
+    from tallygrid.operators.normalize import normalize_texts
+
+    texts = ["1,234", "(1,234)", "(7)", "2019", "1999", "000", "1,000", "12,", "(1,2", "1)", ",5", "-5", "", " 8 ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("ds", F.lit(1000).cast("bigint"))
+    got = {r.text: (r.cell_type, r.is_negative, r.value) for r in normalize_texts(df, default_scale="ds").collect()}
+    assert got["1,234"] == ("numeric", False, 1234000.0) and got["(1,234)"] == ("numeric", True, -1234000.0)
+    assert got["(7)"] == ("numeric", True, -7000.0) and got["2019"] == got["1999"] == ("year", False, None)
+    assert got["000"] == ("numeric", False, 0.0) and got["1,000"] == ("numeric", False, 1000000.0)
+    assert got["12,"] == ("numeric", False, 12000.0) and got["(1,2"] == ("numeric", False, 12000.0)
+    assert got["1)"] == ("numeric", False, 1000.0) and got[",5"] == ("numeric", False, 5000.0)
+    assert got["-5"] == ("numeric", True, -5000.0) and got[" 8 "] == ("numeric", False, 8000.0)
+    assert got[""] == got[None] == ("empty", False, None)
