@@ -49,3 +49,26 @@ def test_plain_amounts_read_like_any_other(spark):
     assert got["1)"] == ("numeric", False, 1000.0) and got[",5"] == ("numeric", False, 5000.0)
     assert got["-5"] == ("numeric", True, -5000.0) and got[" 8 "] == ("numeric", False, 8000.0)
     assert got[""] == got[None] == ("empty", False, None)
+
+
+def test_texts_of_one_file_are_dealt(spark, tmp_path):
+    from tallygrid.plans import inputs
+
+    docs = spark.range(2 * inputs.PART_DOCUMENTS + 1).selectExpr("id AS doc_id", "'s' AS source", "'One. Two.' AS text")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = inputs.text_pairs(spark, str(tmp_path))
+    assert pairs.rdd.getNumPartitions() == 3 and pairs.count() == 3 * docs.count()
+
+
+def test_distances_are_derived_once_and_words_not_at_all(spark):
+    for name in ("error_histogram", "character_errors", "engine_error_table", "error_distribution"):
+        text = plan(spark, name)
+        assert text.count("levenshtein(") <= 1 and "gt_words" not in text, name
+
+
+def test_histogram_leaves_missing_values_out(spark):
+    from tallygrid.operators import score
+
+    df = spark.createDataFrame([("a", 0.1), ("a", None), ("b", None), ("b", 2.0)], "k string, v double")
+    got = {(r.k, r.bin, r.n) for r in score.histogram(df, "v", 2, by=["k"]).collect()}
+    assert got == {("a", 0, 1), ("b", 1, 1)}
