@@ -91,3 +91,10 @@ def test_missing_texts_are_equal(spark):
     gt = spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, "a"), (2, 0, 0, "b")], kind)
     got = {r.table_id: (r.tp, r.fp, r.fn) for r in score.cell_f1(pred, gt).collect()}
     assert got == {1: (2, 1, 0), 2: (0, 0, 1)}
+
+
+def test_samples_are_measured_where_cells_lie(spark):
+    # only the totals by backend are exchanged above the union, nothing from it down to the cells
+    text = plan(spark, "pipeline_summary")
+    above, union = text[: text.index("Union")], text[text.index("Union") :]
+    assert above.count("Exchange") == 1 and "Exchange" not in union[: union.index("Generate")]
