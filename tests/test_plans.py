@@ -98,3 +98,21 @@ def test_samples_are_measured_where_cells_lie(spark):
     text = plan(spark, "pipeline_summary")
     above, union = text[: text.index("Union")], text[text.index("Union") :]
     assert above.count("Exchange") == 1 and "Exchange" not in union[: union.index("Generate")]
+
+
+def test_boxes_are_not_dealt_again(spark):
+    # heights and rows are derived from boxes stored by table
+    assert "Exchange" not in plan(spark, "rows_by_gap")
+
+
+def test_runs_go_on_across_chunks_of_values(spark):
+    from pyspark.sql import functions as F
+
+    from tallygrid.operators import align
+
+    places = [0, 5, 4090, 4095, 4097, 4110, 12000, 12288, 12290, 50000]
+    df = spark.createDataFrame([(k, float(p) + k) for k in (1, 2) for p in places], "table_id long, p double")
+    got = align.value_runs(df, "p", F.col("p") - F.col("prev") > 10)
+    runs = [0, 0, 1, 1, 1, 2, 3, 4, 4, 5]
+    want = {(k, float(p) + k, r) for k in (1, 2) for p, r in zip(places, runs, strict=True)}
+    assert {(r.table_id, r.p, r.run) for r in got.collect()} == want
