@@ -116,3 +116,36 @@ def test_runs_go_on_across_chunks_of_values(spark):
     runs = [0, 0, 1, 1, 1, 2, 3, 4, 4, 5]
     want = {(k, float(p) + k, r) for k in (1, 2) for p, r in zip(places, runs, strict=True)}
     assert {(r.table_id, r.p, r.run) for r in got.collect()} == want
+
+
+def test_labels_of_one_file_are_dealt(spark, tmp_path):
+    from tallygrid.plans import inputs
+
+    part = spark.range(2 * inputs.PART_LABELS + 1).selectExpr("id AS p_partkey", "'a b' AS p_name", "'c d' AS p_type")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    labels = inputs.noisy_labels(spark, str(tmp_path))
+    assert labels.rdd.getNumPartitions() == 3 and labels.count() == part.count()
+
+
+def test_labels_are_repaired_once(spark):
+    # not once for each known line item
+    assert plan(spark, "financial_labels").count("regexp_replace(") <= 3
+
+
+def test_closest_line_items(spark):
+    from tallygrid.functions import text as T
+
+    texts = ["Deferred tax assets net", "deferred tax", "Sundry", "", None, "net profit", "equivalents and cash cash"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def overlap(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    from pyspark.sql import functions as F
+
+    for text, fixed, got in df.select("text", T.correct_ocr(F.col("text")), T.correct_financial_label(F.col("text"))).collect():
+        want = fixed
+        if text and fixed.strip().lower() not in T.FINANCIAL_TERMS:
+            score, term = min((-overlap(set(fixed.lower().split()), set(t.split())), t) for t in T.FINANCIAL_TERMS)
+            want = term.title() if score < -0.7 else fixed
+        assert got == want, text
