@@ -241,7 +241,9 @@ class Chunk:
         before[1:] = self.word[:-1]
         before[starts] = len(self.vocab)
         code, at = np.unique(before << _U(32) | self.word.astype(np.uint64), return_inverse=True)
-        history, word = (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.int64)
+        history, word = (code >> _U(32)).astype(np.int32), (code & _U(0xFFFFFFFF)).astype(np.int32)
+        at = at.astype(np.int32)
+        del before, code
         return Entries.of(
             at, history, word, vocab[history], vocab[word], count[history], count[word], parts, uni
         )
@@ -255,7 +257,9 @@ class Chunk:
             history.astype(np.uint64) << _U(32) | self.word[inside].astype(np.uint64),
             return_index=True, return_inverse=True,
         )
+        at = at.astype(np.int32)
         history, pair = history[first], pair[first]
+        del code
         name = arrays.mix(arrays.mix(e.name[history]) + self.vocab[e.word[history]])
         return Entries.of(
             at, history, pair, name, self.vocab[self.word[inside][first]], total[history], total[pair],
@@ -265,7 +269,7 @@ class Chunk:
     def inside(self) -> np.ndarray:
         """The tokens that do not begin a text."""
         starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        return np.delete(np.arange(len(self.word)), starts)
+        return np.delete(np.arange(len(self.word), dtype=np.int32), starts)
 
 
 @dataclass
@@ -288,10 +292,11 @@ class Entries:
         key = arrays.mix(arrays.mix(name) + last) >> _U(16)
         hot = times * HOT_SHARE > uni.total
         place = arrays.mix(name + np.where(hot, key, _U(0))) >> _U(32)
-        part = (place * _U(parts) >> _U(32)).astype(np.int64)
+        part = (place * _U(parts) >> _U(32)).astype(np.int32)
+        del place
         order = np.argsort(part, kind="stable")  # histories come in order
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)  # a chunk has far fewer tokens than 2**31
+        rank[order] = np.arange(len(order), dtype=np.int32)
         return cls(
             rank[at], part[order], history[order], word[order], name[order], key[order],
             times[order], count[order], hot[order],

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.storage import shared_folder
+from tallygrid.storage import released, shared_folder
 
 __all__ = ["Scratch", "shared_folder"]
 
@@ -14,7 +14,8 @@ __all__ = ["Scratch", "shared_folder"]
 class Scratch:
     """Tables of one run of an operator, written once and read several times.
 
-    Writing cuts the lineage: an executor lost later costs a read, not a recomputation.
+    Writing cuts the lineage: an executor lost later costs a read, not a recomputation,
+    and the shuffle files behind a table go once it is written.
     What a lazy result still reads stays until the folder's owner clears it.
     """
 
@@ -26,7 +27,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with released(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -149,3 +149,20 @@ def test_closest_line_items(spark):
             score, term = min((-overlap(set(fixed.lower().split()), set(t.split())), t) for t in T.FINANCIAL_TERMS)
             want = term.title() if score < -0.7 else fixed
         assert got == want, text
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    from pathlib import Path
+
+    from tallygrid.llm.store import Scratch
+    from tallygrid.storage import CLEANUP, stored
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [Path(str(d)) for d in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in dirs for f in d.rglob("shuffle_*")}
+    before = files()
+    df = spark.range(1000).selectExpr("id AS table_id").repartition(3, "table_id")
+    kept = [Scratch(spark, "test").keep(df, "a"), stored(df), stored(df, 3)]
+    assert files() <= before
+    assert spark.conf.get(CLEANUP) == "false"
+    assert [k.count() for k in kept] == [1000] * 3
