@@ -166,3 +166,52 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     assert files() <= before
     assert spark.conf.get(CLEANUP) == "false"
     assert [k.count() for k in kept] == [1000] * 3
+
+
+def test_questions_and_cells_come_from_rows_derived_once(spark):
+    for name in ("first_row_hits", "qa_with_fallback", "lookup_answers"):
+        assert "l_extendedprice" not in plan(spark, name), name
+
+
+def test_a_filter_on_a_score_leaves_copies_unscored(spark):
+    from pyspark.sql import functions as F
+
+    from tallygrid.functions.similarity import with_ratio
+
+    pairs = spark.range(8).select(F.lit("abcd").alias("a"), F.concat(F.lit("abc"), F.col("id") % 2).alias("b"))
+    close = with_ratio(pairs, "a", "b", "s").where("s >= 0.5")
+    text = close._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and close.count() == 8
+
+
+def test_candidates_of_small_and_large_tables_are_all_that_can_reach_the_floor(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from tallygrid.operators import lookup
+
+    keys = ["total assets", "totl aset", "élan vital", "x" * 300, "zz", "net profit", "a b c"]
+    labels = ["total assets", "net profits", "élan vitál", "x" * 299 + "y", "zzz", "abc", "profit net"]
+    left = spark.createDataFrame([(k, t) for k in (1, None) for t in keys + [""]], "table_id long, k string")
+    right = spark.createDataFrame([(1, t) for t in labels], "table_id long, l string")
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    overlap = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    for multiset, score in ((True, ratio), (False, overlap)):
+        want = {(k, t) for k in keys for t in labels if score(k, t) >= 0.7}
+        for small in (0, 128):
+            monkeypatch.setattr(lookup, "_SMALL", small)
+            rows = lookup.similar_candidates(left, right, "k", "l", 0.7, multiset).collect()
+            got = [(r.k, r.l) for r in rows]
+            assert len(got) == len(set(got)) and want <= set(got) and {r.table_id for r in rows} == {1}
+            assert len(got) < len(keys) * len(labels)
+
+
+def test_contained_texts_are_found_among_few_and_many_beginnings(spark, monkeypatch):
+    from tallygrid.operators import lookup
+
+    small = spark.createDataFrame([(1, t) for t in ("as", "asset", "é", "net", "")], "table_id long, s string")
+    large = spark.createDataFrame([(1, t) for t in ("assets", "élan as", "te", "net net", "")], "table_id long, t string")
+    want = {("as", "assets"), ("asset", "assets"), ("as", "élan as"), ("é", "élan as"), ("net", "net net")}
+    for few in (0, 64):
+        monkeypatch.setattr(lookup, "_FEW", few)
+        rows = [(r.s, r.t) for r in lookup.contained(small, large, "s", "t").collect()]
+        assert len(rows) == len(want) and set(rows) == want
