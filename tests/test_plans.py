@@ -215,3 +215,9 @@ def test_contained_texts_are_found_among_few_and_many_beginnings(spark, monkeypa
         monkeypatch.setattr(lookup, "_FEW", few)
         rows = [(r.s, r.t) for r in lookup.contained(small, large, "s", "t").collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_boxes_and_elements_are_stored_dealt(spark):
+    # lines, boxes and cells meet where they lie; nothing is derived a second time
+    assert "Exchange" not in plan(spark, "aligned_grid_iou")
+    assert "l_extendedprice" not in plan(spark, "merged_cell_texts")
